@@ -1,4 +1,6 @@
 """Every query of the library by name, with its SQL where SQL can say it."""
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from . import signals  # noqa: F401
+from .registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
