@@ -10,6 +10,11 @@ def doubles(x: Column) -> Column:
     return x.cast("array<double>")
 
 
+def let(value: Column, f) -> Column:
+    """f(value), with value computed once however often f names it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def total(x: Column) -> Column:
     return F.aggregate(x, F.lit(0.0), lambda a, v: a + v)
 
@@ -19,12 +24,12 @@ def mean(x: Column) -> Column:
 
 
 def median(x: Column) -> Column:
-    s, n = F.array_sort(x), F.size(x)
-    return F.when(n > 0, (F.get(s, F.floor((n - 1) / 2).cast("int")) + F.get(s, F.floor(n / 2).cast("int"))) / 2)
+    n = F.size(x)
+    return F.when(n > 0, let(F.array_sort(x), lambda s: (F.get(s, F.floor((n - 1) / 2).cast("int")) + F.get(s, F.floor(n / 2).cast("int"))) / 2))
 
 
 def std_pop(x: Column) -> Column:
-    return F.sqrt(mean(F.transform(x, lambda v: (v - mean(x)) * (v - mean(x)))))
+    return F.sqrt(let(mean(x), lambda m: mean(F.transform(x, lambda v: (v - m) * (v - m)))))
 
 
 def span(x: Column) -> Column:
@@ -42,7 +47,7 @@ def combined(x: Column, y: Column, a: float, b: float) -> Column:
 
 
 def centered(x: Column, by=median) -> Column:
-    return F.transform(x, lambda v: v - by(x))
+    return let(by(x), lambda m: F.transform(x, lambda v: v - m))
 
 
 def linspace(lo, hi, n: int) -> Column:
@@ -52,11 +57,15 @@ def linspace(lo, hi, n: int) -> Column:
 
 def resampled(x: Column, n: int) -> Column:
     """n points of the line through x, evenly from its first to its last; null for an empty x."""
-    last = F.size(x) - 1
-    at = lambda i: i * last / F.lit(float(max(n - 1, 1)))
-    below = lambda i: F.least(F.floor(at(i)).cast("int"), F.greatest(last - 1, F.lit(0)))
-    point = lambda i: F.get(x, below(i)) + (F.coalesce(F.get(x, below(i) + 1), F.get(x, below(i))) - F.get(x, below(i))) * (at(i) - below(i))
-    return F.when(F.size(x) > 0, F.transform(F.sequence(F.lit(0), F.lit(n - 1)), point))
+
+    def on(s: Column) -> Column:
+        last = F.size(s) - 1
+        at = lambda i: i * last / F.lit(float(max(n - 1, 1)))
+        below = lambda i: F.least(F.floor(at(i)).cast("int"), F.greatest(last - 1, F.lit(0)))
+        line = lambda i, k: F.get(s, k) + (F.coalesce(F.get(s, k + 1), F.get(s, k)) - F.get(s, k)) * (at(i) - k)
+        return F.when(F.size(s) > 0, F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: line(i, below(i))))
+
+    return let(x, on)
 
 
 def decimated(x: Column, width: int) -> Column:
@@ -73,12 +82,12 @@ def padded(x: Column, n: int) -> Column:
 
 def robust_scaled(x: Column, target: float = 0.35) -> Column:
     """Centered on the median and scaled so that 1.4826 * MAD is ``target``; as it is if the MAD is 0."""
-    mad = median(F.transform(centered(x), F.abs))
-    return F.when(mad > 0, F.transform(x, lambda v: (v - median(x)) / (F.lit(1.4826) * mad) * F.lit(target))).otherwise(x)
+    scaled = lambda d: let(F.lit(1.4826) * median(F.transform(d, F.abs)), lambda m: F.when(m > 0, F.transform(d, lambda v: v / m * F.lit(target))).otherwise(x))
+    return let(centered(x), scaled)
 
 
 def std_scaled(x: Column, target: float = 0.35) -> Column:
-    return F.when(std_pop(x) > 0, F.transform(x, lambda v: v * F.lit(target) / std_pop(x))).otherwise(x)
+    return let(std_pop(x), lambda sd: F.when(sd > 0, F.transform(x, lambda v: v * F.lit(target) / sd)).otherwise(x))
 
 
 def joined(x: Column, places: int = 4) -> Column:

@@ -18,11 +18,10 @@ def sums(ref: Column, got: Column) -> dict[str, Column]:
     n = F.least(F.size(ref), F.size(got))
     r, g = F.slice(ref, 1, n), F.slice(got, 1, n)
     err = F.zip_with(r, g, lambda a, b: a - b)
-    center = S.mean(r)
     return {
         "n": n,
         "sse": S.total(F.transform(err, lambda e: e * e)),
-        "ss": S.total(F.transform(r, lambda v: (v - center) * (v - center))),
+        "ss": S.let(S.mean(r), lambda m: S.total(F.transform(r, lambda v: (v - m) * (v - m)))),
         "maxae": F.array_max(F.transform(err, F.abs)),
     }
 
@@ -31,10 +30,9 @@ def correlation(ref: Column, got: Column, flat: float) -> Column:
     """Pearson's r; ``flat`` where either side doesn't vary."""
     n = F.least(F.size(ref), F.size(got))
     r, g = F.slice(ref, 1, n), F.slice(got, 1, n)
-    a, b = S.mean(r), S.mean(g)
-    cov = S.total(F.zip_with(r, g, lambda x, y: (x - a) * (y - b)))
-    va, vb = S.total(F.transform(r, lambda x: (x - a) * (x - a))), S.total(F.transform(g, lambda y: (y - b) * (y - b)))
-    return F.when((va > EPS) & (vb > EPS), cov / F.sqrt(va * vb)).otherwise(F.lit(flat))
+    product = lambda x, y: S.total(F.zip_with(x, y, lambda a, b: a * b))
+    both = lambda x, y: S.let(F.struct(product(x, x).alias("xx"), product(y, y).alias("yy"), product(x, y).alias("xy")), lambda p: F.when((p["xx"] > EPS) & (p["yy"] > EPS), p["xy"] / F.sqrt(p["xx"] * p["yy"])).otherwise(F.lit(flat)))
+    return S.let(S.centered(r, S.mean), lambda x: S.let(S.centered(g, S.mean), lambda y: both(x, y)))
 
 
 def fidelity(df: DataFrame, ref: str, got: str, flat_r: float = 1.0) -> DataFrame:
@@ -49,9 +47,9 @@ def fidelity(df: DataFrame, ref: str, got: str, flat_r: float = 1.0) -> DataFram
 
 def snr_both_centered(ref: Column, got: Column) -> Column:
     """SNR after taking each side's own mean off."""
-    r, g = S.centered(ref, S.mean), S.centered(got, S.mean)
-    err = S.total(F.zip_with(r, g, lambda a, b: (a - b) * (a - b)))
-    return 10 * F.log10((S.total(F.transform(r, lambda v: v * v)) + EPS) / (err + EPS))
+    error = lambda r, g: S.total(F.zip_with(r, g, lambda a, b: (a - b) * (a - b)))
+    snr = lambda r, g: 10 * F.log10((S.total(F.transform(r, lambda v: v * v)) + EPS) / (error(r, g) + EPS))
+    return S.let(S.centered(ref, S.mean), lambda r: S.let(S.centered(got, S.mean), lambda g: snr(r, g)))
 
 
 def prd_band(prd: Column) -> Column:

@@ -41,7 +41,7 @@ def signal_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH m AS (SELECT user_id, event_type, value, avg(value) OVER w AS mu, lag(value) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS prev FROM events WINDOW w AS (PARTITION BY user_id, event_type)),
 d AS (SELECT user_id, event_type, value, value - mu AS x, CASE WHEN (value - mu) * (prev - mu) < 0 THEN 1 ELSE 0 END AS crossing FROM m)
 SELECT user_id, event_type, count(*) AS n, round(quantile_cont(value, 0.25), 6) AS p25, round(quantile_cont(value, 0.75), 6) AS p75,
-  round(quantile_cont(value, 0.75) - quantile_cont(value, 0.25), 6) AS iqr, round(sqrt(avg(value * value)), 6) AS rms, round(avg(value * value), 7) AS power,
+  round(quantile_cont(value, 0.75) - quantile_cont(value, 0.25), 6) AS iqr, round(sqrt(avg(value * value)), 6) AS rms,
   round(sum(crossing) / count(*), 6) AS zero_crossing_rate,
   round(CASE WHEN avg(x*x) > 1e-12 THEN avg(x*x*x) / pow(avg(x*x), 1.5) END, 5) AS skewness,
   round(CASE WHEN avg(x*x) > 1e-12 THEN avg(x*x*x*x) / pow(avg(x*x), 2) - 3 END, 5) AS kurtosis_excess
@@ -61,7 +61,6 @@ def signal_stats_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.round(q(0.75), 6).alias("p75"),
         F.round(q(0.75) - q(0.25), 6).alias("iqr"),
         F.round(F.sqrt(F.avg(F.col("value") * F.col("value"))), 6).alias("rms"),
-        F.round(F.avg(F.col("value") * F.col("value")), 7).alias("power"),
         F.round(F.sum("crossing") / F.count("*"), 6).alias("zero_crossing_rate"),
         F.round(F.when(m(2) > 1e-12, m(3) / F.pow(m(2), F.lit(1.5))), 5).alias("skewness"),
         F.round(F.when(m(2) > 1e-12, m(4) / F.pow(m(2), F.lit(2)) - 3), 5).alias("kurtosis_excess"),
