@@ -1,6 +1,6 @@
 """Every query of the library by name, with its SQL where SQL can say it."""
 
-from . import arrays, signals  # noqa: F401
+from . import arrays, signals, tables  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
