@@ -6,7 +6,8 @@ similarity, 1 - distance / words of the longer text, reaches the threshold.
 
 Texts with the same words form a class at once, and classes stand for their
 members from there on. In a bucket (texts that share a component) every text is
-aligned with the bucket's leader; then the texts of a bucket whose components
+aligned with the bucket's leader, its least id, so that a text that meets a group in many buckets meets
+mostly one leader; then the texts of a bucket whose components
 differ meet in pairs of blocks of bounded size, so no link is lost, no large
 group meets in one task, and a group of copies costs a row for each member.
 """
@@ -81,8 +82,9 @@ def _trimmed(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return a, b
 
 
-def _banded(pairs: list[tuple[np.ndarray, np.ndarray]], band: int) -> np.ndarray:
-    """Least cost of an alignment that stays within ``band`` of the diagonal, for many pairs at once; the true distance if that is at most ``band``."""
+def _banded(pairs: list[tuple[np.ndarray, np.ndarray]], band: int, limits: np.ndarray) -> np.ndarray:
+    """Least cost of an alignment that stays within ``band`` of the diagonal, for many pairs at once; the true distance if
+    that is at most ``band``. A pair is given up, as very far, once every alignment of its first words costs more than its limit."""
     rows, width = max(len(a) for a, _ in pairs), 2 * band + 1
     n = len(pairs)
     columns = max(rows, *(len(b) for _, b in pairs)) + width + 1
@@ -101,7 +103,14 @@ def _banded(pairs: list[tuple[np.ndarray, np.ndarray]], band: int) -> np.ndarray
     out = np.full(n, far, np.int32)
     done = a_len == 0
     out[done] = cost[done, np.clip(b_len[done] + band, 0, width - 1)]
+    who = np.arange(n)
     for i in range(1, rows + 1):
+        if i % 16 == 0:
+            alive = (a_len >= i) & (cost.min(1) <= limits)
+            if not alive.any():
+                break
+            if alive.mean() < 0.7:
+                left, right, used, cost, a_len, b_len, who, limits = (v[alive] for v in (left, right, used, cost, a_len, b_len, who, limits))
         # column j = i + d - band of b; d is the place in the band
         same = (right[:, i - 1 : i - 1 + width] == left[:, i - 1 : i]) & used[:, i - 1 : i - 1 + width]
         step = cost + np.where(same, np.int32(0), np.int32(1))
@@ -120,7 +129,7 @@ def _banded(pairs: list[tuple[np.ndarray, np.ndarray]], band: int) -> np.ndarray
         if ended.any():
             place = b_len[ended] - i + band
             ok = (place >= 0) & (place < width)
-            out[np.flatnonzero(ended)[ok]] = cost[ended][np.flatnonzero(ok), place[ok]]
+            out[who[np.flatnonzero(ended)[ok]]] = cost[ended][np.flatnonzero(ok), place[ok]]
     return out
 
 
@@ -148,7 +157,8 @@ def distances(pairs: list[tuple[np.ndarray, np.ndarray]], most: list[int]) -> np
             group = open_[first:last]
             # a band that holds every cell needs no widening
             own = min(band, max(max(len(a), len(b)) for _, a, b in group), max(most[k] for k, _, _ in group))
-            found = _banded([(a, b) for _, a, b in group], own)
+            limits = np.array([min(own, most[k]) if own < max(len(a), len(b)) else most[k] for k, a, b in group])
+            found = _banded([(a, b) for _, a, b in group], own, limits)
             for (k, a, b), d in zip(group, found, strict=True):
                 if d <= own or own >= most[k] or own >= max(len(a), len(b)):
                     out[k] = min(int(d), most[k] + 1)
@@ -251,7 +261,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, components_
     reps = reps.withColumn("id", F.xxhash64("same")) if clash else reps
     own = F.xxhash64("j", "value")
     spread = reps.where("n > 0").select("id", "n", F.posexplode("sketch").alias("j", "value")).select("id", "n", own.alias("bucket"))
-    buckets = saved(spread.groupBy("bucket").agg(F.count("*").alias("size"), F.min_by("id", F.xxhash64("bucket", "id")).alias("leader")).where("size > 1"), "dup-buckets")
+    buckets = saved(spread.groupBy("bucket").agg(F.count("*").alias("size"), F.min("id").alias("leader")).where("size > 1"), "dup-buckets")
     members = saved(spread.join(buckets, "bucket"), "dup-members")
     pairs = saved(members.where("id <> leader").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct(), "dup-pairs")
     tokens = _tokens(docs, rows, reps, members.select("id").distinct())
