@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .oracles import mix_sql, topk_sql, url_sql
 
 #: production parameters
 TOKENIZER = "word_bpe_49k.json"
@@ -99,4 +100,4 @@ QUERIES = {
     )
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op3_exact_topk": topk_sql(), "op5_source_mixing": mix_sql(), "op7_url_filter": url_sql()}

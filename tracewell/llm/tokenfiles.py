@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from . import files
 from .common import new_path, saved
-from .encoding import batches, encoder
+from .encoding import BATCH_CHARS, batches, encoder
 
 MAGIC = b"TWDAC001"
 FILE_TOKENS = 1 << 22
@@ -125,9 +125,9 @@ def ordered(docs: DataFrame, partition_bytes: int = PARTITION_BYTES) -> DataFram
     return docs.repartitionByRange(total // partition_bytes + 1, F.col("doc_id"), tie).sortWithinPartitions(F.col("doc_id"), tie)
 
 
-def encoded(batch: pa.RecordBatch, path: str, end: int) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
+def encoded(batch: pa.RecordBatch, path: str, end: int, most: int = BATCH_CHARS) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
     """doc_ids, counts and ids, each text's ids with ``end`` after them, for slices of a batch of doc_id and text."""
-    for first, n in batches(batch.column("text")):
+    for first, n in batches(batch.column("text"), most):
         part = batch.slice(first, n)
         ids, counts = encoder(path).encode(part.column("text"))
         yield part.column("doc_id").to_pylist(), counts + 1, np.insert(ids, np.cumsum(counts), end)
@@ -155,7 +155,7 @@ def write_files(docs: DataFrame, tokenizer: str, out: str, end: int = 2, file_to
             return row
 
         for batch in record_batches:
-            for doc_ids, counts, ids in encoded(batch, tokenizer, end):
+            for doc_ids, counts, ids in encoded(batch, tokenizer, end, min(BATCH_CHARS, 4 * file_tokens)):
                 held[0].extend(doc_ids)
                 held[1].append(counts)
                 held[2].append(ids)
