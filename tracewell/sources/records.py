@@ -34,7 +34,7 @@ def files(spark: SparkSession, folder: str) -> DataFrame:
 
 def _texts(spark: SparkSession, path: str, fmt: str, name: str) -> DataFrame:
     """path and whole text of each file of a format at or below ``path``."""
-    lines = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", GLOBS[fmt]).text(path)
+    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", GLOBS[fmt]).text(path, wholetext=True)
     return lines.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias(name))
 
 
@@ -70,7 +70,7 @@ def finished(df: DataFrame) -> DataFrame:
 
 def read_csv(spark: SparkSession, path: str, fs: int = TARGET_RATE, vendor: str = "generic") -> DataFrame:
     """One record a file: a header of lead names, a row a sample; empty cells are 0. Rows stay whole in a file's one partition."""
-    lines = _texts(spark, path, "csv", "text").select("path", F.split(F.trim("text"), r"\r?\n").alias("lines"))
+    lines = _texts(spark, path, "csv", "text").select("path", F.split(F.regexp_replace("text", r"\s+$", ""), r"\r?\n").alias("lines"))
     header = F.transform(F.split(F.col("lines")[0], ","), lambda h: F.trim(h))
     rows = F.transform(F.slice("lines", 2, F.greatest(F.size("lines") - 1, F.lit(0))), lambda line: F.split(line, ","))
     df = lines.select("path", header.alias("header"), rows.alias("rows"))
