@@ -21,6 +21,8 @@ WEIGHTS = (5, 2, 1)
 P = 2147483647  # the modulus of all hashes here; products stay below 2**62
 BINS = 4096
 BROADCAST_SOURCES = 20_000
+SLOTS_A_TASK = 500_000
+GROUP = 4096
 
 
 def mixed(x: str, salt: int = 0) -> str:
@@ -99,7 +101,8 @@ def slots(sources: DataFrame, shard_slots: int) -> DataFrame:
     # a source's slots are numbered over the shards; those from its quota on are surplus
     ranked = counts.withColumn("first", F.sum("n").over(W.partitionBy("sid").orderBy("shard")) - F.col("n")).join(sources.select("sid", "quota"), "sid")
     ranked = ranked.withColumn("kept", F.greatest(F.lit(0), F.least(F.col("n"), F.col("quota") - F.col("first"))))
-    kept = ranked.where("kept > 0").select("shard", "sid", F.explode(F.expr("sequence(first, first + kept - 1)")).alias("rank"))
+    # few rows here stand for many slots: dealt anew, or a task or two would make them all
+    kept = ranked.where("kept > 0").repartition(n // SLOTS_A_TASK + 1, "shard", "sid").select("shard", "sid", F.explode(F.expr("sequence(first, first + kept - 1)")).alias("rank"))
     spare = ranked.where("n > kept").select("shard", F.explode(F.expr("sequence(1, n - kept)")).alias("k"), "sid")
     spare = spare.withColumn("i", F.row_number().over(W.orderBy("shard", "sid", "k"))).select("i", "shard")
     short = sources.join(counts.groupBy("sid").agg(F.sum("n").alias("n")), "sid", "left").withColumn("n", F.coalesce("n", F.lit(0))).where("quota > n")
@@ -117,7 +120,7 @@ def slots(sources: DataFrame, shard_slots: int) -> DataFrame:
     return out.select("shard", "sid", "rank", "block")
 
 
-def placed(sized: DataFrame, sources: DataFrame, docs_a_bucket: int = 8192) -> DataFrame:
+def placed(sized: DataFrame, sources: DataFrame, docs_a_bucket: int = 1024) -> DataFrame:
     """Each document's place on its source's word axis: sid, bucket, rn (together unique), start.
 
     A source's documents are ordered by (bucket, doc_id) with buckets of about
@@ -130,8 +133,12 @@ def placed(sized: DataFrame, sources: DataFrame, docs_a_bucket: int = 8192) -> D
     out = sized.join(ids, F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumn("bucket", bucket)
     within = W.partitionBy("sid", "bucket").orderBy("doc_id", "size", "tie")
     out = out.withColumn("rn", F.row_number().over(within)).withColumn("within", F.sum("size").over(within.rowsBetween(W.unboundedPreceding, 0)) - F.col("size"))
-    by_bucket = out.groupBy("sid", "bucket").agg(F.sum("size").alias("words"))
-    by_bucket = by_bucket.withColumn("before", F.sum("words").over(W.partitionBy("sid").orderBy("bucket")) - F.col("words")).drop("words")
+    # what stands before a bucket: first over groups of buckets, then within each
+    by_bucket = out.groupBy("sid", "bucket").agg(F.sum("size").alias("words")).withColumn("group", F.expr(f"bucket div {GROUP}"))
+    by_group = by_bucket.groupBy("sid", "group").agg(F.sum("words").alias("all"))
+    by_group = by_group.withColumn("earlier", F.sum("all").over(W.partitionBy("sid").orderBy("group")) - F.col("all")).drop("all")
+    by_bucket = by_bucket.withColumn("before", F.sum("words").over(W.partitionBy("sid", "group").orderBy("bucket")) - F.col("words")).join(by_group, ["sid", "group"])
+    by_bucket = by_bucket.select("sid", "bucket", (F.col("before") + F.col("earlier")).alias("before"))
     return out.join(by_bucket, ["sid", "bucket"]).withColumn("start", F.col("before") + F.col("within")).drop("before", "within")
 
 
@@ -175,15 +182,17 @@ def mixed_documents(docs: DataFrame, block: int = 32, shard_slots: int = 65_536,
     times = slots(sources, shard_slots).groupBy("sid", "block").agg(F.count("*").alias("times"))
     runs = pieces(at, times, block).groupBy("sid", "bucket", "rn").agg(F.sort_array(F.collect_list(F.struct("at", "words", "times"))).alias("runs"))
     keys = at.join(runs, ["sid", "bucket", "rn"]).select(F.col("doc_id").alias("k_id"), F.col("source").alias("k_source"), F.col("tie").alias("k_tie"), "runs")
-    # rows alike in doc_id, source and text are told apart by their number
+    # rows alike in doc_id, source and text are told apart by their number; the row's own columns stay in a struct, so none can clash
     alike = W.partitionBy("k_id", "k_source", "k_tie").orderBy("runs")
     keys = keys.withColumn("k_n", F.row_number().over(alike))
-    same = W.partitionBy("doc_id", "source", F.xxhash64("text")).orderBy(F.lit(1))
-    told = docs.withColumn("k_m", F.row_number().over(same))
-    on = told["doc_id"].eqNullSafe(keys["k_id"]) & told["source"].eqNullSafe(keys["k_source"]) & (F.xxhash64(told["text"]) == keys["k_tie"]) & (told["k_m"] == keys["k_n"])
+    told = docs.select(F.struct(*[F.col(c) for c in columns]).alias("row")).withColumn("tie", F.xxhash64("row.text"))
+    told = told.withColumn("m", F.row_number().over(W.partitionBy("row.doc_id", "row.source", "tie").orderBy(F.lit(1))))
+    on = F.col("row.doc_id").eqNullSafe(F.col("k_id")) & F.col("row.source").eqNullSafe(F.col("k_source")) & (F.col("tie") == F.col("k_tie")) & (F.col("m") == F.col("k_n"))
+    # the words are bound once; named in a lambda, they would be split anew for every run
+    words = r"filter(split(row.text, '[\\x20\\x09-\\x0D]+'), w -> w != '')"
+    run = "flatten(array_repeat(slice(ws, cast(r.at + 1 as int), cast(r.words as int)), cast(r.times as int)))"
+    text = F.expr(f"element_at(transform(array({words}), ws -> array_join(flatten(transform(runs, r -> {run})), ' ')), 1)")
     out = told.join(keys, on)
-    words = F.expr(r"filter(split(text, '[\\x20\\x09-\\x0D]+'), w -> w != '')")
-    out = out.withColumn("k_words", words)
-    text = F.expr("array_join(flatten(transform(runs, r -> flatten(array_repeat(slice(k_words, cast(r.at + 1 as int), cast(r.words as int)), cast(r.times as int))))), ' ')")
     out = out.withColumn("text", text)
-    return out.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in columns])
+    made = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return out.select(*[made.get(c, F.col("row")[c]).alias(c) for c in columns])

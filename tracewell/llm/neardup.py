@@ -31,6 +31,7 @@ COMPONENTS = 16
 KEPT = 3
 SIMILARITY = 0.8
 BLOCK = 128
+BINS = 1024
 _SEEDS = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
@@ -178,6 +179,19 @@ def common_words(a: np.ndarray, b: np.ndarray) -> int:
     return int(np.minimum(n[at[hit]], m[hit]).sum())
 
 
+def histogram(words: np.ndarray) -> np.ndarray:
+    """How many words fall in each bin, up to 255: the sum of two texts' lesser counts bounds the words they share."""
+    return np.minimum(np.bincount((words >> np.uint64(54)).astype(np.int64), minlength=BINS), 255).astype(np.uint8)
+
+
+def may_be_alike(h: np.ndarray, n: int, others: np.ndarray, sizes: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether a text of n words and histogram h can be alike each of some others; full bins bound nothing."""
+    most = np.maximum(sizes, n)
+    close = np.minimum(sizes, n) >= similarity * most - 1e-9
+    shared = np.minimum(h[None, :], others).sum(1, dtype=np.int64)
+    return close & ((shared >= similarity * most - 1e-9) | (h.max() == 255) | (others.max(1) == 255))
+
+
 def allowed(a: int, b: int, similarity: float) -> int:
     """The most edits that two texts of a and b words may differ by."""
     return int(np.floor((1 - similarity) * max(a, b) + 1e-9))
@@ -260,7 +274,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, components_
     clash = reps.groupBy("id").count().where("count > 1").take(1)
     reps = reps.withColumn("id", F.xxhash64("same")) if clash else reps
     own = F.xxhash64("j", "value")
-    spread = reps.where("n > 0").select("id", "n", F.posexplode("sketch").alias("j", "value")).select("id", "n", own.alias("bucket"))
+    spread = reps.where("n > 0").select("id", F.posexplode("sketch").alias("j", "value")).select("id", "j", own.alias("bucket"))
     buckets = saved(spread.groupBy("bucket").agg(F.count("*").alias("size"), F.min("id").alias("leader")).where("size > 1"), "dup-buckets")
     members = saved(spread.join(buckets, "bucket"), "dup-members")
     pairs = saved(members.where("id <> leader").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct(), "dup-pairs")
@@ -268,7 +282,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, components_
     links = saved(linked(pairs, tokens, similarity), "dup-links")
     labels = components(links)
     # what the leaders left apart
-    found = saved(_apart(members, labels, pairs, tokens, similarity), "dup-apart")
+    found = saved(_apart(members, labels, reps.select("id", "sketch"), tokens, similarity), "dup-apart")
     if found.take(1):
         links = links.unionByName(found)
         labels = components(links)
@@ -306,29 +320,40 @@ def _tokens(docs: DataFrame, rows: DataFrame, reps: DataFrame, wanted: DataFrame
     return saved(texts.mapInArrow(run, "id long, words binary").dropDuplicates(["id"]), "dup-words")
 
 
-def _apart(members: DataFrame, labels: DataFrame, done: DataFrame, tokens: DataFrame, similarity: float) -> DataFrame:
-    """Links between members of a bucket that are in different components: its members' blocks meet two at a time."""
-    rooted = members.join(labels, "id", "left").select("bucket", "id", "n", F.coalesce("root", "id").alias("root"))
+def _apart(members: DataFrame, labels: DataFrame, sketches: DataFrame, tokens: DataFrame, similarity: float) -> DataFrame:
+    """Links between members of a bucket that are in different components: its members' blocks meet two at a time.
+
+    A pair is aligned in the first component that its sketches share, and leaders
+    have been aligned before; only links leave a group.
+    """
+    rooted = members.join(labels, "id", "left").withColumn("root", F.coalesce("root", "id"))
     mixed = rooted.groupBy("bucket").agg(F.count("*").alias("size"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi and size > 2").select("bucket", "size")
     # a bucket of up to BLOCK members is one block; larger ones are cut by hash
-    blocked = rooted.join(mixed, "bucket").withColumn("blocks", F.expr(f"(size + {BLOCK} - 1) div {BLOCK}")).withColumn("block", F.expr("pmod(xxhash64(id, 7), blocks)"))
+    blocked = rooted.drop("size").join(mixed, "bucket").withColumn("blocks", F.expr(f"(size + {BLOCK} - 1) div {BLOCK}")).withColumn("block", F.expr("pmod(xxhash64(id, 7), blocks)"))
+    blocked = blocked.join(sketches, "id").join(tokens, "id")
     other = F.explode(F.expr("sequence(cast(0 as bigint), blocks - 1)"))
-    met = blocked.select("*", other.alias("other")).withColumn("x", F.least("block", "other")).withColumn("y", F.greatest("block", "other"))
+    met = blocked.select("bucket", "j", "leader", "id", "root", "sketch", "words", "block", other.alias("other")).withColumn("x", F.least("block", "other")).withColumn("y", F.greatest("block", "other"))
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        x, y = frame["x"].iloc[0], frame["y"].iloc[0]
-        a = frame[frame["block"] == x]
-        b = frame[frame["block"] == y]
-        i, j = (v.ravel() for v in np.meshgrid(np.arange(len(a)), np.arange(len(b)), indexing="ij"))
-        ids, others = a["id"].to_numpy()[i], b["id"].to_numpy()[j]
-        n, m = a["n"].to_numpy()[i], b["n"].to_numpy()[j]
-        ok = (ids < others) if x == y else (ids != others)
-        ok &= a["root"].to_numpy()[i] != b["root"].to_numpy()[j]
-        ok &= np.minimum(n, m) >= similarity * np.maximum(n, m) - 1e-9
-        return pd.DataFrame({"a": np.minimum(ids, others)[ok], "b": np.maximum(ids, others)[ok]})
-
-    pairs = met.groupBy("bucket", "x", "y").applyInPandas(run, "a long, b long").distinct()
-    return linked(saved(pairs.join(done, ["a", "b"], "left_anti"), "dup-rest"), tokens, similarity)
+        x, y, j = frame["x"].iloc[0], frame["y"].iloc[0], int(frame["j"].iloc[0])
+        frame = frame[frame["id"] != frame["leader"]]
+        a, b = frame[frame["block"] == x], frame[frame["block"] == y]
+        words = {r.id: np.frombuffer(r.words, np.uint64) for r in frame.itertuples()}
+        bins = {k: histogram(w) for k, w in words.items()}
+        b_ids, b_root, b_sketch = b["id"].to_numpy(), b["root"].to_numpy(), np.stack(b["sketch"].to_numpy()) if len(b) else np.zeros((0, j + 1))
+        b_n, b_bins = np.array([len(words[k]) for k in b_ids], np.int64), np.array([bins[k] for k in b_ids]).reshape(len(b), BINS)
+        found = []
+        for row in a.itertuples():
+            ok = (b_root != row.root) & ~(b_sketch[:, :j] == np.asarray(row.sketch)[None, :j]).any(1)
+            ok &= (b_ids > row.id) if x == y else (b_ids != row.id)
+            if ok.any():
+                ok &= may_be_alike(bins[row.id], len(words[row.id]), b_bins, b_n, similarity)
+            others = b_ids[ok]
+            linked_ = alike([(words[row.id], words[k]) for k in others], similarity)
+            found += [(min(row.id, k), max(row.id, k)) for k in others[linked_]]
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    return met.groupBy("bucket", "x", "y").applyInPandas(run, "a long, b long").distinct()
 
 
 def deduplicated(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
