@@ -16,13 +16,13 @@ import pyarrow.compute as pc
 
 #: lower-case and upper-case letters of ASCII and Latin-1, then ASCII punctuation without the apostrophe
 _PLAIN = re.compile(r"([a-zA-Zß-öø-ÿÀ-ÖØ-Þ]*)([!-&(-/:-@\[-`{-~]*)")
-BATCH_CHARS = 2_000_000
+BATCH_CHARS = 6_000_000
 
 
 class Encoder:
     """ids of texts by ``tokenizers``, as ``encode(text, add_special_tokens=False)`` gives them."""
 
-    def __init__(self, path: str, cache: int = 200_000):
+    def __init__(self, path: str, cache: int = 600_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         os.environ.setdefault("RAYON_NUM_THREADS", "1")
         from tokenizers import Tokenizer, pre_tokenizers
