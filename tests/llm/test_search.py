@@ -185,6 +185,34 @@ def test_near_duplicates_by_brute_force(spark):
     assert kept.columns == df.columns and {x.doc_id for x in kept.collect()} == {find(i) for i in split}
 
 
+def test_near_duplicates_recall(spark):
+    """Lone pairs with scattered changes, down to the similarity that links: almost none is missed."""
+    r = random.Random(12)
+    rows, want = [], {}
+    for n, similarity, pairs in [(300, 0.95, 40), (300, 0.9, 40), (300, 0.85, 40), (300, 0.8, 60), (60, 0.8, 60), (10, 0.8, 60), (5, 0.8, 60)]:
+        for _ in range(pairs):
+            w = words(r, n).split()
+            v = list(w)
+            for k in r.sample(range(n), round((1 - similarity) * n)):
+                v[k] = f"changed{r.random()}".replace(".", "")
+            want[len(rows) + 1] = (len(rows), n, similarity)
+            rows += [(len(rows), " ".join(w)), (len(rows) + 1, " ".join(v))]
+    got = {x.doc_id: x.class_id for x in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    missed = [v[1:] for k, v in want.items() if got[k] != v[0]]
+    assert len(missed) <= 5, missed
+
+
+def test_components_of_chains(spark):
+    """A path in order, a path in mixed order, a star and a ring."""
+    r = random.Random(13)
+    path = list(range(100, 140))
+    mixed = r.sample(range(200, 240), 40)
+    links = list(zip(path, path[1:])) + list(zip(mixed, mixed[1:])) + [(300, k) for k in range(301, 320)] + [(400 + k, 400 + (k + 1) % 9) for k in range(9)]
+    got = {x.id: x.root for x in neardup.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {k: k // 100 * 100 for pair in links for k in pair}
+    assert neardup.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_blocks_meet(spark, monkeypatch):
     """Members that the leader doesn't link are found in blocks, whatever their size."""
     r = random.Random(8)
