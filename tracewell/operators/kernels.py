@@ -89,14 +89,44 @@ def _prominence(x: np.ndarray, p: int) -> float:
     return float(x[p] - max(lo, hi))
 
 
+def _cheapest_steps(cost: np.ndarray, prev: np.ndarray, now: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each value of ``now``, the place in ``prev`` of least cost + squared step, and that cost.
+
+    Both in ascending order, the best places ascend too: the middle of each gap
+    is searched between the best places of the gap's ends, so memory is in
+    proportion to the columns and time to their length times its logarithm.
+    """
+    up, across = np.argsort(prev, kind="stable"), np.argsort(now, kind="stable")
+    cost, prev, now = cost[up], prev[up], now[across]
+    n, m = len(prev), len(now)
+    best = np.zeros(m + 2, np.int64)  # shifted by one: a place before the first and one after the last
+    best[-1] = n - 1
+    step = 1 << max(0, m.bit_length() - 1)
+    while step:
+        at = np.arange(step, m + 1, 2 * step)
+        lo, hi = best[at - step], best[np.minimum(at + step, m + 1)]
+        hi = np.maximum(lo, hi)
+        sizes = hi - lo + 1
+        begins = np.cumsum(sizes) - sizes
+        place = np.arange(sizes.sum()) - np.repeat(begins - lo, sizes)
+        all_ = cost[place] + (np.repeat(now[at - 1], sizes) - prev[place]) ** 2
+        least = np.minimum.reduceat(all_, begins)
+        hits = np.flatnonzero(all_ == np.repeat(least, sizes))
+        best[at] = place[hits[np.searchsorted(hits, begins)]]
+        step //= 2
+    found, total = np.empty(m, np.int64), np.empty(m)
+    found[across] = up[best[1:-1]]
+    total[across] = cost[best[1:-1]] + (now - prev[best[1:-1]]) ** 2
+    return found, total
+
+
 def cheapest_path(columns: list[np.ndarray], order: int = 1) -> np.ndarray:
     """A candidate of each column so that squared steps (order 1) or squared changes of step (order 2) cost least in all."""
     if order == 1:
         cost, back = np.zeros(len(columns[0])), []
         for prev, now in zip(columns, columns[1:], strict=False):
-            all_ = cost[:, None] + (now[None, :] - prev[:, None]) ** 2
-            back.append(all_.argmin(0))
-            cost = all_.min(0)
+            places, cost = _cheapest_steps(cost, prev, now)
+            back.append(places)
         k = int(cost.argmin())
         path = [k]
         for b in reversed(back):
