@@ -4,8 +4,9 @@ windows over one series at a time."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -106,24 +107,55 @@ def local_peaks(df: DataFrame, keys: Cols, order: Cols, value: str, height: floa
     return df.where(top if height is None else top & (F.col(value) >= height)).drop("_p", "_n")
 
 
+def _islands(df: DataFrame, keys: Cols, at: str, gap: float) -> DataFrame:
+    """keys, ``at`` and _opens, in order within partitions that hold whole islands: runs in which neighbours are under ``gap`` apart. _opens is true for the first row of each."""
+    w = _by(keys, [at])
+    opens = F.coalesce(F.col(at) - F.lag(at).over(w) >= gap, F.lit(True))
+    marked = df.select(*keys, at).where(F.col(at).isNotNull()).withColumn("_opens", opens).withColumn("_island", F.sum(F.col("_opens").cast("long")).over(w.rowsBetween(W.unboundedPreceding, 0)))
+    dealt = marked.repartition(*keys, "_island").sortWithinPartitions(*keys, "_island", at)
+    return dealt.select(*keys, at, "_opens")
+
+
+def spaced_rows(candidates: DataFrame, keys: Cols, index: str, distance: int) -> DataFrame:
+    """keys and index (long) of the candidates kept from left to right, each at least ``distance`` after the last one kept.
+
+    A candidate that far after the one before is kept whatever came earlier, so
+    islands between such candidates stand alone; within one, rows stream by with
+    the last one kept as the only state.
+    """
+    islands = _islands(candidates.withColumn(index, F.col(index).cast("long")), keys, index, distance)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = 0
+        for batch in batches:
+            keep = []
+            for x, opens in zip(batch.column(index).to_pylist(), batch.column("_opens").to_pylist(), strict=True):
+                keep.append(opens or x - last >= distance)
+                last = x if keep[-1] else last
+            yield batch.filter(pa.array(keep, pa.bool_())).select([*keys, index])
+
+    return islands.mapInArrow(run, islands.drop("_opens").schema)
+
+
 def spaced(candidates: DataFrame, keys: Cols, index: str, distance: int) -> DataFrame:
-    """kept: candidates from left to right, each at least ``distance`` after the last one kept."""
-    ordered = candidates.groupBy(*keys).agg(F.array_sort(F.collect_list(F.col(index).cast("long"))).alias("_at"))
-    fold = F.aggregate(
-        "_at",
-        F.array().cast("array<bigint>"),
-        lambda acc, x: F.when((F.size(acc) == 0) | (x - F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) >= distance), F.array_append(acc, x)).otherwise(acc),
-    )
-    return ordered.select(*keys, fold.alias("kept"))
+    """kept: spaced_rows() as an array for each series."""
+    rows = spaced_rows(candidates, keys, index, distance)
+    return rows.groupBy(*keys).agg(F.array_sort(F.collect_list(index)).alias("kept"))
 
 
-def threshold_peaks(df: DataFrame, keys: Cols, index: str, value: str, share: float = 0.5, group_gap: int = 2, refractory: int = 0) -> DataFrame:
+def threshold_peak_rows(df: DataFrame, keys: Cols, index: str, value: str, share: float = 0.5, group_gap: int = 2, refractory: int = 0) -> DataFrame:
     """The highest sample of each group above ``share`` of the series' largest magnitude; later groups within ``refractory`` of a kept one go."""
     top = df.withColumn("_max", F.max(F.abs(value)).over(W.partitionBy(*keys))).where(F.col(value) > share * F.col("_max"))
     w = _by(keys, [index])
     top = top.withColumn("_opens", F.when(F.col(index) - F.lag(index).over(w) <= group_gap, 0).otherwise(1)).withColumn("_group", F.sum("_opens").over(w))
     best = top.groupBy(*keys, "_group").agg(F.min_by(index, F.struct(-F.col(value), F.col(index))).alias("at"))
-    return spaced(best, keys, "at", refractory)
+    return spaced_rows(best, keys, "at", refractory)
+
+
+def threshold_peaks(df: DataFrame, keys: Cols, index: str, value: str, share: float = 0.5, group_gap: int = 2, refractory: int = 0) -> DataFrame:
+    """kept: threshold_peak_rows() as an array for each series."""
+    rows = threshold_peak_rows(df, keys, index, value, share, group_gap, refractory)
+    return rows.groupBy(*keys).agg(F.array_sort(F.collect_list("at")).alias("kept"))
 
 
 def midpoints(df: DataFrame, keys: Cols, order: Cols, center: str) -> DataFrame:
@@ -153,16 +185,41 @@ def even_chain(df: DataFrame, keys: Cols, at: str, tolerance: float = 0.3) -> Da
     return each.withColumn("_best", best).where("_best = 1").drop("_best", "_chain")
 
 
+def merged_close_rows(df: DataFrame, keys: Cols, value: str, gap: float) -> DataFrame:
+    """keys and value: sorted values, each joined to the one before as their mean while it is under ``gap`` away.
+
+    A mean is never above the last value in it, so a value at least ``gap`` after
+    the one before begins anew: islands between such values stand alone.
+    """
+    islands = _islands(df.withColumn(value, F.col(value).cast("double")), keys, value, gap)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, mean = None, 0.0  # the keys of the open mean, as one row
+        for batch in batches:
+            head, ends, means = batch.select(list(keys)), [], []
+            for k, (x, opens) in enumerate(zip(batch.column(value).to_pylist(), batch.column("_opens").to_pylist(), strict=True)):
+                if opens or x - mean >= gap:
+                    if k:
+                        ends.append(k - 1)
+                        means.append(mean)
+                    elif held is not None:
+                        yield pa.RecordBatch.from_arrays([*held.columns, pa.array([mean], pa.float64())], names=[*keys, value])
+                    mean = x
+                else:
+                    mean = (mean + x) / 2
+            if ends:
+                yield pa.RecordBatch.from_arrays([*head.take(pa.array(ends)).columns, pa.array(means, pa.float64())], names=[*keys, value])
+            held = head.slice(len(batch) - 1, 1) if len(batch) else held
+        if held is not None:
+            yield pa.RecordBatch.from_arrays([*held.columns, pa.array([mean], pa.float64())], names=[*keys, value])
+
+    return islands.mapInArrow(run, islands.drop("_opens").schema)
+
+
 def merged_close(df: DataFrame, keys: Cols, value: str, gap: float) -> DataFrame:
-    """merged: sorted values, each joined to the one before as their mean while it is under ``gap`` away."""
-    arrays = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.col(value).cast("double"))).alias("_v"))
-    last = lambda acc: F.try_element_at(acc, F.lit(-1))
-    fold = F.aggregate(
-        "_v",
-        F.array().cast("array<double>"),
-        lambda acc, x: F.when((F.size(acc) > 0) & (x - last(acc) < gap), F.array_append(F.slice(acc, 1, F.size(acc) - 1), (last(acc) + x) / 2)).otherwise(F.array_append(acc, x)),
-    )
-    return arrays.select(*keys, fold.alias("merged"))
+    """merged: merged_close_rows() as an array for each series."""
+    rows = merged_close_rows(df, keys, value, gap)
+    return rows.groupBy(*keys).agg(F.array_sort(F.collect_list(value)).alias("merged"))
 
 
 def momentum_track(arrays: DataFrame, array: str, keep: float = 0.6, clip: float = 22.0, name: str = "tracked") -> DataFrame:

@@ -188,8 +188,8 @@ s AS (SELECT user_id, k, i AS last, CAST(1 AS BIGINT) AS kept, i AS total FROM c
 SELECT user_id, max(kept) AS kept, CAST(max_by(total, k) AS BIGINT) AS total FROM s GROUP BY user_id""")
 def peaks_min_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = seq.local_peaks(_numbered(spark, sf_dir), ["user_id"], ["i"], "value", 20.0)
-    k = seq.spaced(p, ["user_id"], "i", 5)
-    return k.select("user_id", F.size("kept").cast("long").alias("kept"), F.aggregate("kept", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
+    k = seq.spaced_rows(p, ["user_id"], "i", 5)
+    return k.groupBy("user_id").agg(F.count("*").alias("kept"), F.sum("i").alias("total"))
 
 
 @query(f"""
@@ -201,8 +201,8 @@ s AS (SELECT user_id, k, i AS last, CAST(1 AS BIGINT) AS kept FROM c WHERE k = 1
   UNION ALL SELECT c.user_id, c.k, CASE WHEN c.i - s.last >= 4 THEN c.i ELSE s.last END, s.kept + CASE WHEN c.i - s.last >= 4 THEN 1 ELSE 0 END FROM s JOIN c ON c.user_id = s.user_id AND c.k = s.k + 1)
 SELECT user_id, max(kept) AS beats FROM s GROUP BY user_id""")
 def threshold_beats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = seq.threshold_peaks(_numbered(spark, sf_dir), ["user_id"], "i", "value", 0.3, 2, 4)
-    return k.select("user_id", F.size("kept").cast("long").alias("beats"))
+    k = seq.threshold_peak_rows(_numbered(spark, sf_dir), ["user_id"], "i", "value", 0.3, 2, 4)
+    return k.groupBy("user_id").agg(F.count("*").alias("beats"))
 
 
 @query("""
