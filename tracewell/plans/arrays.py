@@ -142,6 +142,16 @@ def zscore_train_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.normalised(u, ["i"], "v", F.col("fold") <= 8).where("fold > 8").select("vec_id", "i", F.round("z", 5).alias("z"))
 
 
+@query(f"""
+WITH u AS (SELECT vec_id, vec_id % 10 + 1 AS fold, unnest(x) AS v, generate_subscripts(x, 1) - 1 AS i FROM {_E}),
+s AS (SELECT i, avg(v) AS mu, stddev_pop(v) AS sd FROM u WHERE fold <= 8 GROUP BY i)
+SELECT vec_id, fold, CAST(i AS INTEGER) AS i, round((v - mu) / (sd + 1e-6), 5) AS z FROM u JOIN s USING (i)""")
+def zscore_all_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector by the means and deviations of the training folds, 1 to 8."""
+    u = _signals(spark, sf_dir).select("vec_id", (F.col("vec_id") % 10 + 1).alias("fold"), F.posexplode("x").alias("i", "v"))
+    return metrics.normalised(u, ["i"], "v", F.col("fold") <= 8).select("vec_id", "fold", "i", F.round("z", 5).alias("z"))
+
+
 @query(f"""
 WITH u AS (SELECT vec_id, unnest(x) AS v, generate_subscripts(x, 1) AS i, label FROM {_E}), c AS (SELECT label, i, avg(v) AS c FROM u GROUP BY ALL),
 d AS (SELECT u.vec_id, c.label, sqrt(sum(pow(u.v - c.c, 2))) AS d FROM u JOIN c USING (i) GROUP BY ALL)

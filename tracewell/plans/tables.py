@@ -115,6 +115,18 @@ def upsert_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wh.upserted(base, e.where("event_id % 7 = 1"), ["user_id"], [F.desc("event_id")])
 
 
+@query("""
+WITH b AS (SELECT * FROM events WHERE ts < TIMESTAMP '2024-01-16' OR ts IS NULL), c AS (SELECT * FROM events WHERE ts >= TIMESTAMP '2024-01-16'),
+x AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS k FROM c
+  UNION ALL SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) FROM b WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.user_id = b.user_id))
+SELECT user_id, event_id, value FROM x WHERE k = 1""")
+def upsert_latest_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event is on one side: those before a time are the base, the rest the changes."""
+    e = read(spark, sf_dir, "events").select("user_id", "event_id", "value", F.coalesce(F.col("ts") >= F.lit("2024-01-16").cast("timestamp_ntz"), F.lit(False)).alias("late"))
+    base = wh.latest(e.where("not late").drop("late"), ["user_id"], [F.desc("event_id")])
+    return wh.upserted(base, e.where("late").drop("late"), ["user_id"], [F.desc("event_id")])
+
+
 @query("""
 WITH b AS (SELECT o_orderkey, o_totalprice AS v FROM orders WHERE o_orderkey % 10 < 8), a AS (SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS v FROM orders WHERE o_orderkey % 10 > 1)
 SELECT coalesce(b.o_orderkey, a.o_orderkey) AS o_orderkey, CASE WHEN b.o_orderkey IS NULL THEN 'added' WHEN a.o_orderkey IS NULL THEN 'deleted' ELSE 'changed' END AS change
