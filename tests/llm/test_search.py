@@ -130,6 +130,17 @@ def test_url_edges(spark, monkeypatch):
     assert urlfilter.judge(df.limit(0), rules).count() == 0
 
 
+def test_url_ties(spark, monkeypatch):
+    """Of patterns equal in rank and length the first by code point wins, however many rules there are."""
+    df = spark.createDataFrame([(1, "http://good.bad/"), (2, "http://a.bad/")], "page_id long, url string")
+    rules = (urlfilter.Rule("block", "good*"), urlfilter.Rule("allow", "*bad/"), urlfilter.Rule("allow", "a*bad/"))
+    judged = lambda: {x.page_id: (x.rule, x.verdict) for x in urlfilter.judge(df, rules).collect()}
+    want = {1: ("*bad/", "allow"), 2: ("a*bad/", "allow")}
+    assert judged() == want
+    monkeypatch.setattr(urlfilter, "MAP_RULES", 0)
+    assert judged() == want
+
+
 def _lev(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):

@@ -97,7 +97,7 @@ def judge(pages: DataFrame, rules: Sequence[Rule], default: str = "allow") -> Da
         flat = [(t, r.rank, len(r.pattern), r.pattern, r.verdict, r.regex) for t, held in index.items() for r in held]
         by_token = pages.sparkSession.createDataFrame(flat, "token string, rank int, length int, rule string, verdict string, regex string")
         fits = seen.select("whole").distinct().withColumn("token", F.explode(F.array_distinct(F.concat(F.regexp_extract_all(F.lower("whole"), F.lit(f"({TOKEN})"), 1), F.array(F.lit("")))))).join(by_token, "token").where("whole rlike regex")
-        best = fits.groupBy("whole").agg(F.array(F.max_by(F.struct("rank", "length", "rule", "verdict", "regex"), F.struct("rank", "length", "rule"))).alias("fetched"))
+        best = fits.groupBy("whole").agg(F.array(F.min_by(F.struct("rank", "length", "rule", "verdict", "regex"), F.struct(-F.col("rank"), -F.col("length"), "rule"))).alias("fetched"))
         seen = seen.join(best, "whole", "left")
     fits = F.filter("fetched", lambda r: F.rlike(F.col("whole"), r["regex"]))
     best = F.array_sort(fits, lambda a, b: F.when(a["rank"] != b["rank"], b["rank"] - a["rank"]).when(a["length"] != b["length"], b["length"] - a["length"]).when(a["rule"] < b["rule"], -1).when(a["rule"] > b["rule"], 1).otherwise(0))
