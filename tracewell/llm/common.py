@@ -5,19 +5,27 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own_dirs: dict[str, str] = {}
+_paths: dict[int, tuple[weakref.ref, str]] = {}
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``, which driver and executors share;
-    a folder of its own only where that is unset, as in local tests."""
+    """The folder of ``spark.checkpoint.dir``, which driver and executors share.
+
+    Where that is unset, a local run (as in tests) gets a folder of its own; on a
+    cluster that is an error, as executors do not see each other's disks.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
         _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="tracewell-")
@@ -34,7 +42,18 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     so that a lost executor costs no recomputation of what stands before."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _paths[id(out)] = (weakref.ref(out), path)
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Remove tables that saved() wrote and that nothing will read again."""
+    for frame in frames:
+        held, path = _paths.pop(id(frame), (None, ""))
+        if held is not None and held() is frame:
+            store, at = fs.FileSystem.from_uri(path)
+            store.delete_dir(at)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -4,12 +4,15 @@ that equal components speak for a small edit distance, not only for shared sets.
 Pairs that share a component are aligned, and are linked if their edit
 similarity, 1 - distance / words of the longer text, reaches the threshold.
 
-Texts with the same words form a class at once, and classes stand for their
-members from there on. In a bucket (texts that share a component) every text is
-aligned with the bucket's leader, its least id, so that a text that meets a group in many buckets meets
-mostly one leader; then the texts of a bucket whose components
-differ meet in pairs of blocks of bounded size, so no link is lost, no large
-group meets in one task, and a group of copies costs a row for each member.
+Texts with the same words form a class at once, and one representative stands
+for them from there on. Texts that share a component form a bucket, whose leader
+is its least id. First every text is aligned with the one leader that it meets in
+most buckets; those links are a forest, with one edge a text however large the
+group. Then texts are aligned with the leaders that are still in other classes.
+Last, the members of a bucket that are still in different classes meet in pairs
+of blocks of bounded size and alike length, where a bound on shared words
+discards nearly all pairs; so no link between classes is lost, no large group
+meets in one task, and no group emits its pairs.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import discard, saved
 from .words import mix64, slices, word_hashes
 
 #: Two-word shingles outlive scattered changes: with 48 components a pair at edit similarity 0.8 is rarely missed.
@@ -35,7 +38,8 @@ SHORT = 64
 SHORT_COMPONENTS = 16
 SHORT_KEPT = 2
 SIMILARITY = 0.8
-BLOCK = 128
+BLOCK = 4096
+TILE = 512
 BINS = 1024
 _SEEDS = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
@@ -56,18 +60,29 @@ def shingle_hashes(words: np.ndarray, shingle: int = SHINGLE) -> np.ndarray:
 
 def sketch(words: np.ndarray, components: int = COMPONENTS, kept: int = KEPT, shingle: int = SHINGLE, first: int = 0) -> np.ndarray:
     """A hash for each component, the seeds taken from ``first`` on; texts of fewer shingles than ``kept`` take all of theirs."""
-    h, out = shingle_hashes(words, shingle), []
-    at_once = max(1, 2_000_000 // max(1, len(h)))
-    for k in range(first, first + components, at_once):
-        value = _SEEDS[k : min(first + components, k + at_once)].copy()
-        mixed = (h[None, :] ^ value[:, None]) * np.uint64(0x9FB21C651E98DF25)
-        mixed ^= mixed >> np.uint64(32)
-        # the places of the least hashes, in text order
-        least = np.sort(np.argpartition(mixed, kept - 1, axis=1)[:, :kept], axis=1) if len(h) > kept else np.arange(len(h))[None, :].repeat(len(value), 0)
-        for column in h[least].T:
-            value = mix64(value * np.uint64(3) + column)
-        out.append(value)
-    return np.concatenate(out)
+    h = shingle_hashes(words, shingle)
+    value = _SEEDS[first : first + components].copy()
+    if len(h) <= kept:
+        for one in h:
+            value = mix64(value * np.uint64(3) + one)
+        return value
+    high, flip = (h >> np.uint64(32)).astype(np.uint32), (value >> np.uint64(32)).astype(np.uint32)
+    factor = value.astype(np.uint32) | np.uint32(1)
+    places = np.empty((components, kept), np.int64)
+    at_once = max(1, 131_072 // len(h))
+    for k in range(0, components, at_once):
+        part = slice(k, k + at_once)
+        order = (high[None, :] ^ flip[part, None]) * factor[part, None]
+        order ^= order >> np.uint32(15)
+        order *= np.uint32(0x2C1B3C6D)
+        rows = np.arange(len(order))
+        for j in range(kept):
+            places[part, j] = least = order.argmin(1)
+            order[rows, least] = np.uint32(0xFFFFFFFF)
+    places.sort(axis=1)  # text order
+    for column in h[places].T:
+        value = mix64(value * np.uint64(3) + column)
+    return value
 
 
 def full_sketch(words: np.ndarray, components: int = COMPONENTS, kept: int = KEPT) -> np.ndarray:
@@ -191,16 +206,32 @@ def common_words(a: np.ndarray, b: np.ndarray) -> int:
 
 
 def histogram(words: np.ndarray) -> np.ndarray:
-    """How many words fall in each bin, up to 255: the sum of two texts' lesser counts bounds the words they share."""
+    """How many words fall in each bin, up to 255: the sum of two texts' lesser counts, and the lesser number of words that full bins
+    left out, bound the words they share."""
     return np.minimum(np.bincount((words >> np.uint64(54)).astype(np.int64), minlength=BINS), 255).astype(np.uint8)
 
 
-def may_be_alike(h: np.ndarray, n: int, others: np.ndarray, sizes: np.ndarray, similarity: float) -> np.ndarray:
-    """Whether a text of n words and histogram h can be alike each of some others; full bins bound nothing."""
-    most = np.maximum(sizes, n)
-    close = np.minimum(sizes, n) >= similarity * most - 1e-9
-    shared = np.minimum(h[None, :], others).sum(1, dtype=np.int64)
-    return close & ((shared >= similarity * most - 1e-9) | (h.max() == 255) | (others.max(1) == 255))
+def may_be_alike(a: np.ndarray, a_sizes: np.ndarray, b: np.ndarray, b_sizes: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places in a and b of the pairs of texts, given by histograms and numbers of words, that can be alike; full bins bound nothing.
+
+    A text shares at most the words that fall in bins which the other has too, a
+    matrix product for all pairs at once; for the pairs that this leaves, the
+    lesser counts of all bins are added up.
+    """
+    most = np.maximum(a_sizes[:, None], b_sizes[None, :])
+    need = similarity * most - 1e-6 * most
+    af, bf = a.astype(np.float32), b.astype(np.float32)
+    a_over, b_over = a_sizes - a.sum(1, dtype=np.int64), b_sizes - b.sum(1, dtype=np.int64)  # words that full bins don't count
+    need -= np.minimum(a_over[:, None], b_over[None, :])
+    ok = np.minimum(a_sizes[:, None], b_sizes[None, :]) >= similarity * most - 1e-6 * most
+    ok &= af @ (bf > 0).astype(np.float32).T >= need
+    ok &= (af > 0).astype(np.float32) @ bf.T >= need
+    i, j = np.nonzero(ok)
+    kept = np.empty(len(i), bool)
+    for k in range(0, len(i), 4096):
+        x, y = i[k : k + 4096], j[k : k + 4096]
+        kept[k : k + 4096] = np.minimum(a[x], b[y]).sum(1, dtype=np.int64) >= need[x, y]
+    return i[kept], j[kept]
 
 
 def allowed(a: int, b: int, similarity: float) -> int:
@@ -214,13 +245,13 @@ def alike(pairs: list[tuple[np.ndarray, np.ndarray]], similarity: float) -> np.n
 
 
 def sketched(docs: DataFrame, components: int, kept: int) -> DataFrame:
-    """doc_id, row (unlike for rows that repeat a doc_id), same (a hash of all words, or of a wordless text), n words, sketch."""
+    """doc_id, tie (a hash of the text), same (a hash of all words, or of a wordless text), n words, sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, len(batch), 512):
                 part = batch.slice(k, 512)
-                texts = [t or "" for t in part.column(1).to_pylist()]
+                texts = [t or "" for t in part.column(2).to_pylist()]
                 same, counts, sketches = [], [], []
                 for a, b in slices(texts):
                     words, offsets = word_hashes(texts[a:b])
@@ -230,10 +261,10 @@ def sketched(docs: DataFrame, components: int, kept: int) -> DataFrame:
                         same.append(hashlib.blake2b(data, digest_size=16).digest())
                         counts.append(len(own))
                         sketches.append(full_sketch(own, components, kept).view(np.int64) if len(own) else None)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(same, pa.binary()), pa.array(counts, pa.int64()), pa.array(sketches, pa.list_(pa.int64()))], ["doc_id", "same", "n", "sketch"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(same, pa.binary()), pa.array(counts, pa.int64()), pa.array(sketches, pa.list_(pa.int64()))], ["doc_id", "tie", "same", "n", "sketch"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(run, "doc_id long, same binary, n long, sketch array<long>")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), "text")
+    return rows.mapInArrow(run, "doc_id long, tie long, same binary, n long, sketch array<long>")
 
 
 def linked(pairs: DataFrame, tokens: DataFrame, similarity: float) -> DataFrame:
@@ -260,129 +291,202 @@ def components(links: DataFrame) -> DataFrame:
     are followed to their ends, and only the edges between ends go on: at least
     half of the ids that have edges go with each round.
     """
-    edges = saved(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "dup-edges")
+    both = lambda e: e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    edges = saved(both(links.select("a", "b")).where("a <> b").distinct(), "dup-edges")
     labels = None
     while True:
         tops = saved(edges.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("root")).withColumnRenamed("a", "id"), "dup-labels")
         while True:
             hop = tops.select(F.col("id").alias("root"), F.col("root").alias("far"))
             moved = saved(tops.join(hop, "root").select("id", F.col("far").alias("root"), (F.col("far") < F.col("root")).alias("moved")), "dup-labels")
-            tops = moved.select("id", "root")
+            discard(tops)
+            tops = moved
             if not moved.where("moved").take(1):
                 break
         if labels is None:
             labels = tops
         else:
             above = tops.select(F.col("id").alias("root"), F.col("root").alias("top"))
-            labels = saved(labels.join(above, "root", "left").select("id", F.coalesce("top", "root").alias("root")), "dup-labels")
+            older, labels = labels, saved(labels.join(above, "root", "left").select("id", F.coalesce("top", "root").alias("root")), "dup-labels")
+            discard(older)
         ends = tops.select(F.col("id").alias("a"), F.col("root").alias("a_top")), tops.select(F.col("id").alias("b"), F.col("root").alias("b_top"))
         rest = edges.where("a < b").join(ends[0], "a").join(ends[1], "b").where("a_top <> b_top").select(F.col("a_top").alias("a"), F.col("b_top").alias("b"))
-        edges = saved(rest.unionByName(rest.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "dup-edges")
+        older, edges = edges, saved(both(rest).distinct(), "dup-edges")
+        discard(older)
         if not edges.take(1):
-            return labels
+            discard(edges)
+            return labels.select("id", "root")
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, components_: int = COMPONENTS, kept: int = KEPT) -> DataFrame:
-    """doc_id, class_id, class_size, n_links of every row of ``docs``.
+def _extended(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` (id, root) after more links: only the edges between roots are worked on."""
+    ends = [labels.select(F.col("id").alias(x), F.col("root").alias(f"{x}_root")) for x in "ab"]
+    rooted = links.join(ends[0], "a", "left").join(ends[1], "b", "left")
+    edges = saved(rooted.select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b")).where("a <> b").distinct(), "dup-edges")
+    if not edges.take(1):
+        return labels
+    tops = components(edges)
+    above = tops.select(F.col("id").alias("root"), F.col("root").alias("top"))
+    moved = labels.join(above, "root", "left").select("id", F.coalesce("top", "root").alias("root"))
+    return saved(moved.unionByName(tops.join(labels, "id", "left_anti").select("id", "root")), "dup-labels")
 
-    class_id is the least doc_id of the row's class: documents joined by links,
-    directly or through others. n_links counts the links that alignment found
-    for the row's words with other words. Null texts count as empty; texts
-    without words are alike only if they are equal. Rows that repeat a doc_id
-    fall in the classes of their texts; those with a null doc_id have a null
-    class_id and stand alone. An empty table gives no rows. Other columns play
-    no part.
-    """
-    rows = saved(sketched(docs.where("doc_id is not null"), components_, kept), "dup-sketches")
+
+def _between(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose ids have different roots."""
+    ends = [labels.select(F.col("id").alias(x), F.col("root").alias(f"{x}_root")) for x in "ab"]
+    rooted = pairs.join(ends[0], "a", "left").join(ends[1], "b", "left")
+    return rooted.where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b")
+
+
+def classes(docs: DataFrame, similarity: float = SIMILARITY, components_: int = COMPONENTS, kept: int = KEPT) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, tie, same) and classes of their words (same, root, class_id, class_size, n_links)."""
+    rows = saved(sketched(docs, components_, kept), "dup-sketches")
     # one representative for the documents of the same words
     reps = saved(rows.groupBy("same").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "dup-classes")
-    # two classes may share a doc_id that rows repeat; ids of representatives must not
-    clash = reps.groupBy("id").count().where("count > 1").take(1)
+    # two classes may share a doc_id that rows repeat, or have none; ids of representatives must not clash
+    clash = reps.groupBy("id").count().where("count > 1 or id is null").take(1)
     reps = reps.withColumn("id", F.xxhash64("same")) if clash else reps
-    own = F.xxhash64("j", "value")
-    spread = reps.where("n > 0").select("id", F.posexplode("sketch").alias("j", "value")).select("id", "j", own.alias("bucket"))
-    buckets = saved(spread.groupBy("bucket").agg(F.count("*").alias("size"), F.min("id").alias("leader")).where("size > 1"), "dup-buckets")
-    members = saved(spread.join(buckets, "bucket"), "dup-members")
-    pairs = saved(members.where("id <> leader").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct(), "dup-pairs")
+    spread = reps.where("n > 0").select("id", F.col("n").cast("int").alias("n"), F.posexplode("sketch").alias("j", "value")).select("id", "n", F.xxhash64("j", "value").alias("bucket"))
+    buckets = saved(spread.groupBy("bucket").agg(F.count("*").alias("size"), F.min(F.struct("id", "n")).alias("leader")).where("size > 1"), "dup-buckets")
+    members = saved(spread.join(buckets.select("bucket", F.col("leader.id").alias("leader"), F.col("leader.n").alias("leader_n")), "bucket"), "dup-members")
+    # texts whose lengths alone differ by too many edits are no pair
+    close = F.abs(F.col("n") - F.col("leader_n")) <= (1 - similarity) * F.greatest("n", "leader_n") + 1e-9
+    pairs = saved(members.where(F.col("id") != F.col("leader")).where(close).groupBy(F.col("leader").alias("a"), F.col("id").alias("b")).agg(F.count("*").alias("shared")), "dup-pairs")
     tokens = _tokens(docs, rows, reps, members.select("id").distinct())
-    links = saved(linked(pairs, tokens, similarity), "dup-links")
+    # the leader that a text meets most often, then the leaders of other classes
+    best = saved(pairs.groupBy("b").agg(F.max(F.struct("shared", (-F.col("a")).alias("a"))).alias("x")).select((-F.col("x.a")).alias("a"), "b"), "dup-pairs")
+    links = saved(linked(best, tokens, similarity), "dup-links")
     labels = components(links)
+    rest = _between(pairs.select("a", "b").join(best, ["a", "b"], "left_anti"), labels)
+    more = saved(linked(rest, tokens, similarity), "dup-links")
+    labels = _extended(labels, more)
     # what the leaders left apart
-    found = saved(_apart(members, labels, reps.select("id", "sketch"), tokens, similarity), "dup-apart")
-    if found.take(1):
-        links = links.unionByName(found)
-        labels = components(links)
+    found, labels = _apart(members, labels, tokens, similarity)
+    links = links.unionByName(more).unionByName(found)
     degree = links.select("a").unionByName(links.select(F.col("b").alias("a"))).groupBy("a").agg(F.count("*").alias("n_links")).withColumnRenamed("a", "id")
-    classed = reps.join(labels, "id", "left").join(degree, "id", "left").select("same", "id", F.coalesce("root", "id").alias("root"), "copies", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    classed = saved(reps.join(labels, "id", "left").join(degree, "id", "left").select("same", F.coalesce("root", "id").alias("root"), "copies", F.coalesce("n_links", F.lit(0)).alias("n_links")), "dup-roots")
     least = rows.groupBy("same").agg(F.min("doc_id").alias("least"))
-    by_root = classed.join(least, "same").groupBy("root").agg(F.min("least").alias("class_id"), F.sum("copies").alias("class_size"))
-    named = saved(classed.join(by_root, "root").select("same", "class_id", "class_size", "n_links"), "dup-named")
-    out = rows.select("doc_id", "same").join(named, "same").select("doc_id", "class_id", "class_size", "n_links")
-    alone = docs.where("doc_id is null").select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(None).cast("long").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(0).cast("long").alias("n_links"))
-    return out.unionByName(alone)
+    by_root = saved(classed.join(least, "same").groupBy("root").agg(F.min("least").alias("class_id"), F.sum("copies").alias("class_size")), "dup-by-root")
+    named = saved(classed.join(by_root, "root").select("same", "root", "class_id", "class_size", "n_links"), "dup-named")
+    own = saved(rows.select("doc_id", "tie", "same"), "dup-rows")
+    discard(rows, reps, buckets, members, pairs, best, tokens, classed, by_root)
+    return own, named
+
+
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, components_: int = COMPONENTS, kept: int = KEPT) -> DataFrame:
+    """doc_id, class_id, class_size, n_links of every row of ``docs``.
+
+    class_id is the least doc_id of the row's class: documents joined by links,
+    directly or through others; it is null where the whole class has no doc_id.
+    n_links counts the links that alignment found for the row's words with other
+    words, on the way to the classes. Null texts count as empty; texts without
+    words are alike only if they are equal. Rows that repeat a doc_id, or have
+    none, fall in the classes of their texts. An empty table gives no rows.
+    Other columns play no part.
+    """
+    rows, named = classes(docs, similarity, components_, kept)
+    return rows.select("doc_id", "same").join(named, "same").select("doc_id", "class_id", "class_size", "n_links")
 
 
 def _tokens(docs: DataFrame, rows: DataFrame, reps: DataFrame, wanted: DataFrame) -> DataFrame:
     """id and words of the wanted representatives, from one document of each."""
-    one = rows.join(reps.select("same", "id").join(wanted, "id"), "same").groupBy("id").agg(F.min("doc_id").alias("doc_id"), F.first("same").alias("same"))
+    keys = rows.join(reps.select("same", "id").join(wanted, "id"), "same").groupBy("id").agg(F.min(F.struct("doc_id", "tie")).alias("key"))
+    keys = keys.select("id", F.col("key.doc_id").alias("k_id"), F.col("key.tie").alias("k_tie"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, len(batch), 256):
                 part = batch.slice(k, 256)
-                texts = part.column("text").to_pylist()
-                ids, data = [], []
+                texts, data = part.column("text").to_pylist(), []
                 for a, b in slices(texts):
                     words, offsets = word_hashes(texts[a:b])
-                    for t in range(b - a):
-                        piece = words[offsets[t] : offsets[t + 1]].tobytes()
-                        # a doc_id that rows repeat has other texts too
-                        if hashlib.blake2b(piece, digest_size=16).digest() == part.column("same")[a + t].as_py():
-                            ids.append(part.column("id")[a + t].as_py())
-                            data.append(piece)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(data, pa.binary())], ["id", "words"])
-
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(one, "doc_id").select("id", "same", "text")
+                    data += [words[offsets[t] : offsets[t + 1]].tobytes() for t in range(b - a)]
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(data, pa.binary())], ["id", "words"])
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), "text")
+    texts = texts.join(keys, F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("tie") == F.col("k_tie"))).select("id", "text")
     return saved(texts.mapInArrow(run, "id long, words binary").dropDuplicates(["id"]), "dup-words")
 
 
-def _apart(members: DataFrame, labels: DataFrame, sketches: DataFrame, tokens: DataFrame, similarity: float) -> DataFrame:
-    """Links between members of a bucket that are in different components: its members' blocks meet two at a time.
+def _apart(members: DataFrame, labels: DataFrame, tokens: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """Links between members of a bucket that are in different classes, and the labels with them.
 
-    A pair is aligned in the first component that its sketches share, and leaders
-    have been aligned before; only links leave a group.
+    The members other than the leader, which has been aligned with all, are cut
+    by length so that alike texts are in the same or the next cut, and cuts are
+    cut into blocks by hash. Blocks meet two at a time and give, for a text and a
+    class, the members of that class that share enough words; the first of those
+    is aligned, and the others only if the classes are still apart.
     """
-    rooted = members.join(labels, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    mixed = rooted.groupBy("bucket").agg(F.count("*").alias("size"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi and size > 2").select("bucket", "size")
-    # a bucket of up to BLOCK members is one block; larger ones are cut by hash
-    blocked = rooted.drop("size").join(mixed, "bucket").withColumn("blocks", F.expr(f"(size + {BLOCK} - 1) div {BLOCK}")).withColumn("block", F.expr("pmod(xxhash64(id, 7), blocks)"))
-    blocked = blocked.join(sketches, "id").join(tokens, "id")
-    other = F.explode(F.expr("sequence(cast(0 as bigint), blocks - 1)"))
-    met = blocked.select("bucket", "j", "leader", "id", "root", "sketch", "words", "block", other.alias("other")).withColumn("x", F.least("block", "other")).withColumn("y", F.greatest("block", "other"))
+    rooted = members.where("id <> leader").join(labels, "id", "left").select("bucket", "id", F.coalesce("root", "id").alias("root"))
+    mixed = rooted.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
+    own = saved(rooted.join(mixed, "bucket"), "dup-mixed")
+    empty = labels.sparkSession.createDataFrame([], "a long, b long")
+    if not own.take(1):
+        return empty, labels
+
+    def binned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = [np.frombuffer(x, np.uint64) for x in batch.column("words").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([len(w) for w in words], pa.int64()), pa.array([histogram(w).tobytes() for w in words], pa.binary())], ["id", "n", "bins"])
+
+    bins = tokens.join(own.select("id").distinct(), "id", "left_semi").mapInArrow(binned, "id long, n long, bins binary")
+    cut = F.floor(F.log(F.col("n").cast("double")) / float(np.log(1.01 / similarity))).cast("long")
+    own = saved(own.join(saved(bins, "dup-bins"), "id").withColumn("cut", cut), "dup-cut")
+    cuts = own.groupBy("bucket", "cut").agg(F.expr(f"(count(*) + {BLOCK - 1}) div {BLOCK}").alias("blocks"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+    cuts = saved(cuts.groupBy("bucket").agg(F.map_from_entries(F.collect_list(F.struct("cut", F.struct("blocks", "lo", "hi")))).alias("cuts")), "dup-cuts")
+    # the cuts that a text's cut meets: itself and its neighbours, if the two hold more than one class
+    met = F.expr("filter(array(cut - 1, cut, cut + 1), c -> map_contains_key(cuts, c) and not (cuts[c].lo = cuts[c].hi and cuts[cut].lo = cuts[cut].hi and cuts[c].lo = cuts[cut].lo))")
+    targets = F.expr("flatten(transform(met, c -> transform(sequence(0L, cuts[c].blocks - 1), b -> struct(c as cut, b as block))))")
+    near = own.join(cuts, "bucket").withColumn("met", met).where("size(met) > 0").withColumn("block", F.expr("pmod(xxhash64(id, 7), cuts[cut].blocks)"))
+    near = near.withColumn("to", F.explode(targets)).drop("cuts", "met")
+    # the lesser (cut, block) of two is the first
+    at, to = F.struct("cut", "block"), F.col("to")
+    cells = near.select("bucket", F.least(at, to).alias("x"), F.greatest(at, to).alias("y"), (at <= to).alias("first"), (at >= to).alias("second"), "id", "root", "n", "bins")
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        x, y, j = frame["x"].iloc[0], frame["y"].iloc[0], int(frame["j"].iloc[0])
-        frame = frame[frame["id"] != frame["leader"]]
-        a, b = frame[frame["block"] == x], frame[frame["block"] == y]
-        words = {r.id: np.frombuffer(r.words, np.uint64) for r in frame.itertuples()}
-        bins = {k: histogram(w) for k, w in words.items()}
-        b_ids, b_root, b_sketch = b["id"].to_numpy(), b["root"].to_numpy(), np.stack([x[:j] for x in b["sketch"]]) if len(b) else np.zeros((0, j))
-        b_n, b_bins = np.array([len(words[k]) for k in b_ids], np.int64), np.array([bins[k] for k in b_ids]).reshape(len(b), BINS)
         found = []
-        for row in a.itertuples():
-            ok = (b_root != row.root) & ~(b_sketch == np.asarray(row.sketch)[None, :j]).any(1)
-            ok &= (b_ids > row.id) if x == y else (b_ids != row.id)
-            if ok.any():
-                ok &= may_be_alike(bins[row.id], len(words[row.id]), b_bins, b_n, similarity)
-            others = b_ids[ok]
-            linked_ = alike([(words[row.id], words[k]) for k in others], similarity)
-            found += [(min(row.id, k), max(row.id, k)) for k in others[linked_]]
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
-
-    return met.groupBy("bucket", "x", "y").applyInPandas(run, "a long, b long").distinct()
+        if frame["root"].nunique() > 1:
+            alone = bool(frame["first"].iloc[0] and frame["second"].iloc[0])  # a block by itself
+            a, b = ((part["id"].to_numpy(), part["root"].to_numpy(), part["n"].to_numpy(), np.frombuffer(b"".join(part["bins"]), np.uint8).reshape(-1, BINS)) for part in (frame[frame["first"]], frame[frame["second"]]))
+            for k in range(0, len(a[0]), TILE):
+                for m in range(0, len(b[0]), TILE):
+                    (ids, roots, n, bins), (b_ids, b_roots, b_n, b_bins) = (tuple(c[p : p + TILE] for c in side) for side, p in ((a, k), (b, m)))
+                    i, j = may_be_alike(bins, n, b_bins, b_n, similarity)
+                    apart = (roots[i] != b_roots[j]) & ((not alone) | (ids[i] < b_ids[j]))
+                    found.append(np.stack([ids[i[apart]], b_roots[j[apart]], b_ids[j[apart]]], 1))
+        pairs = np.concatenate(found) if found else np.zeros((0, 3), np.int64)
+        pairs = pairs[np.lexsort(pairs.T[::-1])]
+        begins = np.flatnonzero((np.diff(pairs[:, :2], axis=0, prepend=pairs[:1, :2] - 1) != 0).any(1))
+        return pd.DataFrame({"id": pairs[begins, 0], "others": pd.Series([x.tolist() for x in np.split(pairs[:, 2], begins[1:])] if len(pairs) else [], dtype=object)})
+
+    cells = cells.repartition(own.count() // 1024 + 1, "bucket", "x", "y")  # small rows, but much work for each
+    candidates = saved(cells.groupBy("bucket", "x", "y").applyInPandas(run, "id long, others array<long>"), "dup-candidates")
+    pair = lambda rows, other: rows.select(F.least("id", other).alias("a"), F.greatest("id", other).alias("b")).distinct()
+    first = saved(linked(pair(candidates, F.col("others")[0]), tokens, similarity), "dup-links")
+    labels = _extended(labels, first)
+    # the others of a row are of one class: the row is done if that has become the text's own
+    left = candidates.where("size(others) > 1").withColumn("other", F.col("others")[0])
+    for x in ("id", "other"):
+        left = left.join(labels.select(F.col("id").alias(x), F.col("root").alias(f"{x}_root")), x, "left").withColumn(f"{x}_root", F.coalesce(f"{x}_root", x))
+    left = saved(left.where("id_root <> other_root").select("id", "others").distinct(), "dup-left")
+    rest = _between(pair(left.select("id", F.explode(F.expr("slice(others, 2, size(others) - 1)")).alias("other")), F.col("other")), labels)
+    second = saved(linked(rest, tokens, similarity), "dup-links")
+    labels = _extended(labels, second)
+    discard(candidates, left)
+    return first.unionByName(second), labels
 
 
 def deduplicated(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The rows of ``docs``, with their columns, whose doc_id is their class's; rows with a null doc_id stay, as do rows that repeat a kept doc_id."""
-    kept = near_duplicates(docs, similarity).where("doc_id = class_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id").cast("long") == F.col("kept_id"), "left_semi").unionByName(docs.where("doc_id is null"))
+    """One row of each class of near_duplicates(), with the columns of ``docs``: that of the least doc_id, or if the
+    class has none, any of one text. Null and empty texts are one class, and rows that repeat a row are one. An
+    empty table gives no rows."""
+    rows, named = classes(docs, similarity)
+    keys = rows.join(named.select("same", "root"), "same")
+    chosen = keys.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie")).alias("key")).select(F.col("key.doc_id").alias("k_id"), F.col("key.tie").alias("k_tie"))
+    copies = rows.groupBy(F.col("doc_id").alias("c_id"), F.col("tie").alias("c_tie")).agg(F.count("*").alias("copies"))
+    chosen = saved(chosen.join(copies, F.col("k_id").eqNullSafe(F.col("c_id")) & (F.col("k_tie") == F.col("c_tie"))).select("k_id", "k_tie", "copies"), "dup-chosen")
+    own = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("tie"))
+    on = F.col("id").eqNullSafe(F.col("k_id")) & (F.col("tie") == F.col("k_tie"))
+    single = own.join(chosen.where("copies = 1"), on, "left_semi").select("row")
+    repeated = own.join(chosen.where("copies > 1"), on, "left_semi").dropDuplicates(["id", "tie"]).select("row")
+    return single.unionByName(repeated).select(*[F.col("row")[c].alias(c) for c in docs.columns])

@@ -45,15 +45,42 @@ def joined(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return data, np.flatnonzero(data == 0)
 
 
-def hashed(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends and hashes of the words of some bytes."""
+def _sums(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and polynomials (of the first byte on) of the words of some bytes."""
     _ensure(len(data) + 1)
     word = WORD_BYTES[data]
     edge = np.flatnonzero(np.diff(word, prepend=False, append=False))
     starts, ends = edge[::2], edge[1::2]
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _up[: len(data)], out=sums[1:])
-    return starts, ends, mix64((sums[ends] - sums[starts]) * _down[starts])
+    return starts, ends, (sums[ends] - sums[starts]) * _down[starts]
+
+
+def hashed(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and hashes of the words of some bytes."""
+    starts, ends, sums = _sums(data)
+    return starts, ends, mix64(sums)
+
+
+def _long(data: np.ndarray) -> np.ndarray:
+    """Hashes of the words of one long text, PIECE / 2 bytes at a time; a word that a cut parts is put together again."""
+    out, parted, length = [], np.zeros(1, np.uint64), 0  # the polynomial and length of the word that the last piece ended in
+    for k in range(0, len(data), PIECE // 2):
+        piece = data[k : k + PIECE // 2]
+        starts, ends, sums = _sums(piece)
+        sizes = ends - starts
+        if length and len(starts) and starts[0] == 0:
+            sums[:1] = parted + sums[:1] * np.uint64(pow(int(_BASE), length, 1 << 64))
+            sizes[0] += length
+        elif length:
+            out.append(parted)
+        length = 0
+        if len(ends) and ends[-1] == len(piece):
+            parted, length, sums = sums[-1:], int(sizes[-1]), sums[:-1]
+        out.append(sums)
+    if length:
+        out.append(parted)
+    return mix64(np.concatenate(out))
 
 
 def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -64,12 +91,12 @@ def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         while last < len(texts) and (last == first or held + len(texts[last] or "") <= PIECE // 2):
             held += len(texts[last] or "")
             last += 1
-        if held > PIECE // 2:  # one very long text, in pieces that end between words
-            own = [h for piece in _pieces(texts[first]) for h in [hashed(joined([piece])[0])[2]]]
-            hashes.extend(own)
-            counts.append(np.array([sum(map(len, own))]))
+        data, zeros = joined(texts[first:last])
+        if held > PIECE // 2:  # one very long text
+            own = _long(data)
+            hashes.append(own)
+            counts.append(np.array([len(own)]))
         else:
-            data, zeros = joined(texts[first:last])
             starts, _, h = hashed(data)
             hashes.append(h)
             counts.append(np.diff(np.searchsorted(starts, zeros), prepend=0))
@@ -78,16 +105,6 @@ def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)), offsets.astype(np.int64)
 
 
-def _pieces(text: str):
-    at = 0
-    while at < len(text):
-        end = min(len(text), at + PIECE // 4)
-        while end < len(text) and text[end] not in " \n\t\r" and end - at < PIECE // 2:
-            end += 1
-        yield text[at:end]
-        at = end
-
-
 def slices(texts: list[str | None], most: int = PIECE // 2):
     """(first, last) of runs of texts that hold about ``most`` characters, at least one text."""
     first, held = 0, 0
