@@ -28,7 +28,7 @@ def ids(tokenizer, text):
 def test_encoding_is_the_library_s(tokenizer, more_docs):
     texts = [r.text for r in more_docs.limit(120).collect()]
     texts += ["", None, "It's  'quoted' l'été\tDON'T 'S", "éÉé ǅ ﬁ ß ẞ İ  x\x1cy\x85z", "##a!?'re 12³ 五 x<|endoftext|>y <|ENDOFTEXT|>", "\n\n a\n", "ª µ ÷ × ÿ Ÿ"]
-    flat, counts = Encoder(PATH, cache=50).encode(pa.array(texts))
+    flat, counts = Encoder(PATH, cache_bytes=20_000).encode(pa.array(texts))
     cut = np.split(flat, np.cumsum(counts)[:-1])
     assert [c.tolist() for c in cut] == [ids(tokenizer, t) for t in texts]
 

@@ -2,7 +2,8 @@
 
 Pre-tokens never cross white space, so a text's ids are those of its
 space-separated chunks one after another. Each distinct chunk of a batch is
-encoded once, and a bounded cache keeps the chunks that earlier batches held.
+looked up once, in a cache of two generations that is bounded in bytes: chunks
+used again move to the younger one, and the older one goes when that is full.
 """
 
 from __future__ import annotations
@@ -16,60 +17,61 @@ import pyarrow.compute as pc
 
 #: lower-case and upper-case letters of ASCII and Latin-1, then ASCII punctuation without the apostrophe
 _PLAIN = re.compile(r"([a-zA-Zß-öø-ÿÀ-ÖØ-Þ]*)([!-&(-/:-@\[-`{-~]*)")
-BATCH_CHARS = 6_000_000
+BATCH_CHARS = 1_500_000
+CACHE_BYTES = 64 << 20
+#: about what an entry of the cache takes besides its characters and ids
+ENTRY_BYTES = 190
 
 
 class Encoder:
     """ids of texts by ``tokenizers``, as ``encode(text, add_special_tokens=False)`` gives them."""
 
-    def __init__(self, path: str, cache: int = 600_000):
+    def __init__(self, path: str, cache_bytes: int = CACHE_BYTES):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         os.environ.setdefault("RAYON_NUM_THREADS", "1")
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.whole = Tokenizer.from_file(path)
         self.bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.limit = cache
+        self.limit = cache_bytes
         self.plain = _is_word_bpe(self.whole)
-        self._reset()
-
-    def _reset(self) -> None:
-        self.codes: dict[str, int] = {}
-        self.parts: dict[str, list[int]] = {}
-        self.starts, self.flat, self.used = [0], np.zeros(1 << 20, np.uint32), 0
-
-    def _part(self, part: str) -> list[int]:
-        found = self.parts.get(part)
+        # chunks and their ids as bytes of uint32
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.held = 0
+
+    def _keep(self, chunk: str, ids: bytes) -> bytes:
+        size = ENTRY_BYTES + len(chunk) + len(ids)
+        if size > self.limit // 64:  # a very long chunk is not worth its place
+            return ids
+        if self.held + size > self.limit // 2:
+            self.old, self.young, self.held = self.young, {}, 0
+        self.young[chunk] = ids
+        self.held += size
+        return ids
+
+    def _part(self, part: str) -> bytes:
+        """ids of a run of letters or of marks."""
+        found = self.young.get(part)
         if found is None:
-            mapped = part if part.isascii() else self.bytes.pre_tokenize_str(part)[0][0]
-            found = self.parts[part] = [t.id for t in self.whole.model.tokenize(mapped)]
+            found = self.old.get(part)
+            if found is None:
+                mapped = part if part.isascii() else self.bytes.pre_tokenize_str(part)[0][0]
+                found = np.array([t.id for t in self.whole.model.tokenize(mapped)], np.uint32).tobytes()
+            self._keep(part, found)
         return found
 
-    def _chunk(self, chunk: str) -> list[int]:
+    def _chunk(self, chunk: str) -> bytes:
+        found = self.old.get(chunk)
+        if found is not None:
+            return self._keep(chunk, found)
         m = _PLAIN.fullmatch(chunk) if self.plain else None
         if m is None:
-            return self.whole.encode(chunk, add_special_tokens=False).ids
+            return self._keep(chunk, np.array(self.whole.encode(chunk, add_special_tokens=False).ids, np.uint32).tobytes())
         letters, marks = m.groups()
-        return (self._part(letters.lower()) if letters else []) + (self._part(marks) if marks else [])
-
-    def _known(self, chunks: list[str]) -> np.ndarray:
-        """The codes of chunks, after encoding those that are new."""
-        if len(self.codes) > self.limit:
-            self._reset()
-        out = np.empty(len(chunks), np.int64)
-        for k, c in enumerate(chunks):
-            code = self.codes.get(c)
-            if code is None:
-                ids = self._chunk(c)
-                code = self.codes[c] = len(self.starts) - 1
-                end = self.used + len(ids)
-                while end > len(self.flat):
-                    self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-                self.flat[self.used : end] = ids
-                self.used = end
-                self.starts.append(end)
-            out[k] = code
-        return out
+        if not marks:
+            return self._part(letters.lower()) if letters else b""
+        return self._keep(chunk, (self._part(letters.lower()) if letters else b"") + self._part(marks))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """ids (uint32) of all texts one after another, and the number of each text's ids; a null text has none."""
@@ -92,15 +94,19 @@ class Encoder:
         if not len(chunks):
             return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
         coded = chunks.dictionary_encode()
-        codes = self._known(coded.dictionary.to_pylist())
-        starts = np.asarray(self.starts)
-        first, lens = starts[codes], starts[codes + 1] - starts[codes]
+        distinct = coded.dictionary.to_pylist()
+        found = list(map(self.young.get, distinct))
+        for k, ids in enumerate(found):
+            if ids is None:
+                found[k] = self._chunk(distinct[k])
+        flat = np.frombuffer(b"".join(found), np.uint32)
+        lens = np.fromiter(map(len, found), np.int64, len(found)) // 4
         index = coded.indices.to_numpy()
-        first, lens = first[index], lens[index]
+        first, lens = (np.cumsum(lens) - lens)[index], lens[index]
         ends = np.cumsum(lens)
         at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - (ends - lens), lens)
         offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-        return self.flat[at], np.diff(np.concatenate([[0], ends])[offsets])
+        return flat[at], np.diff(np.concatenate([[0], ends])[offsets])
 
 
 def _is_word_bpe(tokenizer) -> bool:

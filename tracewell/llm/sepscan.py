@@ -16,16 +16,17 @@ from pyspark.sql import functions as F
 
 from . import files
 from .common import new_path, saved
-from .tokenfiles import PARTITION_BYTES, encoded, ordered
+from .tokenfiles import encoded
 
 DTYPE = "<u2"
 BLOCK_TOKENS = 1 << 20
-FILE_TOKENS = 1 << 23
+FILE_TOKENS = 1 << 21
 
 
-def write_flat(docs: DataFrame, tokenizer: str, out: str, end: int, file_tokens: int = FILE_TOKENS, partition_bytes: int = PARTITION_BYTES) -> DataFrame:
-    """Flat files of 16-bit ids in ascending doc_id order, each text followed by ``end``, cut anywhere; returns
-    doc_id, part and k (its number within the part) of every document. The stream is the files in order of name."""
+def write_flat(docs: DataFrame, tokenizer: str, out: str, end: int, file_tokens: int = FILE_TOKENS) -> DataFrame:
+    """Flat files of 16-bit ids, each text followed by ``end``, cut anywhere, written in the partitions of ``docs``; returns
+    doc_id, part and k (its number within the part) of every document. The stream is the files in order of name.
+    An id of 65,536 or more is an error."""
 
     def run(record_batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, k, n_file = TaskContext.get().partitionId(), 0, 0
@@ -40,15 +41,19 @@ def write_flat(docs: DataFrame, tokenizer: str, out: str, end: int, file_tokens:
             held = [ids]
 
         for batch in record_batches:
-            for doc_ids, _, ids in encoded(batch, tokenizer, end):
+            for rows, _, ids in encoded(batch, tokenizer, end):
+                if len(ids) and int(ids.max()) > np.iinfo(DTYPE).max:
+                    raise ValueError(f"id {int(ids.max())} does not fit files of {DTYPE}")
                 held.append(ids.astype(DTYPE))
                 if sum(map(len, held)) >= file_tokens:
                     flush(False)
-                yield pa.RecordBatch.from_pydict({"doc_id": pa.array(doc_ids, pa.int64()), "part": pa.array([part] * len(doc_ids), pa.int64()), "k": pa.array(range(k, k + len(doc_ids)), pa.int64())})
-                k += len(doc_ids)
+                n = len(rows)
+                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(np.full(n, part)), pa.array(np.arange(k, k + n))], ["doc_id", "part", "k"])
+                k += n
         flush(True)
 
-    return saved(ordered(docs, partition_bytes).mapInArrow(run, "doc_id long, part long, k long"), "flat-docs")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return saved(rows.mapInArrow(run, "doc_id long, part long, k long"), "flat-docs")
 
 
 def scan(spark: SparkSession, folder: str, end: int, dtype: str = DTYPE, block_tokens: int = BLOCK_TOKENS) -> DataFrame:

@@ -27,12 +27,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import files
-from .common import new_path, saved
+from .common import discard, new_path, saved
 from .encoding import BATCH_CHARS, batches, encoder
 
 MAGIC = b"TWDAC001"
-FILE_TOKENS = 1 << 22
-PARTITION_BYTES = 24 << 20
+FILE_TOKENS = 1 << 21
+#: of ids, 4 bytes each
+PARTITION_BYTES = 32 << 20
 
 
 def _pad(n: int) -> bytes:
@@ -41,13 +42,14 @@ def _pad(n: int) -> bytes:
 
 def pack(ids: np.ndarray) -> Iterator[bytes]:
     """The levels of ids (non-negative integers)."""
-    rest, levels = np.asarray(ids, np.uint64), []
+    rest, levels = np.asarray(ids), []
+    rest = rest if rest.dtype.kind == "u" else rest.astype(np.uint64)
     while True:
         more = rest >= 256
-        levels.append(((rest & np.uint64(255)).astype(np.uint8), more))
+        levels.append((rest.astype(np.uint8), more))  # the lowest 8 bits
         if not more.any():
             break
-        rest = rest[more] >> np.uint64(8)
+        rest = rest[more] >> 8
     yield np.int64(len(levels)).tobytes()
     for chunks, more in levels:
         n = len(chunks)
@@ -117,20 +119,33 @@ def opened(data) -> tuple[np.ndarray, np.ndarray, np.ndarray, Codes]:
     return ids, nulls, np.frombuffer(data, np.int64, docs, at), Codes(data, at + 8 * docs)
 
 
-def ordered(docs: DataFrame, partition_bytes: int = PARTITION_BYTES) -> DataFrame:
-    """doc_id and text in ascending doc_id order (nulls first, equal ones by text) over partitions of about so many bytes."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    tie = F.xxhash64("text")
-    return docs.repartitionByRange(total // partition_bytes + 1, F.col("doc_id"), tie).sortWithinPartitions(F.col("doc_id"), tie)
-
-
-def encoded(batch: pa.RecordBatch, path: str, end: int, most: int = BATCH_CHARS) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
-    """doc_ids, counts and ids, each text's ids with ``end`` after them, for slices of a batch of doc_id and text."""
+def encoded(batch: pa.RecordBatch, path: str, end: int, most: int = BATCH_CHARS) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Slices of a batch that has a column ``text``, with counts and ids of their texts, each text's ids with ``end`` after them."""
     for first, n in batches(batch.column("text"), most):
         part = batch.slice(first, n)
         ids, counts = encoder(path).encode(part.column("text"))
-        yield part.column("doc_id").to_pylist(), counts + 1, np.insert(ids, np.cumsum(counts), end)
+        yield part, counts + 1, np.insert(ids, np.cumsum(counts), end)
+
+
+def encoded_documents(docs: DataFrame, tokenizer: str, end: int) -> DataFrame:
+    """doc_id, tie (a hash of the text) and ids (32-bit, as bytes) of every row, written once in the partitions of the input: texts are never shuffled."""
+
+    def run(record_batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in record_batches:
+            for part, counts, ids in encoded(batch, tokenizer, end):
+                edges = pa.py_buffer(np.concatenate([[0], np.cumsum(counts) * 4]).astype(np.int32 if ids.nbytes < 1 << 31 else np.int64))
+                kind = pa.binary() if ids.nbytes < 1 << 31 else pa.large_binary()
+                data = pa.Array.from_buffers(kind, len(part), [None, edges, pa.py_buffer(ids.astype("<u4"))])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("tie"), data.cast(pa.binary())], ["doc_id", "tie", "ids"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), "text")
+    return saved(rows.mapInArrow(run, "doc_id long, tie long, ids binary"), "token-ids")
+
+
+def ordered(ids: DataFrame, partition_bytes: int = PARTITION_BYTES) -> DataFrame:
+    """Rows of encoded_documents() in ascending doc_id order (nulls first, equal ones by the hash of their text) over partitions of about so many bytes."""
+    total = ids.agg(F.sum(F.octet_length("ids"))).first()[0] or 0
+    return ids.repartitionByRange(total // partition_bytes + 1, F.col("doc_id"), F.col("tie")).sortWithinPartitions("doc_id", "tie")
 
 
 def write_files(docs: DataFrame, tokenizer: str, out: str, end: int = 2, file_tokens: int = FILE_TOKENS, partition_bytes: int = PARTITION_BYTES) -> DataFrame:
@@ -144,28 +159,33 @@ def write_files(docs: DataFrame, tokenizer: str, out: str, end: int = 2, file_to
 
     def run(record_batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, k = TaskContext.get().partitionId(), 0
-        held: tuple[list, list, list] = ([], [], [])
+        doc_ids: list = []
+        held: list[np.ndarray] = []
 
         def flush():
-            nonlocal k, held
-            path, ids = f"{out}/part-{part:06d}-{k:06d}.dac", np.concatenate(held[2])
-            files.write(path, file_parts(held[0], np.concatenate(held[1]), ids))
-            row = pa.RecordBatch.from_pydict({"part": [part], "file": [k], "path": [path], "n_docs": [len(held[0])], "n_tokens": [len(ids)]})
-            k, held = k + 1, ([], [], [])
+            nonlocal k, doc_ids, held
+            path, ids = f"{out}/part-{part:06d}-{k:06d}.dac", np.concatenate(held)
+            files.write(path, file_parts(doc_ids, np.array([len(x) for x in held]), ids))
+            row = pa.RecordBatch.from_pydict({"part": [part], "file": [k], "path": [path], "n_docs": [len(held)], "n_tokens": [len(ids)]})
+            k, doc_ids, held = k + 1, [], []
             return row
 
+        n = 0
         for batch in record_batches:
-            for doc_ids, counts, ids in encoded(batch, tokenizer, end, min(BATCH_CHARS, 4 * file_tokens)):
-                held[0].extend(doc_ids)
-                held[1].append(counts)
-                held[2].append(ids)
-                if sum(map(len, held[2])) >= file_tokens:
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), batch.column("ids"), strict=True):
+                doc_ids.append(doc_id)
+                held.append(np.frombuffer(ids.as_buffer(), "<u4"))
+                n += len(held[-1])
+                if n >= file_tokens:
                     yield flush()
-        if held[0]:
+                    n = 0
+        if held:
             yield flush()
 
-    found = ordered(docs, partition_bytes).mapInArrow(run, "part long, file long, path string, n_docs long, n_tokens long")
-    return saved(found, "token-files")
+    ids = encoded_documents(docs, tokenizer, end)
+    found = saved(ordered(ids, partition_bytes).mapInArrow(run, "part long, file long, path string, n_docs long, n_tokens long"), "token-files")
+    discard(ids)
+    return found
 
 
 def read_files(written: DataFrame) -> DataFrame:
