@@ -90,6 +90,25 @@ def test_mix_by_sql(spark, sf):
     assert got == want
 
 
+def test_draws_decide_the_mix(spark, more_docs):
+    """Another salt takes other words; whatever the draw, sources come near their targets and no document passes twice its size."""
+    seen = []
+    for salt in (31, 32):
+        rows = mixing.mix(more_docs, salt=salt).collect()
+        seen.append({r.doc_id: r.taken for r in rows})
+        assert all(r.taken <= 2 * r["size"] for r in rows)
+        source = {r.doc_id: r.source for r in more_docs.select("doc_id", "source").collect()}
+        taken, target = {}, {}
+        for r in rows:
+            taken[source[r.doc_id]] = taken.get(source[r.doc_id], 0) + r.taken
+            target[source[r.doc_id]] = r.target
+        assert all(abs(taken[s] - target[s]) <= 0.2 * target[s] for s in target)
+        assert abs(sum(taken.values()) - sum(target.values())) <= 0.01 * sum(target.values())
+    assert seen[0] != seen[1]
+    primes = (65_537, 65_539, 65_543)
+    assert all(p % k for p in primes for k in range(2, 257))
+
+
 def test_targets_by_iteration(spark):
     sizes = {"a": 10, "b": 1000, "c": 300, "d": 0, "e": 50, None: 640}
     df = spark.createDataFrame([(k, s, n, 0) for k, (s, n) in enumerate(sizes.items())], "doc_id long, source string, size long, tie long")

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -17,8 +18,8 @@ import pyarrow.compute as pc
 
 #: lower-case and upper-case letters of ASCII and Latin-1, then ASCII punctuation without the apostrophe
 _PLAIN = re.compile(r"([a-zA-Zß-öø-ÿÀ-ÖØ-Þ]*)([!-&(-/:-@\[-`{-~]*)")
-BATCH_CHARS = 1_500_000
-CACHE_BYTES = 64 << 20
+BATCH_CHARS = 3_000_000
+CACHE_BYTES = 128 << 20
 #: about what an entry of the cache takes besides its characters and ids
 ENTRY_BYTES = 190
 
@@ -32,6 +33,7 @@ class Encoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.whole = Tokenizer.from_file(path)
+        self.tokenize = self.whole.model.tokenize
         self.bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.limit = cache_bytes
         self.plain = _is_word_bpe(self.whole)
@@ -57,7 +59,7 @@ class Encoder:
             found = self.old.get(part)
             if found is None:
                 mapped = part if part.isascii() else self.bytes.pre_tokenize_str(part)[0][0]
-                found = np.array([t.id for t in self.whole.model.tokenize(mapped)], np.uint32).tobytes()
+                found = array("I", [t.id for t in self.tokenize(mapped)]).tobytes()
             self._keep(part, found)
         return found
 
@@ -65,9 +67,11 @@ class Encoder:
         found = self.old.get(chunk)
         if found is not None:
             return self._keep(chunk, found)
+        if self.plain and chunk.isascii() and chunk.isalpha():
+            return self._part(chunk.lower())
         m = _PLAIN.fullmatch(chunk) if self.plain else None
         if m is None:
-            return self._keep(chunk, np.array(self.whole.encode(chunk, add_special_tokens=False).ids, np.uint32).tobytes())
+            return self._keep(chunk, array("I", self.whole.encode(chunk, add_special_tokens=False).ids).tobytes())
         letters, marks = m.groups()
         if not marks:
             return self._part(letters.lower()) if letters else b""

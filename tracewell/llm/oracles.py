@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .mixing import GROUP, P, WEIGHTS, WORD, mixed, permuted
+from .mixing import P, WEIGHTS, WORD, mixed, permuted
 from .urlfilter import CONTRACT_RULES, UNWANTED
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -31,9 +31,8 @@ r AS (SELECT *, CASE{rule} END AS rule FROM h)
 SELECT page_id, host, path, rule, CASE{verdict} WHEN regexp_matches(host || path, '(^|\\.)({"|".join(UNWANTED)})\\.') THEN 'block' ELSE 'allow' END AS verdict FROM r"""
 
 
-def mix_sql(block: int = 32, factor: float = 1.5, docs_a_bucket: int = 1024) -> str:
-    """Every rank below a source's quota is in the mix, whichever shard drew it, so the shards play no part."""
-    assert GROUP > 0
+def mix_sql(block: int = 32, factor: float = 1.5, docs_a_bucket: int = 1024, salt: int = 31) -> str:
+    """A source's slots are those that the shards' draws gave it; only the sums over shards matter to a document."""
     steps: list[tuple[str, str]] = []
     permuted(lambda name, sql: steps.append((name, sql)), "index", "blocks", "sid")
     ctes, last = [], "ranks"
@@ -50,14 +49,26 @@ s3 AS (SELECT *, sum(cap) OVER w AS capped, sum(weight) OVER w AS weighed, sum(s
 s4 AS (SELECT *, (CAST({factor} AS DOUBLE) * CAST(all_size AS DOUBLE) - (capped - cap)) / (all_weight - (weighed - weight)) AS before FROM s3),
 s5 AS (SELECT *, before * weight >= cap AS stops FROM s4),
 s6 AS (SELECT *, (SELECT arg_min(before, (cap / weight, sid)) FROM s5 WHERE NOT stops) AS level FROM s5),
-s7 AS (SELECT sid, source, source_size, CASE WHEN stops THEN cap ELSE level * weight END AS target, CAST(ceil(source_size / {float(block)}) AS BIGINT) AS blocks FROM s6),
-sources AS (SELECT *, CASE WHEN source_size > 0 THEN least(2 * blocks, CAST(round(target * blocks / source_size) AS BIGINT)) ELSE 0 END AS quota FROM s7),
-ranks AS (SELECT sid, blocks, r % blocks AS index FROM (SELECT sid, blocks, unnest(range(quota)) AS r FROM sources WHERE quota > 0)),
+s7 AS (SELECT sid, source, source_size, weight, CASE WHEN stops THEN cap ELSE level * weight END AS target, CAST(ceil(source_size / {float(block)}) AS BIGINT) AS blocks FROM s6),
+s8 AS (SELECT *, CASE WHEN source_size > 0 THEN least(2 * blocks, CAST(round(target * blocks / source_size) AS BIGINT)) ELSE 0 END AS quota FROM s7),
+u0 AS (SELECT sid, CAST(sum(quota) OVER (ORDER BY sid) AS BIGINT) AS hi, quota, CAST(sum(quota) OVER () AS BIGINT) AS n FROM s8 WHERE quota > 0),
+u1 AS (SELECT sid, CAST(floor((hi - quota) / CAST(n AS DOUBLE) * {P}) AS BIGINT) AS lo, CAST(floor(hi / CAST(n AS DOUBLE) * {P}) AS BIGINT) AS hi FROM u0),
+u2 AS (SELECT {mixed("id", salt)} AS u FROM (SELECT unnest(range(coalesce((SELECT max(n) FROM u0), 0))) AS id)),
+u3 AS (SELECT sid, count(*) AS drawn FROM u2 JOIN u1 ON u >= lo AND u < hi GROUP BY sid),
+a0 AS (SELECT s8.*, coalesce(drawn, 0) AS drawn, least(coalesce(drawn, 0), 2 * blocks) AS kept FROM s8 LEFT JOIN u3 ON u3.sid = s8.sid),
+a1 AS (SELECT *, 2 * blocks - kept AS room, CASE WHEN 2 * blocks > kept THEN weight ELSE 0.0 END AS w, sum(drawn - kept) OVER () AS spare FROM a0),
+a2 AS (SELECT *, sum(room) OVER o - room AS filled, sum(w) OVER () - (sum(w) OVER o - w) AS rest FROM a1 WINDOW o AS (ORDER BY room / weight, sid)),
+a3 AS (SELECT *, CASE WHEN w > 0 THEN CAST(spare - filled AS DOUBLE) / rest END AS open FROM a2),
+a4 AS (SELECT *, w * open >= room AS fills FROM a3),
+a5 AS (SELECT *, CASE WHEN w = 0 THEN 0.0 WHEN fills THEN CAST(room AS DOUBLE) ELSE coalesce((SELECT arg_min(open, (room / weight, sid)) FROM a4 WHERE NOT fills), 0.0) * w END AS share FROM a4),
+a6 AS (SELECT *, CAST(round(sum(share) OVER (ORDER BY sid)) AS BIGINT) AS upto FROM a5),
+sources AS (SELECT *, kept + least(upto - coalesce(lag(upto) OVER (ORDER BY sid), 0), room) AS all_slots FROM a6),
+ranks AS (SELECT sid, blocks, r % blocks AS index FROM (SELECT sid, blocks, unnest(range(all_slots)) AS r FROM sources WHERE all_slots > 0)),
 {", ".join(ctes)},
 times AS (SELECT sid, block, count(*) AS times FROM {last} GROUP BY sid, block),
-d0 AS (SELECT z.*, sources.sid, sources.source_size, sources.target, {mixed(f"((coalesce(doc_id, 0) % {P}) + {P}) % {P}", 5)} % ((SELECT count(*) FROM sized) // {docs_a_bucket} + 1) AS bucket FROM sized z JOIN sources ON sources.source IS NOT DISTINCT FROM z.source),
+d0 AS (SELECT z.*, sources.sid, sources.source_size, sources.target, sources.drawn, {mixed(f"((coalesce(doc_id, 0) % {P}) + {P}) % {P}", 5)} % ((SELECT count(*) FROM sized) // {docs_a_bucket} + 1) AS bucket FROM sized z JOIN sources ON sources.source IS NOT DISTINCT FROM z.source),
 d1 AS (SELECT *, row_number() OVER () AS rn, CAST(sum(size) OVER (PARTITION BY sid ORDER BY bucket, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size AS BIGINT) AS start FROM d0),
 b AS (SELECT rn, sid, start, size, unnest(range(start // {block}, (start + size - 1) // {block} + 1)) AS block FROM d1 WHERE size > 0),
 t AS (SELECT rn, CAST(sum((least(start + size, (b.block + 1) * {block}) - greatest(start, b.block * {block})) * times) AS BIGINT) AS taken FROM b JOIN times ON times.sid = b.sid AND times.block = b.block GROUP BY rn)
-SELECT doc_id, size, source_size, target, coalesce(taken, 0) AS taken FROM d1 LEFT JOIN t ON t.rn = d1.rn"""
+SELECT doc_id, size, source_size, target, coalesce(taken, 0) AS taken, drawn FROM d1 LEFT JOIN t ON t.rn = d1.rn"""
     return made.replace(" div ", " // ")

@@ -32,8 +32,8 @@ from .encoding import BATCH_CHARS, batches, encoder
 
 MAGIC = b"TWDAC001"
 FILE_TOKENS = 1 << 21
-#: of ids, 4 bytes each
-PARTITION_BYTES = 32 << 20
+#: of encoded ids
+PARTITION_BYTES = 16 << 20
 
 
 def _pad(n: int) -> bytes:
@@ -128,18 +128,22 @@ def encoded(batch: pa.RecordBatch, path: str, end: int, most: int = BATCH_CHARS)
 
 
 def encoded_documents(docs: DataFrame, tokenizer: str, end: int) -> DataFrame:
-    """doc_id, tie (a hash of the text) and ids (32-bit, as bytes) of every row, written once in the partitions of the input: texts are never shuffled."""
+    """doc_id, tie (a hash of the text), n (number of ids) and ids (as bytes: 16-bit, or 32-bit where a slice has ids over that)
+    of every row, written once in the partitions of the input: texts are never shuffled."""
 
     def run(record_batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in record_batches:
             for part, counts, ids in encoded(batch, tokenizer, end):
-                edges = pa.py_buffer(np.concatenate([[0], np.cumsum(counts) * 4]).astype(np.int32 if ids.nbytes < 1 << 31 else np.int64))
-                kind = pa.binary() if ids.nbytes < 1 << 31 else pa.large_binary()
-                data = pa.Array.from_buffers(kind, len(part), [None, edges, pa.py_buffer(ids.astype("<u4"))])
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("tie"), data.cast(pa.binary())], ["doc_id", "tie", "ids"])
+                ids = ids.astype("<u2" if int(ids.max()) < 1 << 16 else "<u4")
+                edges = np.concatenate([[0], np.cumsum(counts)]) * ids.itemsize
+                if edges[-1] < 1 << 31:
+                    data = pa.Array.from_buffers(pa.binary(), len(part), [None, pa.py_buffer(edges.astype(np.int32)), pa.py_buffer(ids)])
+                else:
+                    data = pa.Array.from_buffers(pa.large_binary(), len(part), [None, pa.py_buffer(edges.astype(np.int64)), pa.py_buffer(ids)]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("tie"), pa.array(counts), data], ["doc_id", "tie", "n", "ids"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), "text")
-    return saved(rows.mapInArrow(run, "doc_id long, tie long, ids binary"), "token-ids")
+    return saved(rows.mapInArrow(run, "doc_id long, tie long, n long, ids binary"), "token-ids")
 
 
 def ordered(ids: DataFrame, partition_bytes: int = PARTITION_BYTES) -> DataFrame:
@@ -172,10 +176,11 @@ def write_files(docs: DataFrame, tokenizer: str, out: str, end: int = 2, file_to
 
         n = 0
         for batch in record_batches:
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), batch.column("ids"), strict=True):
+            for doc_id, size, ids in zip(batch.column("doc_id").to_pylist(), batch.column("n").to_pylist(), batch.column("ids"), strict=True):
+                data = ids.as_buffer()
                 doc_ids.append(doc_id)
-                held.append(np.frombuffer(ids.as_buffer(), "<u4"))
-                n += len(held[-1])
+                held.append(np.frombuffer(data, "<u2" if data.size == 2 * size else "<u4"))
+                n += size
                 if n >= file_tokens:
                     yield flush()
                     n = 0
