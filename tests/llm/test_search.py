@@ -22,11 +22,48 @@ def test_topk_edges(spark):
     got = [tuple(r) for r in topk.top_k(df.withColumn("score", df.vec_id), k=3, shard_rows=2, tile_queries=1).where("query_id < 150").orderBy("query_id", "rank").collect()]
     x = 256 * 256 + 128 * 128
     big = 2**63 - 1
-    assert got == [(0, 1, 150, big), (0, 2, 2, x), (0, 3, 3, x), (50, 1, 150, big), (50, 2, 0, x), (50, 3, 2, x)]
+    # both rows of id 2 are candidates
+    assert got == [(0, 1, 150, big), (0, 2, 2, x), (0, 3, 2, x), (50, 1, 150, big), (50, 2, 0, x), (50, 3, 2, x)]
     assert topk.top_k(df.limit(0)).count() == 0
     assert topk.top_k(df.where("vec_id = 0"), k=3).count() == 0
 
 
+def test_topk_repeats_by_sql(spark, tmp_path):
+    """Repeated ids, a repeated query, and empty vectors: every row takes part, and a row never finds itself."""
+    rows = [(0, [1.0, 0.5]), (0, [1.0, 0.5]), (0, [0.25, 0.5]), (3, [1.0, 0.5]), (3, [2.0, 0.5]), (100, []), (7, []), (50, [0.5, 0.5]), (8, None), (9, [float("nan"), 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    df.write.parquet(f"{tmp_path}/embeddings.parquet")
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = sorted(con.execute(oracles.topk_sql()).fetchall())
+    got = sorted(tuple(r) for r in topk.top_k(df, shard_rows=2, tile_queries=2).select("query_id", "rank", "vec_id", "score").collect())
+    assert got == want and (100, 1, 7, 0) in got and sum(r[0] == 0 for r in got) == 15
+
+
+def test_index_parts_change_nothing(spark, sf, monkeypatch):
+    """Scores, and so leaks, are those of one index, however many parts the items are cut into."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    items = spark.read.parquet(f"{sf}/benchmark.parquet")
+    rows = lambda: sorted((r.doc_id, r.item_id, round(r.score, 9), r.question_share, r.answer_share) for r in decontam.leaks(docs, items, 0.3).collect())
+    whole = rows()
+    monkeypatch.setattr(decontam, "INDEX_BYTES", 1500)
+    assert rows() == whole and whole
+
+
+def test_long_texts_have_the_words_of_short_ones(monkeypatch):
+    from tracewell.llm import words as w
+
+    r = random.Random(9)
+    for _ in range(50):
+        text = "".join(r.choice("ab c,éΣ ") for _ in range(r.randint(40, 300)))
+        want = word_hashes([text])[0].tolist()
+        monkeypatch.setattr(w, "PIECE", r.choice([8, 16, 32]))
+        assert word_hashes([text])[0].tolist() == want
+        monkeypatch.undo()
+
+
 def _brute_leaks(docs, items):
     """Every pair of a passage and an item, scored by BM25 one by one, then the same tests on shingles."""
     index = decontam.Index(items)

@@ -17,12 +17,14 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import saved
 from .words import mix64, slices, word_hashes
 
 SHINGLE = 5
@@ -53,25 +55,38 @@ def parts(text: str) -> tuple[str, str]:
     return (text[: ends[-1]], text[ends[-1] :]) if ends else (text, text)
 
 
+@dataclass
+class Statistics:
+    """Of all items with words: their number, words and longest length, and in how many of them each of some terms is (terms in order)."""
+
+    items: int
+    words: int
+    longest: int
+    terms: np.ndarray
+    df: np.ndarray
+
+
 class Index:
-    """The items with words; ``ids`` are their item_ids."""
+    """The items with words; ``ids`` are their item_ids. ``statistics`` are those of all items, where these are a part of them."""
 
-    def __init__(self, items: list[tuple[int, str | None]]):
+    def __init__(self, items: list[tuple[int, str | None]], statistics: Statistics | None = None):
         found = [(i, t, word_hashes([t])[0]) for i, t in sorted(items, key=lambda x: (x[0] is None, x[0] or 0, x[1] or ""))]
         found = [x for x in found if len(x[2])]
         self.ids = [i for i, _, _ in found]
         self.pieces = [tuple(np.unique(shingles(word_hashes([p])[0])) for p in parts(t)) for _, t, _ in found]
         self.whole = [np.unique(shingles(w)) for _, _, w in found]
         self.lengths = np.array([len(w) for _, _, w in found], np.int64)
-        self.stride = max(STRIDE, int(self.lengths.max(initial=0)))
         counted = [np.unique(w, return_counts=True) for _, _, w in found]
         self.terms = np.unique(np.concatenate([t for t, _ in counted])) if found else np.zeros(0, np.uint64)
         item = np.repeat(np.arange(len(found)), [len(t) for t, _ in counted])
         term = np.searchsorted(self.terms, np.concatenate([t for t, _ in counted])) if found else np.zeros(0, np.int64)
         tf = np.concatenate([c for _, c in counted]).astype(float) if found else np.zeros(0)
-        df = np.bincount(term, minlength=len(self.terms))
-        idf = np.log1p((len(found) - df + 0.5) / (df + 0.5))
-        norm = K1 * (1 - B + B * self.lengths / max(self.lengths.mean(), 1)) if found else np.zeros(0)
+        if statistics is None:
+            statistics = Statistics(len(found), int(self.lengths.sum()), int(self.lengths.max(initial=0)), self.terms, np.bincount(term, minlength=len(self.terms)))
+        self.stride = max(STRIDE, statistics.longest)
+        df = statistics.df[np.searchsorted(statistics.terms, self.terms)]
+        idf = np.log1p((statistics.items - df + 0.5) / (df + 0.5))
+        norm = K1 * (1 - B + B * self.lengths / max(statistics.words / max(statistics.items, 1), 1))
         weight = idf[term] * tf * (K1 + 1) / (tf + norm[item])
         weight /= np.bincount(item, weight, len(found))[item]
         order = np.lexsort((item, term))
@@ -180,11 +195,31 @@ def _runs(words: np.ndarray, n: int) -> np.ndarray:
 
 
 def indexes(items: DataFrame) -> Iterator[Index]:
-    """Indexes of the items, each of a part whose texts fit INDEX_BYTES or so, whatever their number."""
+    """Indexes of the items, each of a part whose texts fit INDEX_BYTES or so, whatever their number. Scores follow from
+    statistics of all items, so the cut into parts changes none."""
     rows = items.select(F.col("item_id").cast("long").alias("item_id"), "text")
     n = (rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // INDEX_BYTES + 1
+    if n == 1:
+        yield Index([(r.item_id, r.text) for r in rows.collect()])
+        return
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("item_id", "text"), F.lit(n)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words, offsets = word_hashes(batch.column("text").to_pylist())
+            own = [np.unique(words[a:b]).view(np.int64) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("part"), pa.array(np.diff(offsets)), pa.array(own, pa.list_(pa.int64()))], ["part", "words", "terms"])
+
+    held = saved(rows.select("part", "text").mapInArrow(run, "part long, words long, terms array<long>").where("words > 0"), "item-terms")
+    total = held.agg(F.count("*"), F.coalesce(F.sum("words"), F.lit(0)), F.coalesce(F.max("words"), F.lit(0))).first()
+    in_parts = held.select("part", F.explode("terms").alias("term"))
+    df = saved(in_parts.groupBy("term").agg(F.count("*").alias("df")), "item-df")
     for k in range(n):
-        yield Index([(r.item_id, r.text) for r in rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()])
+        own = in_parts.where(F.col("part") == k).select("term").distinct().join(df, "term").select("term", "df").toPandas()
+        terms = own["term"].to_numpy(np.int64).view(np.uint64)
+        order = np.argsort(terms)
+        statistics = Statistics(*map(int, total), terms[order], own["df"].to_numpy(np.int64)[order])
+        yield Index([(r.item_id, r.text) for r in rows.where(F.col("part") == k).collect()], statistics)
 
 
 def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -214,7 +249,8 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> Da
 
 
 def clean(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs``, with their columns, that leak no item."""
+    """The rows of ``docs``, with their columns, that leak no item. Null texts and texts without words stay, as do all
+    rows if there are no items; rows that repeat stay or go together; an empty table gives no rows."""
     at = docs.columns.index("text")
     for index in indexes(items):
         shared = docs.sparkSession.sparkContext.broadcast(index)

@@ -10,10 +10,10 @@ _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 def topk_sql(k: int = 5, query_mod: int = 50, scale: int = 256) -> str:
     return f"""
-WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor({scale} * CAST(x AS DOUBLE))) AS e FROM embeddings
+WITH v AS (SELECT row_number() OVER () AS rn, vec_id, list_transform(embedding, lambda x: floor({scale} * CAST(x AS DOUBLE))) AS e FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-s AS (SELECT q.vec_id AS query_id, v.vec_id, CAST(list_dot_product(q.e, v.e) AS BIGINT) AS score FROM v q JOIN v ON v.vec_id <> q.vec_id WHERE q.vec_id % {query_mod} = 0)
-SELECT query_id, rank, vec_id, score FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s) WHERE rank <= {k}"""
+s AS (SELECT q.rn, q.vec_id AS query_id, v.vec_id, CAST(CASE WHEN len(q.e) = 0 THEN 0 ELSE list_dot_product(q.e, v.e) END AS BIGINT) AS score FROM v q JOIN v ON v.rn <> q.rn AND len(v.e) = len(q.e) WHERE q.vec_id % {query_mod} = 0)
+SELECT query_id, rank, vec_id, score FROM (SELECT *, CAST(row_number() OVER (PARTITION BY rn ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s) WHERE rank <= {k}"""
 
 
 def url_sql() -> str:

@@ -11,7 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from . import files
+from .common import new_path, saved
 
 SHARD_ROWS = 4096
 TILE_QUERIES = 1024
@@ -21,16 +22,15 @@ LONG = (-(2**63), 2**63 - 1)
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str, scale: float) -> DataFrame:
-    """id and v (whole numbers as doubles: floor(scale * x)) of the rows that take part, one row for each id."""
+    """row (a key of its own), id and v (whole numbers as doubles: floor(scale * x)) of the rows that take part."""
     x = F.col(vector_col)
     out = vectors.select(F.col(id_col).cast("long").alias("id"), F.transform(x, lambda e: F.floor(F.lit(scale) * e.cast("double")).cast("double")).alias("v"), x.alias("raw"))
     finite = F.forall("raw", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e.cast("double")) < F.lit(float("inf"))))
-    out = out.where(F.col("id").isNotNull() & F.col("raw").isNotNull() & finite & (F.size("raw") > 0))
-    return out.groupBy("id").agg(F.min("v").alias("v"))
+    return out.where(F.col("id").isNotNull() & F.col("raw").isNotNull() & finite).select(F.monotonically_increasing_id().alias("row"), "id", "v")
 
 
-def tile_top(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """counts, ids and scores (each query's rows one after another) of each query's k best among vectors other than its own."""
+def tile_top(query_rows: np.ndarray, queries: np.ndarray, rows: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """counts, ids and scores (each query's one after another) of each query's k best among the rows other than its own."""
     most = max(np.abs(queries).max(initial=0), 1) * max(np.abs(vectors).max(initial=0), 1) * queries.shape[1]
     if most < EXACT:
         scores = queries @ vectors.T
@@ -38,8 +38,8 @@ def tile_top(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vector
         whole = lambda m: np.array([[int(x) for x in row] for row in m], dtype=object)
         scores = np.clip(whole(queries) @ whole(vectors).T, *LONG)
     counts, out_ids, out_scores = [], [], []
-    for row, own in zip(scores, query_ids, strict=True):
-        other = ids != own
+    for row, own in zip(scores, query_rows, strict=True):
+        other = rows != own
         if most < EXACT and len(ids) > 8 * k:
             # partial selection; ties with the k-th score stay until the sort by id
             row = np.where(other, row, -np.inf)
@@ -54,14 +54,22 @@ def tile_top(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vector
     return np.array(counts, np.int64), np.array(out_ids, np.int64), np.array(out_scores, np.int64)
 
 
-def _packed(rows: DataFrame, by: str) -> DataFrame:
-    """One row for each (dim, ``by``): its ids and vectors as bytes."""
+def _packed(rows: DataFrame, by: str, out: str) -> DataFrame:
+    """A file for each (dim, ``by``) with row keys, ids and vectors; returns dim, ``by``, its path and number of rows."""
 
     def pack(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("id")
-        return pd.DataFrame({"dim": [frame["dim"].iloc[0]], by: [frame[by].iloc[0]], f"{by}_ids": [frame["id"].to_numpy(np.int64).tobytes()], f"{by}_vectors": [np.stack(frame["v"].to_numpy()).astype(np.float64).tobytes()]})
+        frame = frame.sort_values(["id", "row"])
+        dim, number = int(frame["dim"].iloc[0]), int(frame[by].iloc[0])
+        path = f"{out}/{by}-{dim}-{number:08d}.bin"
+        files.write(path, [frame["row"].to_numpy(np.int64).tobytes(), frame["id"].to_numpy(np.int64).tobytes(), np.stack(frame["v"].to_numpy()).astype(np.float64).tobytes()])
+        return pd.DataFrame({"dim": [dim], by: [number], f"{by}_path": [path], f"{by}_n": [len(frame)]})
 
-    return rows.groupBy("dim", by).applyInPandas(pack, f"dim long, {by} long, {by}_ids binary, {by}_vectors binary")
+    return saved(rows.groupBy("dim", by).applyInPandas(pack, f"dim long, {by} long, {by}_path string, {by}_n long"), f"topk-{by}s")
+
+
+def _unpacked(path: str, n: int, dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    data = files.read(path)
+    return np.frombuffer(data, np.int64, n), np.frombuffer(data, np.int64, n, 8 * n), np.frombuffer(data, np.float64, n * dim, 16 * n).reshape(n, dim)
 
 
 def top_k(vectors: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", query_mod: int = 50, scale: float = 256.0, shard_rows: int = SHARD_ROWS, tile_queries: int = TILE_QUERIES) -> DataFrame:
@@ -69,11 +77,11 @@ def top_k(vectors: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: st
 
     Queries are the rows whose id is divisible by ``query_mod``; candidates all
     rows but the query's own. Ties go to the smaller id. Rows whose id or vector
-    is null, and vectors that are empty or hold null or non-finite components,
-    take no part. Rows that repeat an id count once, with the least vector.
-    Vectors of different lengths are never compared. Scores beyond a long's
-    range stop at its ends. Fewer than k candidates give fewer rows; an empty
-    table gives none. Other columns play no part.
+    is null, and vectors that hold null or non-finite components, take no part.
+    Rows that repeat an id are queries and candidates of their own. Vectors of
+    different lengths are never compared; empty ones score 0. Scores beyond a
+    long's range stop at its ends. Fewer than k candidates give fewer rows; an
+    empty table gives none. Other columns play no part.
     """
     rows = saved(usable(vectors, id_col, vector_col, scale).withColumn("dim", F.size("v").cast("long")), "topk-rows")
     n = rows.count()
@@ -82,17 +90,20 @@ def top_k(vectors: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: st
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     # shards and tiles by hash: about as many rows in each, whatever the ids
     shards, tiles = -(-n // shard_rows), -(-n_queries // tile_queries)
-    sharded = _packed(rows.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards))), "shard")
-    tiled = _packed(rows.where(F.col("id") % query_mod == 0).withColumn("tile", F.pmod(F.xxhash64("id"), F.lit(tiles))), "tile")
-    # each shard meets each tile of queries: rows of a few megabytes, dealt by pair, so that no task takes a whole tile's or shard's products
-    each = lambda frame, name, count: saved(frame, f"topk-by-{name}").withColumn(name, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long"))))
-    met = each(sharded, "tile", tiles).join(each(tiled, "shard", shards), ["dim", "shard", "tile"])
+    out = new_path(vectors.sparkSession, "topk-files")
+    sharded = _packed(rows.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards))), "shard", out)
+    tiled = _packed(rows.where(F.col("id") % query_mod == 0).withColumn("tile", F.pmod(F.xxhash64("row"), F.lit(tiles))), "tile", out)
+    # each shard meets each tile of queries: only their names are shuffled, and a task reads the files of its pairs
+    met = sharded.join(tiled, "dim").repartition(shards * tiles, "dim", "shard", "tile").sortWithinPartitions("dim", "shard", "tile")
 
     def multiply(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: tuple = ("", ())
         for frame in frames:
             for row in frame.itertuples():
-                q_ids, ids = np.frombuffer(row.tile_ids, np.int64), np.frombuffer(row.shard_ids, np.int64)
-                counts, top, scores = tile_top(q_ids, np.frombuffer(row.tile_vectors).reshape(len(q_ids), -1), ids, np.frombuffer(row.shard_vectors).reshape(len(ids), -1), k)
+                if held[0] != row.shard_path:
+                    held = (row.shard_path, _unpacked(row.shard_path, row.shard_n, row.dim))
+                q_rows, q_ids, queries = _unpacked(row.tile_path, row.tile_n, row.dim)
+                counts, top, scores = tile_top(q_rows, queries, *held[1], k)
                 yield pd.DataFrame({"dim": [row.dim], "tile": [row.tile], "node": [row.shard], "queries": [q_ids.tobytes()], "counts": [counts.tobytes()], "ids": [top.tobytes()], "scores": [scores.tobytes()]})
 
     lists = "dim long, tile long, node long, queries binary, counts binary, ids binary, scores binary"
