@@ -101,7 +101,7 @@ def test_categories(spark):
     df = spark.createDataFrame([("HR: 72 bpm PR 160 ms QRS 90 ms QT/QTc 380/410 RV5/SV1 1.20/0.80 ID 1 Male Sinus rhythm",), ("Female, HR=130 Sinus tachycardia",), (None,)], "t string")
     m = df.select(C.measurements(F.col("t")).alias("m"), C.sex(F.col("t")).alias("sex"), C.rhythm(F.col("t")).alias("r")).collect()
     assert (m[0].m.heart_rate_bpm, m[0].m.pr_ms, m[0].m.qtc_ms, m[0].m.sv1_mv, m[0].sex) == (72, 160, 410, 0.8, "M")
-    assert m[1].sex == "F" and m[1].r.category == "tachycardia" and m[2].m.heart_rate_bpm is None
+    assert m[1].sex == "F" and m[1].r.category == "tachy" and tuple(m[0].r) == ("sinus", 50, 110) and tuple(m[2].r) == ("other", None, None) and m[2].m.heart_rate_bpm is None
     d = spark.createDataFrame([("/a/b/rec_12lead.CSV", "  Ada  Byron King", datetime.date(2000, 6, 16))], "p string, n string, d date")
     r = d.select(C.stem(F.col("p")), C.file_format(F.col("p")), C.expected_leads(F.col("p")), C.initials(F.col("n")), C.age_years(F.col("d"), F.lit("2024-06-15").cast("date"))).first()
     assert tuple(r) == ("rec_12lead", "csv", 12, "AB", 23)

@@ -36,15 +36,15 @@ def role(x: Column) -> Column:
 
 
 def rhythm(dx: Column) -> Column:
-    """category and the heart-rate range that goes with a diagnosis; the first rule that fits wins."""
+    """category and the heart-rate range that goes with a diagnosis, null where none does; the first rule that fits wins."""
     t = F.lower(F.coalesce(dx, F.lit("")))
-    made = lambda name, lo, hi: F.struct(F.lit(name).alias("category"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi"))
+    made = lambda name, lo=None, hi=None: F.struct(F.lit(name).alias("category"), F.lit(lo).cast("int").alias("lo"), F.lit(hi).cast("int").alias("hi"))
     return (
-        F.when(t.contains("brady"), made("bradycardia", 20, 60))
-        .when(t.contains("tachy"), made("tachycardia", 100, 220))
-        .when(t.contains("fibrillation") | t.contains("flutter"), made("irregular", 40, 200))
-        .when(t.contains("sinus") | t.contains("normal"), made("normal", 60, 100))
-        .otherwise(made("other", 40, 180))
+        F.when(t.contains("brady"), made("brady", 0, 60))
+        .when(t.contains("tachy"), made("tachy", 100, 250))
+        .when(t.contains("lead off"), made("lead_off"))
+        .when(t.contains("sinus") | t.contains("arrhythmia") | t.contains("rhythm"), made("sinus", 50, 110))
+        .otherwise(made("other"))
     )
 
 

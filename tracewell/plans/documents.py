@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import zlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -77,7 +78,7 @@ def stream_drain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as a stream, drained once through a stateful aggregation into a table of the session."""
     source = f"{sf_dir}/events.parquet"
     schema = spark.read.parquet(source).schema
-    name = f"drained_{abs(hash(sf_dir)) % 10**8}"
+    name = f"drained_{zlib.crc32(sf_dir.encode())}"
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     totals = stream.where("value is not null").groupBy("user_id").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
     base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()

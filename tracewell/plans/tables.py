@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import categories as C
+from ..operators import metrics
 from ..operators import warehouse as wh
 from .registry import query, read
 
@@ -230,3 +231,31 @@ def set_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = read(spark, sf_dir, "nation")
     kept = n.select(F.col("n_nationkey").alias("id")).exceptAll(n.where("n_regionkey = 1").select("n_nationkey"))
     return c.unionByName(s).distinct().join(kept, "id", "left_semi").select("kind", "id")
+
+
+@query("""
+WITH d AS (SELECT conv_id, turn, CASE conv_id % 6 WHEN 0 THEN 'Sinus bradycardia' WHEN 1 THEN 'TACHYCARDIA' WHEN 2 THEN 'Lead off' WHEN 3 THEN 'Sinus rhythm' WHEN 4 THEN 'Arrhythmia' END AS dx, 40 + (conv_id * 7 + turn) % 120 AS hr FROM conversations),
+c AS (SELECT *, CASE WHEN lower(dx) LIKE '%brady%' THEN 'brady' WHEN lower(dx) LIKE '%tachy%' THEN 'tachy' WHEN lower(dx) LIKE '%lead off%' THEN 'lead_off' WHEN lower(dx) LIKE '%sinus%' OR lower(dx) LIKE '%arrhythmia%' OR lower(dx) LIKE '%rhythm%' THEN 'sinus' ELSE 'other' END AS category FROM d)
+SELECT conv_id, turn, category, CASE category WHEN 'brady' THEN hr BETWEEN -8 AND 68 WHEN 'tachy' THEN hr BETWEEN 92 AND 258 WHEN 'sinus' THEN hr BETWEEN 42 AND 118 END AS consistent FROM c""")
+def rhythm_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A diagnosis and a heart rate for each turn: the rhythm's category, and whether the rate fits its range; null where it has none."""
+    kinds = ("Sinus bradycardia", "TACHYCARDIA", "Lead off", "Sinus rhythm", "Arrhythmia")
+    dx = F.coalesce(*(F.when(F.col("conv_id") % 6 == k, name) for k, name in enumerate(kinds)))
+    c = read(spark, sf_dir, "conversations").select("conv_id", "turn", (40 + (F.col("conv_id") * 7 + F.col("turn")) % 120).alias("hr"), C.rhythm(dx).alias("r"))
+    return c.select("conv_id", "turn", "r.category", C.consistent(F.col("hr"), F.col("r.lo"), F.col("r.hi")).alias("consistent"))
+
+
+@query("""
+WITH s AS (SELECT l.quality, l.toxic, d.n_chars AS score FROM labels l JOIN documents d USING (doc_id)),
+t AS (SELECT 'quality' AS class, score, quality AS y FROM s UNION ALL SELECT 'toxic', score, toxic FROM s),
+r AS (SELECT class, y, rank() OVER (PARTITION BY class ORDER BY score) + (count(*) OVER (PARTITION BY class, score) - 1) / 2.0 AS rk FROM t),
+a AS (SELECT class, (sum(rk * y) - sum(y) * (sum(y) + 1) / 2.0) / nullif(sum(y) * sum(1 - y), 0) AS auc FROM r GROUP BY class),
+f AS (SELECT class, 2.0 * count(*) FILTER (WHERE score > 1000 AND y = 1) / (2 * count(*) FILTER (WHERE score > 1000 AND y = 1) + count(*) FILTER (WHERE score > 1000 AND y = 0) + count(*) FILTER (WHERE score <= 1000 AND y = 1)) AS f1 FROM t GROUP BY class)
+SELECT round(avg(auc), 8) AS macro_auc, round(avg(f1), 8) AS macro_f1 FROM a JOIN f USING (class)""")
+def macro_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Means over the classes: of the AUC, where a class has both labels, and of F1."""
+    d = read(spark, sf_dir, "documents").select("doc_id", F.col("n_chars").alias("score"))
+    s = read(spark, sf_dir, "labels").join(d, "doc_id").unpivot(["doc_id", "score"], ["quality", "toxic"], "class", "y")
+    f = metrics.f1(s.withColumn("p", (F.col("score") > 1000).cast("int")), "p", "y", ["class"]).select("class", "f1")
+    a = metrics.auc(s, "score", "y", ["class"]).select("class", "auc")
+    return a.join(f, "class").agg(F.round(F.avg("auc"), 8).alias("macro_auc"), F.round(F.avg("f1"), 8).alias("macro_f1"))
