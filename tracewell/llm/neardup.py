@@ -361,7 +361,7 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, components_: int =
     more = saved(linked(rest, tokens, similarity), "dup-links")
     labels = _extended(labels, more)
     # what the leaders left apart
-    found, labels = _apart(members, labels, tokens, similarity)
+    found, labels = _apart(members, labels, reps.select("id", "sketch"), tokens, similarity)
     links = links.unionByName(more).unionByName(found)
     degree = links.select("a").unionByName(links.select(F.col("b").alias("a"))).groupBy("a").agg(F.count("*").alias("n_links")).withColumnRenamed("a", "id")
     classed = saved(reps.join(labels, "id", "left").join(degree, "id", "left").select("same", F.coalesce("root", "id").alias("root"), "copies", F.coalesce("n_links", F.lit(0)).alias("n_links")), "dup-roots")
@@ -408,14 +408,23 @@ def _tokens(docs: DataFrame, rows: DataFrame, reps: DataFrame, wanted: DataFrame
     return saved(texts.mapInArrow(run, "id long, words binary").dropDuplicates(["id"]), "dup-words")
 
 
-def _apart(members: DataFrame, labels: DataFrame, tokens: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
+def _stacked(sketches: pd.Series, ids: np.ndarray) -> np.ndarray:
+    """Sketches as rows of one length; where a longer text has fewer components, its id stands, which no other text's row has there."""
+    out = np.repeat(ids[:, None], max(map(len, sketches)), 1)
+    for k, one in enumerate(sketches):
+        out[k, : len(one)] = one
+    return out
+
+
+def _apart(members: DataFrame, labels: DataFrame, sketches: DataFrame, tokens: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
     """Links between members of a bucket that are in different classes, and the labels with them.
 
     The members other than the leader, which has been aligned with all, are cut
     by length so that alike texts are in the same or the next cut, and cuts are
     cut into blocks by hash. Blocks meet two at a time and give, for a text and a
-    class, the members of that class that share enough words; the first of those
-    is aligned, and the others only if the classes are still apart.
+    class, the members of that class that share enough words, in the bucket of
+    the first component that the two share; the first of those members is
+    aligned, and the others only if the classes are still apart.
     """
     rooted = members.where("id <> leader").join(labels, "id", "left").select("bucket", "id", F.coalesce("root", "id").alias("root"))
     mixed = rooted.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
@@ -431,7 +440,9 @@ def _apart(members: DataFrame, labels: DataFrame, tokens: DataFrame, similarity:
 
     bins = tokens.join(own.select("id").distinct(), "id", "left_semi").mapInArrow(binned, "id long, n long, bins binary")
     cut = F.floor(F.log(F.col("n").cast("double")) / float(np.log(1.01 / similarity))).cast("long")
-    own = saved(own.join(saved(bins, "dup-bins"), "id").withColumn("cut", cut), "dup-cut")
+    # half of each component's bits tell whether two texts share it
+    short = sketches.select("id", F.expr("transform(sketch, x -> cast(x % 2147483647 as int))").alias("sketch"))
+    own = saved(own.join(saved(bins, "dup-bins"), "id").join(short, "id").withColumn("cut", cut), "dup-cut")
     cuts = own.groupBy("bucket", "cut").agg(F.expr(f"(count(*) + {BLOCK - 1}) div {BLOCK}").alias("blocks"), F.min("root").alias("lo"), F.max("root").alias("hi"))
     cuts = saved(cuts.groupBy("bucket").agg(F.map_from_entries(F.collect_list(F.struct("cut", F.struct("blocks", "lo", "hi")))).alias("cuts")), "dup-cuts")
     # the cuts that a text's cut meets: itself and its neighbours, if the two hold more than one class
@@ -441,19 +452,26 @@ def _apart(members: DataFrame, labels: DataFrame, tokens: DataFrame, similarity:
     near = near.withColumn("to", F.explode(targets)).drop("cuts", "met")
     # the lesser (cut, block) of two is the first
     at, to = F.struct("cut", "block"), F.col("to")
-    cells = near.select("bucket", F.least(at, to).alias("x"), F.greatest(at, to).alias("y"), (at <= to).alias("first"), (at >= to).alias("second"), "id", "root", "n", "bins")
+    cells = near.select("bucket", F.least(at, to).alias("x"), F.greatest(at, to).alias("y"), (at <= to).alias("first"), (at >= to).alias("second"), "id", "root", "n", "bins", "sketch")
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         found = []
         if frame["root"].nunique() > 1:
             alone = bool(frame["first"].iloc[0] and frame["second"].iloc[0])  # a block by itself
-            a, b = ((part["id"].to_numpy(), part["root"].to_numpy(), part["n"].to_numpy(), np.frombuffer(b"".join(part["bins"]), np.uint8).reshape(-1, BINS)) for part in (frame[frame["first"]], frame[frame["second"]]))
+            sketched_ = _stacked(frame["sketch"], frame["id"].to_numpy())
+            own = int((sketched_ == sketched_[:1]).all(0).argmax())  # the bucket's component, or an earlier one that all share
+            sides = (np.flatnonzero(frame["first"]), np.flatnonzero(frame["second"]))
+            a, b = ((part["id"].to_numpy(), part["root"].to_numpy(), part["n"].to_numpy(), np.frombuffer(b"".join(part["bins"]), np.uint8).reshape(-1, BINS), sketched_[at]) for at in sides for part in [frame.iloc[at]])
             for k in range(0, len(a[0]), TILE):
                 for m in range(0, len(b[0]), TILE):
-                    (ids, roots, n, bins), (b_ids, b_roots, b_n, b_bins) = (tuple(c[p : p + TILE] for c in side) for side, p in ((a, k), (b, m)))
+                    (ids, roots, n, bins, own_sketch), (b_ids, b_roots, b_n, b_bins, b_sketch) = (tuple(c[p : p + TILE] for c in side) for side, p in ((a, k), (b, m)))
                     i, j = may_be_alike(bins, n, b_bins, b_n, similarity)
                     apart = (roots[i] != b_roots[j]) & ((not alone) | (ids[i] < b_ids[j]))
-                    found.append(np.stack([ids[i[apart]], b_roots[j[apart]], b_ids[j[apart]]], 1))
+                    i, j = i[apart], j[apart]
+                    for p in range(0, len(i), 8192):
+                        x, y = i[p : p + 8192], j[p : p + 8192]
+                        first = (own_sketch[x] == b_sketch[y]).argmax(1) == own
+                        found.append(np.stack([ids[x[first]], b_roots[y[first]], b_ids[y[first]]], 1))
         pairs = np.concatenate(found) if found else np.zeros((0, 3), np.int64)
         pairs = pairs[np.lexsort(pairs.T[::-1])]
         begins = np.flatnonzero((np.diff(pairs[:, :2], axis=0, prepend=pairs[:1, :2] - 1) != 0).any(1))
