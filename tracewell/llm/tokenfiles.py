@@ -16,12 +16,12 @@ and, each from an 8-byte boundary on, marks (64-bit words), directory of 512s
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -32,8 +32,10 @@ from .encoding import BATCH_CHARS, batches, encoder
 
 MAGIC = b"TWDAC001"
 FILE_TOKENS = 1 << 21
-#: of encoded ids
-PARTITION_BYTES = 16 << 20
+#: of texts
+PARTITION_BYTES = 24 << 20
+#: so that the bounds of parts stay small; larger parts are sorted with spilling, and cut into files as others are
+MOST_PARTS = 65_536
 
 
 def _pad(n: int) -> bytes:
@@ -127,9 +129,28 @@ def encoded(batch: pa.RecordBatch, path: str, end: int, most: int = BATCH_CHARS)
         yield part, counts + 1, np.insert(ids, np.cumsum(counts), end)
 
 
-def encoded_documents(docs: DataFrame, tokenizer: str, end: int) -> DataFrame:
-    """doc_id, tie (a hash of the text), n (number of ids) and ids (as bytes: 16-bit, or 32-bit where a slice has ids over that)
-    of every row, written once in the partitions of the input: texts are never shuffled."""
+def part_bounds(keys: DataFrame, partition_bytes: int = PARTITION_BYTES) -> list[tuple]:
+    """The least (has doc_id, doc_id, tie) of every part but the first, where rows of ``keys`` (doc_id, tie, size of the text)
+    are cut in that order into parts of about so many bytes; at most MOST_PARTS - 1 of them, whatever the input's size."""
+    total = keys.agg(F.sum("size")).first()[0] or 0
+    parts = min(total // partition_bytes + 1, MOST_PARTS)
+    if parts == 1:
+        return []
+    key = F.struct(F.col("doc_id").isNotNull().alias("known"), F.coalesce("doc_id", F.lit(0)).alias("doc_id"), "tie")
+    ranged = keys.repartitionByRange(parts, "doc_id", "tie").groupBy(F.spark_partition_id()).agg(F.min(key).alias("least"))
+    return sorted(tuple(r.least) for r in ranged.collect())[1:]
+
+
+def encoded_documents(docs: DataFrame, tokenizer: str, end: int, partition_bytes: int = PARTITION_BYTES) -> DataFrame:
+    """part, doc_id, n (number of ids) and ids (as bytes: 16-bit, or 32-bit where a slice has ids over that) of every row, one
+    partition for each part, parts and the rows in them in ascending doc_id order (nulls first, equal ones by the hash of their text).
+
+    Only keys are read to find the parts' bounds; texts are encoded in the partitions of the input and ids alone are shuffled, once.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), "text")
+    keys = saved(rows.select("doc_id", "tie", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("size")), "token-keys")
+    bounds = part_bounds(keys, partition_bytes)
+    discard(keys)
 
     def run(record_batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in record_batches:
@@ -140,16 +161,12 @@ def encoded_documents(docs: DataFrame, tokenizer: str, end: int) -> DataFrame:
                     data = pa.Array.from_buffers(pa.binary(), len(part), [None, pa.py_buffer(edges.astype(np.int32)), pa.py_buffer(ids)])
                 else:
                     data = pa.Array.from_buffers(pa.large_binary(), len(part), [None, pa.py_buffer(edges.astype(np.int64)), pa.py_buffer(ids)]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("tie"), pa.array(counts), data], ["doc_id", "tie", "n", "ids"])
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), "text")
-    return saved(rows.mapInArrow(run, "doc_id long, tie long, n long, ids binary"), "token-ids")
-
+                own = zip(part.column("doc_id").to_pylist(), part.column("tie").to_pylist(), strict=True)
+                at = pa.array([bisect_right(bounds, (d is not None, d or 0, tie)) for d, tie in own], pa.int32())
+                yield pa.RecordBatch.from_arrays([at, part.column("doc_id"), part.column("tie"), pa.array(counts), data], ["part", "doc_id", "tie", "n", "ids"])
 
-def ordered(ids: DataFrame, partition_bytes: int = PARTITION_BYTES) -> DataFrame:
-    """Rows of encoded_documents() in ascending doc_id order (nulls first, equal ones by the hash of their text) over partitions of about so many bytes."""
-    total = ids.agg(F.sum(F.octet_length("ids"))).first()[0] or 0
-    return ids.repartitionByRange(total // partition_bytes + 1, F.col("doc_id"), F.col("tie")).sortWithinPartitions("doc_id", "tie")
+    ids = rows.mapInArrow(run, "part int, doc_id long, tie long, n long, ids binary")
+    return ids.repartitionById(len(bounds) + 1, "part").sortWithinPartitions("doc_id", "tie").drop("tie")
 
 
 def write_files(docs: DataFrame, tokenizer: str, out: str, end: int = 2, file_tokens: int = FILE_TOKENS, partition_bytes: int = PARTITION_BYTES) -> DataFrame:
@@ -162,7 +179,7 @@ def write_files(docs: DataFrame, tokenizer: str, out: str, end: int = 2, file_to
     """
 
     def run(record_batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, k = TaskContext.get().partitionId(), 0
+        part, k = 0, 0
         doc_ids: list = []
         held: list[np.ndarray] = []
 
@@ -176,6 +193,7 @@ def write_files(docs: DataFrame, tokenizer: str, out: str, end: int = 2, file_to
 
         n = 0
         for batch in record_batches:
+            part = batch.column("part")[0].as_py() if len(batch) else part  # the same in all rows of a partition
             for doc_id, size, ids in zip(batch.column("doc_id").to_pylist(), batch.column("n").to_pylist(), batch.column("ids"), strict=True):
                 data = ids.as_buffer()
                 doc_ids.append(doc_id)
@@ -187,10 +205,8 @@ def write_files(docs: DataFrame, tokenizer: str, out: str, end: int = 2, file_to
         if held:
             yield flush()
 
-    ids = encoded_documents(docs, tokenizer, end)
-    found = saved(ordered(ids, partition_bytes).mapInArrow(run, "part long, file long, path string, n_docs long, n_tokens long"), "token-files")
-    discard(ids)
-    return found
+    ids = encoded_documents(docs, tokenizer, end, partition_bytes)
+    return saved(ids.mapInArrow(run, "part long, file long, path string, n_docs long, n_tokens long"), "token-files")
 
 
 def read_files(written: DataFrame) -> DataFrame:
