@@ -21,7 +21,6 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,10 +28,10 @@ from pyspark.sql import functions as F
 from .common import discard, saved
 from .words import mix64, slices, word_hashes
 
-#: Two-word shingles outlive scattered changes: with 48 components a pair at edit similarity 0.8 is rarely missed.
-SHINGLE = 2
-COMPONENTS = 48
-KEPT = 3
+#: With 96 components of two five-word shingles a pair at edit similarity 0.8 is rarely missed.
+SHINGLE = 5
+COMPONENTS = 96
+KEPT = 2
 #: Texts of up to SHORT words have so few shingles that an edit may leave too few; they take components of two single words besides.
 SHORT = 64
 SHORT_COMPONENTS = 16
@@ -72,9 +71,8 @@ def sketch(words: np.ndarray, components: int = COMPONENTS, kept: int = KEPT, sh
     at_once = max(1, 131_072 // len(h))
     for k in range(0, components, at_once):
         part = slice(k, k + at_once)
-        order = (high[None, :] ^ flip[part, None]) * factor[part, None]
-        order ^= order >> np.uint32(15)
-        order *= np.uint32(0x2C1B3C6D)
+        order = high[None, :] ^ flip[part, None]
+        order *= factor[part, None]
         rows = np.arange(len(order))
         for j in range(kept):
             places[part, j] = least = order.argmin(1)
@@ -211,8 +209,9 @@ def histogram(words: np.ndarray) -> np.ndarray:
     return np.minimum(np.bincount((words >> np.uint64(54)).astype(np.int64), minlength=BINS), 255).astype(np.uint8)
 
 
-def may_be_alike(a: np.ndarray, a_sizes: np.ndarray, b: np.ndarray, b_sizes: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """Places in a and b of the pairs of texts, given by histograms and numbers of words, that can be alike; full bins bound nothing.
+def may_be_alike(a: np.ndarray, a_sizes: np.ndarray, b: np.ndarray, b_sizes: np.ndarray, similarity: float, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in a and b of the pairs ``asked`` for (a matrix of booleans) whose texts, given by histograms and numbers of words, can be
+    alike; full bins bound nothing.
 
     A text shares at most the words that fall in bins which the other has too, a
     matrix product for all pairs at once; for the pairs that this leaves, the
@@ -220,10 +219,12 @@ def may_be_alike(a: np.ndarray, a_sizes: np.ndarray, b: np.ndarray, b_sizes: np.
     """
     most = np.maximum(a_sizes[:, None], b_sizes[None, :])
     need = similarity * most - 1e-6 * most
+    ok = asked & (np.minimum(a_sizes[:, None], b_sizes[None, :]) >= need)
+    if not ok.any():
+        return np.nonzero(ok)
     af, bf = a.astype(np.float32), b.astype(np.float32)
     a_over, b_over = a_sizes - a.sum(1, dtype=np.int64), b_sizes - b.sum(1, dtype=np.int64)  # words that full bins don't count
     need -= np.minimum(a_over[:, None], b_over[None, :])
-    ok = np.minimum(a_sizes[:, None], b_sizes[None, :]) >= similarity * most - 1e-6 * most
     ok &= af @ (bf > 0).astype(np.float32).T >= need
     ok &= (af > 0).astype(np.float32) @ bf.T >= need
     i, j = np.nonzero(ok)
@@ -347,8 +348,9 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, components_: int =
     clash = reps.groupBy("id").count().where("count > 1 or id is null").take(1)
     reps = reps.withColumn("id", F.xxhash64("same")) if clash else reps
     spread = reps.where("n > 0").select("id", F.col("n").cast("int").alias("n"), F.posexplode("sketch").alias("j", "value")).select("id", "n", F.xxhash64("j", "value").alias("bucket"))
-    buckets = saved(spread.groupBy("bucket").agg(F.count("*").alias("size"), F.min(F.struct("id", "n")).alias("leader")).where("size > 1"), "dup-buckets")
-    members = saved(spread.join(buckets.select("bucket", F.col("leader.id").alias("leader"), F.col("leader.n").alias("leader_n")), "bucket"), "dup-members")
+    buckets = saved(spread.groupBy("bucket").agg(F.count("*").alias("size"), F.min("id").alias("leader")).where("size > 1").drop("size"), "dup-buckets")
+    led = buckets.join(reps.select(F.col("id").alias("leader"), F.col("n").cast("int").alias("leader_n")), "leader")
+    members = saved(spread.join(led, "bucket").select("bucket", "id", "n", "leader", "leader_n"), "dup-members")
     # texts whose lengths alone differ by too many edits are no pair
     close = F.abs(F.col("n") - F.col("leader_n")) <= (1 - similarity) * F.greatest("n", "leader_n") + 1e-9
     pairs = saved(members.where(F.col("id") != F.col("leader")).where(close).groupBy(F.col("leader").alias("a"), F.col("id").alias("b")).agg(F.count("*").alias("shared")), "dup-pairs")
@@ -408,14 +410,31 @@ def _tokens(docs: DataFrame, rows: DataFrame, reps: DataFrame, wanted: DataFrame
     return saved(texts.mapInArrow(run, "id long, words binary").dropDuplicates(["id"]), "dup-words")
 
 
-def _stacked(sketches: pd.Series, ids: np.ndarray) -> np.ndarray:
+def _stacked(sketches: pa.ListArray, ids: np.ndarray) -> np.ndarray:
     """Sketches as rows of one length; where a longer text has fewer components, its id stands, which no other text's row has there."""
-    out = np.repeat(ids[:, None], max(map(len, sketches)), 1)
-    for k, one in enumerate(sketches):
-        out[k, : len(one)] = one
+    flat, ends = sketches.flatten().to_numpy(), np.cumsum(sketches.value_lengths().to_numpy())
+    sizes = np.diff(ends, prepend=0)
+    out = np.repeat(ids[:, None], sizes.max(), 1)
+    out[np.repeat(np.arange(len(ids)), sizes), np.arange(len(flat)) - np.repeat(ends - sizes, sizes)] = flat
     return out
 
 
+def _by_cell(batches: Iterator[pa.RecordBatch], cell: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Rows sorted by ``cell`` in tables that hold its groups whole, each with the places where a group begins."""
+    begins_of = lambda rows: np.flatnonzero((np.diff(np.stack([rows.column(c).to_numpy() for c in cell]), axis=1) != 0).any(0)) + 1
+    held = None
+    for batch in batches:
+        if not len(batch):
+            continue
+        rows = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+        begins = np.append(0, begins_of(rows))
+        held = rows.slice(begins[-1])
+        if len(begins) > 1:
+            yield rows.slice(0, begins[-1]), begins[:-1]
+    if held is not None:
+        yield held, np.zeros(1, np.int64)
+
+
 def _apart(members: DataFrame, labels: DataFrame, sketches: DataFrame, tokens: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
     """Links between members of a bucket that are in different classes, and the labels with them.
 
@@ -452,33 +471,46 @@ def _apart(members: DataFrame, labels: DataFrame, sketches: DataFrame, tokens: D
     near = near.withColumn("to", F.explode(targets)).drop("cuts", "met")
     # the lesser (cut, block) of two is the first
     at, to = F.struct("cut", "block"), F.col("to")
-    cells = near.select("bucket", F.least(at, to).alias("x"), F.greatest(at, to).alias("y"), (at <= to).alias("first"), (at >= to).alias("second"), "id", "root", "n", "bins", "sketch")
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        found = []
-        if frame["root"].nunique() > 1:
-            alone = bool(frame["first"].iloc[0] and frame["second"].iloc[0])  # a block by itself
-            sketched_ = _stacked(frame["sketch"], frame["id"].to_numpy())
-            own = int((sketched_ == sketched_[:1]).all(0).argmax())  # the bucket's component, or an earlier one that all share
-            sides = (np.flatnonzero(frame["first"]), np.flatnonzero(frame["second"]))
-            a, b = ((part["id"].to_numpy(), part["root"].to_numpy(), part["n"].to_numpy(), np.frombuffer(b"".join(part["bins"]), np.uint8).reshape(-1, BINS), sketched_[at]) for at in sides for part in [frame.iloc[at]])
-            for k in range(0, len(a[0]), TILE):
-                for m in range(0, len(b[0]), TILE):
-                    (ids, roots, n, bins, own_sketch), (b_ids, b_roots, b_n, b_bins, b_sketch) = (tuple(c[p : p + TILE] for c in side) for side, p in ((a, k), (b, m)))
-                    i, j = may_be_alike(bins, n, b_bins, b_n, similarity)
-                    apart = (roots[i] != b_roots[j]) & ((not alone) | (ids[i] < b_ids[j]))
-                    i, j = i[apart], j[apart]
-                    for p in range(0, len(i), 8192):
-                        x, y = i[p : p + 8192], j[p : p + 8192]
-                        first = (own_sketch[x] == b_sketch[y]).argmax(1) == own
-                        found.append(np.stack([ids[x[first]], b_roots[y[first]], b_ids[y[first]]], 1))
-        pairs = np.concatenate(found) if found else np.zeros((0, 3), np.int64)
-        pairs = pairs[np.lexsort(pairs.T[::-1])]
-        begins = np.flatnonzero((np.diff(pairs[:, :2], axis=0, prepend=pairs[:1, :2] - 1) != 0).any(1))
-        return pd.DataFrame({"id": pairs[begins, 0], "others": pd.Series([x.tolist() for x in np.split(pairs[:, 2], begins[1:])] if len(pairs) else [], dtype=object)})
-
-    cells = cells.repartition(own.count() // 1024 + 1, "bucket", "x", "y")  # small rows, but much work for each
-    candidates = saved(cells.groupBy("bucket", "x", "y").applyInPandas(run, "id long, others array<long>"), "dup-candidates")
+    x, y = F.least(at, to), F.greatest(at, to)
+    corners = [x["cut"].alias("x_cut"), x["block"].alias("x_block"), y["cut"].alias("y_cut"), y["block"].alias("y_block")]
+    cells = near.select("bucket", *corners, (at <= to).cast("byte").alias("first"), (at >= to).cast("byte").alias("second"), "id", "root", "n", "bins", "sketch")
+    cell = ["bucket", "x_cut", "x_block", "y_cut", "y_block"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, begins in _by_cell(batches, cell):
+            rows = rows.combine_chunks()
+            ids, roots, sizes, first, second = (rows.column(c).to_numpy() for c in ("id", "root", "n", "first", "second"))
+            sketched_ = _stacked(rows.column("sketch").chunk(0), ids)
+            bins = np.frombuffer(b"".join(rows.column("bins").to_pylist()), np.uint8).reshape(-1, BINS)
+            found = []
+            for group, (start, end) in enumerate(zip(begins, np.append(begins[1:], len(ids)), strict=True)):
+                if (roots[start:end] == roots[start]).all():
+                    continue
+                own = sketched_[start:end]
+                shared = int((own == own[:1]).all(0).argmax())  # the bucket's component, or an earlier one that all share
+                alone = bool(first[start] and second[start])  # a block by itself
+                a, b = (start + np.flatnonzero(side[start:end]) for side in (first, second))
+                for k in range(0, len(a), TILE):
+                    for m in range(0, len(b), TILE):
+                        x, y = a[k : k + TILE], b[m : m + TILE]
+                        apart = roots[x][:, None] != roots[y][None, :]
+                        if alone:
+                            apart &= ids[x][:, None] < ids[y][None, :]
+                        i, j = may_be_alike(bins[x], sizes[x], bins[y], sizes[y], similarity, apart)
+                        for p in range(0, len(i), 8192):
+                            u, v = x[i[p : p + 8192]], y[j[p : p + 8192]]
+                            at_first = (sketched_[u] == sketched_[v]).argmax(1) == shared
+                            u, v = u[at_first], v[at_first]
+                            found.append(np.stack([np.full(len(u), group), ids[u], roots[v], ids[v]], 1))
+            if found:
+                pairs = np.concatenate(found)
+                pairs = pairs[np.lexsort(pairs.T[::-1])]
+                starts = np.flatnonzero((np.diff(pairs[:, :3], axis=0, prepend=pairs[:1, :3] - 1) != 0).any(1))
+                others = pa.ListArray.from_arrays(pa.array(np.append(starts, len(pairs)), pa.int32()), pa.array(pairs[:, 3]))
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[starts, 1]), others], ["id", "others"])
+
+    cells = cells.repartition(own.count() // 1024 + 1, *cell).sortWithinPartitions(*cell)  # small rows, but much work for each
+    candidates = saved(cells.mapInArrow(run, "id long, others array<long>"), "dup-candidates")
     pair = lambda rows, other: rows.select(F.least("id", other).alias("a"), F.greatest("id", other).alias("b")).distinct()
     first = saved(linked(pair(candidates, F.col("others")[0]), tokens, similarity), "dup-links")
     labels = _extended(labels, first)
