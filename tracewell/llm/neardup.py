@@ -341,20 +341,25 @@ def _between(pairs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY, components_: int = COMPONENTS, kept: int = KEPT) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, tie, same) and classes of their words (same, root, class_id, class_size, n_links)."""
+    if components_ + SHORT_COMPONENTS > 128:
+        raise ValueError("a sketch has at most 128 components, those of short texts included")
     rows = saved(sketched(docs, components_, kept), "dup-sketches")
     # one representative for the documents of the same words
     reps = saved(rows.groupBy("same").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "dup-classes")
     # two classes may share a doc_id that rows repeat, or have none; ids of representatives must not clash
     clash = reps.groupBy("id").count().where("count > 1 or id is null").take(1)
     reps = reps.withColumn("id", F.xxhash64("same")) if clash else reps
-    spread = reps.where("n > 0").select("id", F.col("n").cast("int").alias("n"), F.posexplode("sketch").alias("j", "value")).select("id", "n", F.xxhash64("j", "value").alias("bucket"))
+    spread = reps.where("n > 0").select("id", F.col("n").cast("int").alias("n"), F.posexplode("sketch").alias("j", "value")).select("id", "n", "j", F.xxhash64("j", "value").alias("bucket"))
     buckets = saved(spread.groupBy("bucket").agg(F.count("*").alias("size"), F.min("id").alias("leader")).where("size > 1").drop("size"), "dup-buckets")
     led = buckets.join(reps.select(F.col("id").alias("leader"), F.col("n").cast("int").alias("leader_n")), "leader")
-    members = saved(spread.join(led, "bucket").select("bucket", "id", "n", "leader", "leader_n"), "dup-members")
+    # the leaders that a text meets, and in which components
+    bits = [F.expr(f"bit_or(if(j div 64 = {k}, shiftleft(1L, j % 64), 0L))").alias(f"bits_{k}") for k in (0, 1)]
+    met = spread.join(led, "bucket").where(F.col("id") != F.col("leader")).groupBy("leader", "id", "n", "leader_n").agg(F.count("*").alias("shared"), *bits)
+    met = saved(met, "dup-met")
     # texts whose lengths alone differ by too many edits are no pair
     close = F.abs(F.col("n") - F.col("leader_n")) <= (1 - similarity) * F.greatest("n", "leader_n") + 1e-9
-    pairs = saved(members.where(F.col("id") != F.col("leader")).where(close).groupBy(F.col("leader").alias("a"), F.col("id").alias("b")).agg(F.count("*").alias("shared")), "dup-pairs")
-    tokens = _tokens(docs, rows, reps, members.select("id").distinct())
+    pairs = met.where(close).select(F.col("leader").alias("a"), F.col("id").alias("b"), "shared")
+    tokens = _tokens(docs, rows, reps, met.select("id").unionByName(met.select(F.col("leader").alias("id"))).distinct())
     # the leader that a text meets most often, then the leaders of other classes
     best = saved(pairs.groupBy("b").agg(F.max(F.struct("shared", (-F.col("a")).alias("a"))).alias("x")).select((-F.col("x.a")).alias("a"), "b"), "dup-pairs")
     links = saved(linked(best, tokens, similarity), "dup-links")
@@ -363,7 +368,7 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, components_: int =
     more = saved(linked(rest, tokens, similarity), "dup-links")
     labels = _extended(labels, more)
     # what the leaders left apart
-    found, labels = _apart(members, labels, reps.select("id", "sketch"), tokens, similarity)
+    found, labels = _apart(met, labels, reps.select("id", "sketch"), tokens, similarity)
     links = links.unionByName(more).unionByName(found)
     degree = links.select("a").unionByName(links.select(F.col("b").alias("a"))).groupBy("a").agg(F.count("*").alias("n_links")).withColumnRenamed("a", "id")
     classed = saved(reps.join(labels, "id", "left").join(degree, "id", "left").select("same", F.coalesce("root", "id").alias("root"), "copies", F.coalesce("n_links", F.lit(0)).alias("n_links")), "dup-roots")
@@ -371,7 +376,7 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, components_: int =
     by_root = saved(classed.join(least, "same").groupBy("root").agg(F.min("least").alias("class_id"), F.sum("copies").alias("class_size")), "dup-by-root")
     named = saved(classed.join(by_root, "root").select("same", "root", "class_id", "class_size", "n_links"), "dup-named")
     own = saved(rows.select("doc_id", "tie", "same"), "dup-rows")
-    discard(rows, reps, buckets, members, pairs, best, tokens, classed, by_root)
+    discard(rows, reps, buckets, met, best, tokens, classed, by_root)
     return own, named
 
 
@@ -435,21 +440,23 @@ def _by_cell(batches: Iterator[pa.RecordBatch], cell: list[str]) -> Iterator[tup
         yield held, np.zeros(1, np.int64)
 
 
-def _apart(members: DataFrame, labels: DataFrame, sketches: DataFrame, tokens: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
-    """Links between members of a bucket that are in different classes, and the labels with them.
+def _apart(met: DataFrame, labels: DataFrame, sketches: DataFrame, tokens: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """Links between texts that share a component and are in different classes, and the labels with them.
 
-    The members other than the leader, which has been aligned with all, are cut
-    by length so that alike texts are in the same or the next cut, and cuts are
-    cut into blocks by hash. Blocks meet two at a time and give, for a text and a
-    class, the members of that class that share enough words, in the bucket of
-    the first component that the two share; the first of those members is
-    aligned, and the others only if the classes are still apart.
+    The texts of all buckets of a leader, which has been aligned with them, meet
+    as one group, so that a text counts once a leader however many components a
+    common passage gives it. A group is cut by length so that alike texts are in
+    the same or the next cut, and cuts are cut into blocks by hash. Blocks meet
+    two at a time and give, for a text and a class, the members of that class
+    that share enough words, if the first component that the two share is one
+    they share with the leader; the first of those members is aligned, and the
+    others only if the classes are still apart.
     """
-    rooted = members.where("id <> leader").join(labels, "id", "left").select("bucket", "id", F.coalesce("root", "id").alias("root"))
-    mixed = rooted.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
-    own = saved(rooted.join(mixed, "bucket"), "dup-mixed")
+    rooted = met.select("leader", "id", "bits_0", "bits_1").join(labels, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    mixed = rooted.groupBy("leader").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("leader")
+    apart = saved(rooted.join(mixed, "leader"), "dup-mixed")
     empty = labels.sparkSession.createDataFrame([], "a long, b long")
-    if not own.take(1):
+    if not apart.take(1):
         return empty, labels
 
     def binned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -457,50 +464,51 @@ def _apart(members: DataFrame, labels: DataFrame, sketches: DataFrame, tokens: D
             words = [np.frombuffer(x, np.uint64) for x in batch.column("words").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([len(w) for w in words], pa.int64()), pa.array([histogram(w).tobytes() for w in words], pa.binary())], ["id", "n", "bins"])
 
-    bins = tokens.join(own.select("id").distinct(), "id", "left_semi").mapInArrow(binned, "id long, n long, bins binary")
+    held = saved(tokens.join(apart.select("id").distinct(), "id", "left_semi").mapInArrow(binned, "id long, n long, bins binary"), "dup-bins")
     cut = F.floor(F.log(F.col("n").cast("double")) / float(np.log(1.01 / similarity))).cast("long")
     # half of each component's bits tell whether two texts share it
     short = sketches.select("id", F.expr("transform(sketch, x -> cast(x % 2147483647 as int))").alias("sketch"))
-    own = saved(own.join(saved(bins, "dup-bins"), "id").join(short, "id").withColumn("cut", cut), "dup-cut")
-    cuts = own.groupBy("bucket", "cut").agg(F.expr(f"(count(*) + {BLOCK - 1}) div {BLOCK}").alias("blocks"), F.min("root").alias("lo"), F.max("root").alias("hi"))
-    cuts = saved(cuts.groupBy("bucket").agg(F.map_from_entries(F.collect_list(F.struct("cut", F.struct("blocks", "lo", "hi")))).alias("cuts")), "dup-cuts")
+    own = apart.join(held, "id").withColumn("cut", cut)
+    cuts = own.groupBy("leader", "cut").agg(F.expr(f"(count(*) + {BLOCK - 1}) div {BLOCK}").alias("blocks"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+    cuts = saved(cuts.groupBy("leader").agg(F.map_from_entries(F.collect_list(F.struct("cut", F.struct("blocks", "lo", "hi")))).alias("cuts")), "dup-cuts")
     # the cuts that a text's cut meets: itself and its neighbours, if the two hold more than one class
-    met = F.expr("filter(array(cut - 1, cut, cut + 1), c -> map_contains_key(cuts, c) and not (cuts[c].lo = cuts[c].hi and cuts[cut].lo = cuts[cut].hi and cuts[c].lo = cuts[cut].lo))")
+    neighbours = F.expr("filter(array(cut - 1, cut, cut + 1), c -> map_contains_key(cuts, c) and not (cuts[c].lo = cuts[c].hi and cuts[cut].lo = cuts[cut].hi and cuts[c].lo = cuts[cut].lo))")
     targets = F.expr("flatten(transform(met, c -> transform(sequence(0L, cuts[c].blocks - 1), b -> struct(c as cut, b as block))))")
-    near = own.join(cuts, "bucket").withColumn("met", met).where("size(met) > 0").withColumn("block", F.expr("pmod(xxhash64(id, 7), cuts[cut].blocks)"))
+    near = own.join(cuts, "leader").join(short, "id").withColumn("met", neighbours).where("size(met) > 0").withColumn("block", F.expr("pmod(xxhash64(id, 7), cuts[cut].blocks)"))
     near = near.withColumn("to", F.explode(targets)).drop("cuts", "met")
     # the lesser (cut, block) of two is the first
     at, to = F.struct("cut", "block"), F.col("to")
     x, y = F.least(at, to), F.greatest(at, to)
     corners = [x["cut"].alias("x_cut"), x["block"].alias("x_block"), y["cut"].alias("y_cut"), y["block"].alias("y_block")]
-    cells = near.select("bucket", *corners, (at <= to).cast("byte").alias("first"), (at >= to).cast("byte").alias("second"), "id", "root", "n", "bins", "sketch")
-    cell = ["bucket", "x_cut", "x_block", "y_cut", "y_block"]
+    cells = near.select("leader", *corners, (at <= to).cast("byte").alias("first"), (at >= to).cast("byte").alias("second"), "id", "root", "n", "bins", "sketch", "bits_0", "bits_1")
+    cell = ["leader", "x_cut", "x_block", "y_cut", "y_block"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, begins in _by_cell(batches, cell):
             rows = rows.combine_chunks()
             ids, roots, sizes, first, second = (rows.column(c).to_numpy() for c in ("id", "root", "n", "first", "second"))
             sketched_ = _stacked(rows.column("sketch").chunk(0), ids)
+            bits = np.stack([rows.column(c).to_numpy() for c in ("bits_0", "bits_1")])
             bins = np.frombuffer(b"".join(rows.column("bins").to_pylist()), np.uint8).reshape(-1, BINS)
             found = []
             for group, (start, end) in enumerate(zip(begins, np.append(begins[1:], len(ids)), strict=True)):
                 if (roots[start:end] == roots[start]).all():
                     continue
-                own = sketched_[start:end]
-                shared = int((own == own[:1]).all(0).argmax())  # the bucket's component, or an earlier one that all share
                 alone = bool(first[start] and second[start])  # a block by itself
                 a, b = (start + np.flatnonzero(side[start:end]) for side in (first, second))
                 for k in range(0, len(a), TILE):
                     for m in range(0, len(b), TILE):
                         x, y = a[k : k + TILE], b[m : m + TILE]
-                        apart = roots[x][:, None] != roots[y][None, :]
+                        asked = roots[x][:, None] != roots[y][None, :]
                         if alone:
-                            apart &= ids[x][:, None] < ids[y][None, :]
-                        i, j = may_be_alike(bins[x], sizes[x], bins[y], sizes[y], similarity, apart)
+                            asked &= ids[x][:, None] < ids[y][None, :]
+                        i, j = may_be_alike(bins[x], sizes[x], bins[y], sizes[y], similarity, asked)
                         for p in range(0, len(i), 8192):
                             u, v = x[i[p : p + 8192]], y[j[p : p + 8192]]
-                            at_first = (sketched_[u] == sketched_[v]).argmax(1) == shared
-                            u, v = u[at_first], v[at_first]
+                            same = sketched_[u] == sketched_[v]
+                            at = same.argmax(1)
+                            first_here = same.any(1) & ((bits[at // 64, u] >> (at % 64)) & 1 == 1)
+                            u, v = u[first_here], v[first_here]
                             found.append(np.stack([np.full(len(u), group), ids[u], roots[v], ids[v]], 1))
             if found:
                 pairs = np.concatenate(found)
@@ -509,7 +517,7 @@ def _apart(members: DataFrame, labels: DataFrame, sketches: DataFrame, tokens: D
                 others = pa.ListArray.from_arrays(pa.array(np.append(starts, len(pairs)), pa.int32()), pa.array(pairs[:, 3]))
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[starts, 1]), others], ["id", "others"])
 
-    cells = cells.repartition(own.count() // 1024 + 1, *cell).sortWithinPartitions(*cell)  # small rows, but much work for each
+    cells = cells.repartition(apart.count() // 1024 + 1, *cell).sortWithinPartitions(*cell)  # small rows, but much work for each
     candidates = saved(cells.mapInArrow(run, "id long, others array<long>"), "dup-candidates")
     pair = lambda rows, other: rows.select(F.least("id", other).alias("a"), F.greatest("id", other).alias("b")).distinct()
     first = saved(linked(pair(candidates, F.col("others")[0]), tokens, similarity), "dup-links")
@@ -522,7 +530,7 @@ def _apart(members: DataFrame, labels: DataFrame, sketches: DataFrame, tokens: D
     rest = _between(pair(left.select("id", F.explode(F.expr("slice(others, 2, size(others) - 1)")).alias("other")), F.col("other")), labels)
     second = saved(linked(rest, tokens, similarity), "dup-links")
     labels = _extended(labels, second)
-    discard(candidates, left)
+    discard(apart, held, cuts, candidates, left)
     return first.unionByName(second), labels
 
 
