@@ -72,3 +72,25 @@ b AS (SELECT rn, sid, start, size, unnest(range(start // {block}, (start + size
 t AS (SELECT rn, CAST(sum((least(start + size, (b.block + 1) * {block}) - greatest(start, b.block * {block})) * times) AS BIGINT) AS taken FROM b JOIN times ON times.sid = b.sid AND times.block = b.block GROUP BY rn)
 SELECT doc_id, size, source_size, target, coalesce(taken, 0) AS taken, drawn FROM d1 LEFT JOIN t ON t.rn = d1.rn"""
     return made.replace(" div ", " // ")
+
+
+def spelling_sql(drop: int = 97, letters: int = 5, least: int = 3) -> str:
+    """crc32 is folded over the UTF-8 bytes of code points below 256; near words share a spelling with one letter left out."""
+    run = f"[A-Za-z\u00c0-\u00ff]{{{letters},}}"
+    return f"""
+WITH RECURSIVE crc AS (SELECT list_transform(range(256), lambda x: list_reduce(list_prepend(x, range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+runs AS (SELECT doc_id, unnest(regexp_extract_all(text, '{run}')) AS r FROM documents),
+r1 AS (SELECT doc_id, translate(r, '{_UPPER}', '{_UPPER.lower()}') AS r, count(*) AS n FROM runs GROUP BY ALL),
+r2 AS (SELECT *, flatten(list_transform(string_split(doc_id || ':' || r, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)::BIGINT] ELSE [192 + (unicode(c)::BIGINT >> 6), 128 + (unicode(c)::BIGINT & 63)] END)) AS bytes FROM r1),
+r3 AS (SELECT r, n, xor(list_reduce(list_prepend(4294967295, bytes), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS h FROM r2, crc),
+r4 AS (SELECT CASE WHEN h % {drop} = 0 THEN left(r, CAST(h % len(r) AS INTEGER)) || substr(r, CAST(h % len(r) AS INTEGER) + 2) ELSE r END AS word, n FROM r3),
+words AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM r4 WHERE len(word) >= {letters} GROUP BY word HAVING sum(n) >= {least}),
+less AS (SELECT word, n, len(word) AS size, i, left(word, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, CAST(unnest(range(1, len(word) + 1)) AS INTEGER) AS i FROM words)),
+near AS (SELECT DISTINCT a.word, a.n, b.word AS other, b.n AS other_n FROM less a JOIN less b ON a.size = b.size AND a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT DISTINCT l.word, l.n, w.word, w.n FROM less l JOIN words w ON w.word = l.rest UNION SELECT DISTINCT w.word, w.n, l.word, l.n FROM less l JOIN words w ON w.word = l.rest),
+best AS (SELECT word, n, count(*) AS n_near, max(other_n) AS most FROM near GROUP BY word, n),
+form AS (SELECT best.word, min(other) AS form, most AS form_n FROM best JOIN near ON near.word = best.word AND other_n = most WHERE most >= 2 * best.n GROUP BY best.word, most),
+chain AS (SELECT word, form AS root FROM form UNION ALL SELECT chain.word, form.form FROM chain JOIN form ON form.word = chain.root),
+ends AS (SELECT word, root FROM chain WHERE root NOT IN (SELECT word FROM form))
+SELECT words.word, form.form, coalesce(ends.root, words.word) AS root, words.n, CAST(coalesce(n_near, 0) AS BIGINT) AS n_near, CAST(form_n AS BIGINT) AS form_n
+FROM words LEFT JOIN best ON best.word = words.word LEFT JOIN form ON form.word = words.word LEFT JOIN ends ON ends.word = words.word"""

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
-from .oracles import mix_sql, topk_sql, url_sql
+from .oracles import mix_sql, spelling_sql, topk_sql, url_sql
 
 #: production parameters
 TOKENIZER = "word_bpe_49k.json"
@@ -84,6 +84,12 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer_path(), SCAN_END_ID)
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .spelling import variants
+
+    return variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -97,7 +103,8 @@ QUERIES = {
         op8_licenses,
         op9_quality,
         op10_token_counts,
+        op13_spelling_variants,
     )
 }
 
-ORACLES: dict[str, str] = {"op3_exact_topk": topk_sql(), "op5_source_mixing": mix_sql(), "op7_url_filter": url_sql()}
+ORACLES: dict[str, str] = {"op3_exact_topk": topk_sql(), "op5_source_mixing": mix_sql(), "op7_url_filter": url_sql(), "op13_spelling_variants": spelling_sql()}
