@@ -94,3 +94,20 @@ chain AS (SELECT word, form AS root FROM form UNION ALL SELECT chain.word, form.
 ends AS (SELECT word, root FROM chain WHERE root NOT IN (SELECT word FROM form))
 SELECT words.word, form.form, coalesce(ends.root, words.word) AS root, words.n, CAST(coalesce(n_near, 0) AS BIGINT) AS n_near, CAST(form_n AS BIGINT) AS form_n
 FROM words LEFT JOIN best ON best.word = words.word LEFT JOIN form ON form.word = words.word LEFT JOIN ends ON ends.word = words.word"""
+
+
+def ranked_sql(k: int = 10, b: int = 75) -> str:
+    def terms(text: str) -> str:
+        return f"regexp_extract_all(translate({text}, '{_UPPER}', '{_UPPER.lower()}'), '[0-9a-z\\x{{80}}-\\x{{10ffff}}]+')"
+
+    return f"""
+WITH d0 AS (SELECT row_number() OVER () AS d, doc_id, {terms("text")} AS w FROM documents),
+d1 AS (SELECT d, doc_id, CAST(len(w) AS BIGINT) AS n FROM d0 WHERE len(w) > 0),
+total AS (SELECT CAST(count(*) AS BIGINT) AS docs, CAST(sum(n) AS BIGINT) AS words FROM d1),
+d2 AS (SELECT d, term, CAST(count(*) AS BIGINT) AS tf FROM (SELECT d, unnest(w) AS term FROM d0) GROUP BY ALL),
+i0 AS (SELECT row_number() OVER () AS i, item_id, {terms("text")} AS w FROM benchmark),
+i1 AS (SELECT i, item_id, term, count(*) AS q FROM (SELECT i, item_id, unnest(w) AS term FROM i0) GROUP BY ALL),
+weights AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM d2, total WHERE term IN (SELECT term FROM i1) GROUP BY term, docs),
+norm AS (SELECT d, doc_id, {100 - b} + ({b} * n * docs) // words AS m FROM d1, total),
+s AS (SELECT i, item_id, doc_id, d, CAST(sum(q * w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score FROM i1 JOIN weights USING (term) JOIN d2 USING (term) JOIN norm USING (d) GROUP BY ALL)
+SELECT item_id, rank, doc_id, score FROM (SELECT *, CAST(row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST, d) AS INTEGER) AS rank FROM s WHERE score > 0) WHERE rank <= {k}"""

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
-from .oracles import mix_sql, spelling_sql, topk_sql, url_sql
+from .oracles import mix_sql, ranked_sql, spelling_sql, topk_sql, url_sql
 
 #: production parameters
 TOKENIZER = "word_bpe_49k.json"
@@ -84,6 +84,18 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer_path(), SCAN_END_ID)
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language import languages
+
+    return languages(table(spark, sf_dir, "documents"))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lexical import ranked
+
+    return ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .spelling import variants
 
@@ -103,8 +115,16 @@ QUERIES = {
         op8_licenses,
         op9_quality,
         op10_token_counts,
+        op11_language_id,
+        op12_lexical_search,
         op13_spelling_variants,
     )
 }
 
-ORACLES: dict[str, str] = {"op3_exact_topk": topk_sql(), "op5_source_mixing": mix_sql(), "op7_url_filter": url_sql(), "op13_spelling_variants": spelling_sql()}
+ORACLES: dict[str, str] = {
+    "op3_exact_topk": topk_sql(),
+    "op5_source_mixing": mix_sql(),
+    "op7_url_filter": url_sql(),
+    "op12_lexical_search": ranked_sql(),
+    "op13_spelling_variants": spelling_sql(),
+}

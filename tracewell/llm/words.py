@@ -38,10 +38,11 @@ def _ensure(n: int) -> None:
         _up, _down = _powers(_BASE, n), _powers(_INVERSE, n)
 
 
-def joined(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """The lower-cased bytes of texts, a zero byte after each, and the places of those zeros."""
-    whole = "\x00".join([(t.replace("\x00", " ") if "\x00" in t else t) if t else "" for t in texts] + [""]).lower()
-    data = np.frombuffer(whole.encode("utf-8", "surrogatepass"), np.uint8)
+def joined(texts: list[str | None], ascii_only: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """The lower-cased bytes of texts (only A-Z, if ``ascii_only``), a zero byte after each, and the places of those zeros."""
+    whole = "\x00".join([(t.replace("\x00", " ") if "\x00" in t else t) if t else "" for t in texts] + [""])
+    lowered = whole.encode("utf-8", "surrogatepass").lower() if ascii_only else whole.lower().encode("utf-8", "surrogatepass")
+    data = np.frombuffer(lowered, np.uint8)
     return data, np.flatnonzero(data == 0)
 
 
@@ -83,7 +84,7 @@ def _long(data: np.ndarray) -> np.ndarray:
     return mix64(np.concatenate(out))
 
 
-def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(texts: list[str | None], ascii_only: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all texts' words one after another, and where each text's begin (with the end: one more than texts)."""
     hashes, counts, first = [], [], 0
     while first < len(texts):
@@ -91,7 +92,7 @@ def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         while last < len(texts) and (last == first or held + len(texts[last] or "") <= PIECE // 2):
             held += len(texts[last] or "")
             last += 1
-        data, zeros = joined(texts[first:last])
+        data, zeros = joined(texts[first:last], ascii_only)
         if held > PIECE // 2:  # one very long text
             own = _long(data)
             hashes.append(own)
