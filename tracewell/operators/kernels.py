@@ -198,6 +198,11 @@ def find_peaks(x: Column, height: float | None = None, distance: int = 1, promin
     return _over_arrays(lambda v: peaks(v, height, distance, prominence).tolist(), "array<long>")(x)
 
 
+def find_peaks_by_share(x: Column, height: float, distance: int, prominence: float) -> Column:
+    """find_peaks() with height and prominence as shares of the array's largest value."""
+    return _over_arrays(lambda v: peaks(v, height * v.max(), distance, prominence * v.max()).tolist() if len(v) else [], "array<long>")(x)
+
+
 def heart_rate(x: Column, fs: float, lo: float = 0.3, hi: float = 2.0) -> Column:
     """60 / median gap, in seconds, of the peaks above mean + std; null under two gaps in (lo, hi)."""
 

@@ -12,6 +12,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 Cols = Sequence[str]
+#: a series whose threshold is under this has no beats
+FLAT = 1e-6
 
 
 def _by(keys: Cols, order: Cols):
@@ -144,11 +146,17 @@ def spaced(candidates: DataFrame, keys: Cols, index: str, distance: int) -> Data
 
 
 def threshold_peak_rows(df: DataFrame, keys: Cols, index: str, value: str, share: float = 0.5, group_gap: int = 2, refractory: int = 0) -> DataFrame:
-    """The highest sample of each group above ``share`` of the series' largest magnitude; later groups within ``refractory`` of a kept one go."""
-    top = df.withColumn("_max", F.max(F.abs(value)).over(W.partitionBy(*keys))).where(F.col(value) > share * F.col("_max"))
+    """The highest sample of each group above ``share`` of the series' largest magnitude; later groups within ``refractory`` of a kept one go.
+
+    A series with no sample above that, one of negative waves, is taken by magnitude. A flat one (that share under FLAT) has no beats.
+    """
+    series = W.partitionBy(*keys)
+    top = df.withColumn("_max", F.max(F.abs(value)).over(series)).withColumn("_hi", F.max(value).over(series))
+    top = top.withColumn("_x", F.when(F.col("_hi") > share * F.col("_max"), F.col(value)).otherwise(F.abs(value)))
+    top = top.where((share * F.col("_max") >= FLAT) & (F.col("_x") > share * F.col("_max")))
     w = _by(keys, [index])
     top = top.withColumn("_opens", F.when(F.col(index) - F.lag(index).over(w) <= group_gap, 0).otherwise(1)).withColumn("_group", F.sum("_opens").over(w))
-    best = top.groupBy(*keys, "_group").agg(F.min_by(index, F.struct(-F.col(value), F.col(index))).alias("at"))
+    best = top.groupBy(*keys, "_group").agg(F.min_by(index, F.struct(-F.col("_x"), F.col(index))).alias("at"))
     return spaced_rows(best, keys, "at", refractory)
 
 
