@@ -250,6 +250,48 @@ def test_near_duplicates_recall(spark):
     assert len(missed) <= 5, missed
 
 
+def test_near_duplicates_recall_of_even_changes(spark):
+    """Nine of ten pairs at the similarity that links, also where every fifth word is changed and no five-word shingle is left."""
+    r = random.Random(21)
+    rows, want = [], {}
+    for n in (64, 65, 80, 120, 300):
+        for even in (True, False):
+            for _ in range(30):
+                w = words(r, n).split()
+                v, count = list(w), n // 5
+                for k in range(0, 5 * count, 5) if even else r.sample(range(n), count):
+                    v[k] = f"changed{r.random()}".replace(".", "")
+                want[len(rows) + 1] = (len(rows), n, even)
+                rows += [(len(rows), " ".join(w)), (len(rows) + 1, " ".join(v))]
+    got = {x.doc_id: x.class_id for x in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for n in (64, 65, 80, 120, 300):
+        for even in (True, False):
+            kind = [got[k] == v[0] for k, v in want.items() if v[1:] == (n, even)]
+            assert sum(kind) >= 0.9 * len(kind), (n, even, sum(kind))
+
+
+def test_near_duplicates_grow_with_the_group(spark, monkeypatch):
+    """Of three times as many copies whose pairs are about as alike as links ask for, no table holds much more than three times the rows."""
+    real, seen = neardup.saved, {}
+
+    def saved(df, name):
+        out = real(df, name)
+        seen[name] = seen.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(neardup, "saved", saved)
+    r = random.Random(22)
+    base = words(r, 200).split()
+    counts = []
+    for n in (300, 900):
+        seen.clear()
+        rows = [(k, " ".join(w if r.random() > 0.105 else words(r, 1) for w in base)) for k in range(n)]
+        got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert len({x.class_id for x in got}) < 0.2 * n and sum(x.n_links for x in got) < 4 * n
+        counts.append(dict(seen))
+    assert all(counts[1][name] <= 4 * max(rows, 20) for name, rows in counts[0].items() if name != "dup-labels"), counts
+
+
 def test_components_of_chains(spark):
     """A path in order, a path in mixed order, a star and a ring."""
     r = random.Random(13)

@@ -7,12 +7,13 @@ similarity, 1 - distance / words of the longer text, reaches the threshold.
 Texts with the same words form a class at once, and one representative stands
 for them from there on. Texts that share a component form a bucket, whose leader
 is its least id. First every text is aligned with the one leader that it meets in
-most buckets; those links are a forest, with one edge a text however large the
-group. Then texts are aligned with the leaders that are still in other classes.
-Last, the members of a bucket that are still in different classes meet in pairs
-of blocks of bounded size and alike length, where a bound on shared words
-discards nearly all pairs; so no link between classes is lost, no large group
-meets in one task, and no group emits its pairs.
+most buckets. Then the texts of all buckets of one class of leaders, and of the
+leaders that meet those, are one group, which a text enters once however many
+buckets a common passage puts it in. A group that still holds several classes is
+cut by length and then into blocks of bounded size, and where two blocks meet,
+the task that holds them aligns what a bound on shared words leaves, until the
+classes stand: it gives a forest of links, so no group emits its pairs, no large
+group meets in one task, and no link between classes is lost.
 """
 
 from __future__ import annotations
@@ -28,17 +29,19 @@ from pyspark.sql import functions as F
 from .common import discard, saved
 from .words import mix64, slices, word_hashes
 
-#: With 96 components of two five-word shingles a pair at edit similarity 0.8 is rarely missed.
-SHINGLE = 5
-COMPONENTS = 96
+#: Five-word shingles and, for edits spread so evenly that they leave none whole, as many components of three-word ones.
+SHINGLE, SHORTER = 5, 3
+COMPONENTS = 40
 KEPT = 2
 #: Texts of up to SHORT words have so few shingles that an edit may leave too few; they take components of two single words besides.
 SHORT = 64
 SHORT_COMPONENTS = 16
 SHORT_KEPT = 2
 SIMILARITY = 0.8
-BLOCK = 4096
+#: texts and words of a block, texts that are bounded at once, and texts that meet a copy of their leader
+BLOCK, BLOCK_WORDS = 4096, 1 << 21
 TILE = 512
+STAR = 1024
 BINS = 1024
 _SEEDS = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
@@ -84,9 +87,11 @@ def sketch(words: np.ndarray, components: int = COMPONENTS, kept: int = KEPT, sh
 
 
 def full_sketch(words: np.ndarray, components: int = COMPONENTS, kept: int = KEPT) -> np.ndarray:
-    """The sketch, and for short texts their components of single words after it."""
-    out = sketch(words, components, kept)
-    return out if len(words) > SHORT else np.concatenate([out, sketch(words, SHORT_COMPONENTS, SHORT_KEPT, 1, components)])
+    """Components of five-word shingles, of three-word ones, and for short texts those of single words."""
+    out = [sketch(words, components, kept), sketch(words, components, kept, SHORTER, components)]
+    if len(words) <= SHORT:
+        out.append(sketch(words, SHORT_COMPONENTS, SHORT_KEPT, 1, 2 * components))
+    return np.concatenate(out)
 
 
 def distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
@@ -113,7 +118,7 @@ def _banded(pairs: list[tuple[np.ndarray, np.ndarray]], band: int, limits: np.nd
     rows, width = max(len(a) for a, _ in pairs), 2 * band + 1
     n = len(pairs)
     columns = max(rows, *(len(b) for _, b in pairs)) + width + 1
-    left, right = np.zeros((n, rows), np.uint64), np.zeros((n, columns), np.uint64)
+    left, right = np.zeros((n, rows), pairs[0][0].dtype), np.zeros((n, columns), pairs[0][0].dtype)
     a_len, b_len = np.array([len(a) for a, _ in pairs]), np.array([len(b) for _, b in pairs])
     used = np.zeros((n, columns), bool)
     for k, (a, b) in enumerate(pairs):
@@ -206,7 +211,7 @@ def common_words(a: np.ndarray, b: np.ndarray) -> int:
 def histogram(words: np.ndarray) -> np.ndarray:
     """How many words fall in each bin, up to 255: the sum of two texts' lesser counts, and the lesser number of words that full bins
     left out, bound the words they share."""
-    return np.minimum(np.bincount((words >> np.uint64(54)).astype(np.int64), minlength=BINS), 255).astype(np.uint8)
+    return np.minimum(np.bincount(words >> np.uint32(22), minlength=BINS), 255).astype(np.uint8)
 
 
 def may_be_alike(a: np.ndarray, a_sizes: np.ndarray, b: np.ndarray, b_sizes: np.ndarray, similarity: float, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -246,7 +251,7 @@ def alike(pairs: list[tuple[np.ndarray, np.ndarray]], similarity: float) -> np.n
 
 
 def sketched(docs: DataFrame, components: int, kept: int) -> DataFrame:
-    """doc_id, tie (a hash of the text), same (a hash of all words, or of a wordless text), n words, sketch."""
+    """doc_id, tie (a hash of the text), same (a hash of all words, or of a wordless text), key (its first eight bytes), n words, sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -262,27 +267,98 @@ def sketched(docs: DataFrame, components: int, kept: int) -> DataFrame:
                         same.append(hashlib.blake2b(data, digest_size=16).digest())
                         counts.append(len(own))
                         sketches.append(full_sketch(own, components, kept).view(np.int64) if len(own) else None)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(same, pa.binary()), pa.array(counts, pa.int64()), pa.array(sketches, pa.list_(pa.int64()))], ["doc_id", "tie", "same", "n", "sketch"])
+                keys = np.array([int.from_bytes(x[:8], "little", signed=True) for x in same], np.int64)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(same, pa.binary()), pa.array(keys), pa.array(counts, pa.int64()), pa.array(sketches, pa.list_(pa.int64()))], ["doc_id", "tie", "same", "key", "n", "sketch"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), "text")
-    return rows.mapInArrow(run, "doc_id long, tie long, same binary, n long, sketch array<long>")
+    return rows.mapInArrow(run, "doc_id long, tie long, same binary, key long, n long, sketch array<long>")
 
 
-def linked(pairs: DataFrame, tokens: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose texts are alike; ``tokens`` has id and words (8 bytes each) of every id in them."""
-    left = tokens.select(F.col("id").alias("a"), F.col("words").alias("a_words"))
-    right = tokens.select(F.col("id").alias("b"), F.col("words").alias("b_words"))
-    both = pairs.join(right, "b").join(left, "a").select("a", "b", "a_words", "b_words")
+def forest(roots: np.ndarray, words: list[np.ndarray], bins: np.ndarray, sizes: np.ndarray, x: np.ndarray, y: np.ndarray, asked, similarity: float) -> list[tuple[int, int]]:
+    """Links between the texts x and y (places) that join their classes, a forest over the classes given by ``roots``.
+
+    ``asked`` says of a matrix of places in x and y which pairs are to be looked
+    at. Of two classes one pair is aligned, then two more, then four, until one is
+    alike or all are through; pairs whose classes have met meanwhile are left out.
+    """
+    names, top = np.unique(roots, return_inverse=True)
+    parent = np.arange(len(names))
+
+    def found(k: np.ndarray) -> np.ndarray:
+        while True:
+            up = parent[k]
+            if (up == k).all():
+                return k
+            k = up
+
+    out = []
+    for k in range(0, len(x), TILE):
+        for m in range(0, len(y), TILE):
+            u, v = x[k : k + TILE], y[m : m + TILE]
+            apart = found(top[u])[:, None] != found(top[v])[None, :]
+            i, j = may_be_alike(bins[u], sizes[u], bins[v], sizes[v], similarity, apart & asked(u, v))
+            i, j, most = u[i], v[j], 1
+            while len(i):
+                p, q = found(top[i]), found(top[j])
+                lo, hi = np.minimum(p, q), np.maximum(p, q)
+                open_ = lo != hi
+                i, j, lo, hi = i[open_], j[open_], lo[open_], hi[open_]
+                if not len(i):
+                    break
+                order = np.lexsort((hi, lo))
+                key = lo[order] * len(names) + hi[order]
+                first = np.flatnonzero(np.diff(key, prepend=-1))
+                place = np.empty(len(key), np.int64)
+                place[order] = np.arange(len(key)) - np.repeat(first, np.diff(np.append(first, len(key))))
+                now = place < most
+                ok = alike([(words[a], words[b]) for a, b in zip(i[now], j[now], strict=True)], similarity)
+                for a, b in zip(i[now][ok].tolist(), j[now][ok].tolist(), strict=True):
+                    p, q = (int(found(top[[c]])[0]) for c in (a, b))
+                    if p != q:
+                        parent[max(p, q)] = min(p, q)
+                        out.append((a, b))
+                i, j, most = i[~now], j[~now], 2 * most
+    return out
+
+
+#: of a row of a cell: g, win, a, b name the cell; side 0 meets side 1, side 2 its own kind
+CELL = ["g", "win", "a", "b"]
+
+
+def met_in_cells(rows: DataFrame, tokens: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) that join the classes of the rows (CELL, side, cut, id, root) of each cell; rows longer than the
+    cell's ``win`` by a cut or more don't meet each other, as they do in the next window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(0, len(batch), 256):
-                part = batch.slice(k, 256)
-                columns = [[np.frombuffer(x, np.uint64) for x in part.column(c).to_pylist()] for c in (2, 3)]
-                ok = alike(list(zip(*columns, strict=True)), similarity)
-                yield part.select(["a", "b"]).filter(pa.array(ok))
+        for table, begins in _by_cell(batches, CELL):
+            table = table.combine_chunks()
+            win, side, cut, ids, roots = (table.column(c).to_numpy() for c in ("win", "side", "cut", "id", "root"))
+            words = [np.frombuffer(w, np.uint32) for w in table.column("words").to_pylist()]
+            out: list[tuple[int, int]] = []
+            for start, end in zip(begins, np.append(begins[1:], len(ids)), strict=True):
+                if (roots[start:end] == roots[start]).all():
+                    continue
+                own, whole = words[start:end], side[start:end]
+                x, y = np.flatnonzero(whole != 1), np.flatnonzero(whole != 0)
+                later = cut[start:end] > win[start]
+                alone = bool((whole == 2).all())
+                sizes = np.array([len(w) for w in own])
+                bins = np.stack([histogram(w) for w in own])
+
+                def asked(u: np.ndarray, v: np.ndarray, later=later, alone=alone) -> np.ndarray:
+                    ok = ~(later[u][:, None] & later[v][None, :])
+                    return ok & (u[:, None] < v[None, :]) if alone else ok
+
+                out += [(ids[start + a], ids[start + b]) for a, b in forest(roots[start:end], own, bins, sizes, x, y, asked, similarity)]
+            if out:
+                a, b = np.array(out, np.int64).T
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
-    return both.mapInArrow(run, "a long, b long")
+    rows = saved(rows, "dup-cells")
+    dealt = rows.join(tokens, "id").repartition(rows.count() // 512 + 1, *CELL).sortWithinPartitions(*CELL)  # small rows, but much work for each
+    links = saved(dealt.mapInArrow(run, "a long, b long").distinct(), "dup-links")
+    discard(rows)
+    return links
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -332,61 +408,58 @@ def _extended(labels: DataFrame, links: DataFrame) -> DataFrame:
     return saved(moved.unionByName(tops.join(labels, "id", "left_anti").select("id", "root")), "dup-labels")
 
 
-def _between(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose ids have different roots."""
-    ends = [labels.select(F.col("id").alias(x), F.col("root").alias(f"{x}_root")) for x in "ab"]
-    rooted = pairs.join(ends[0], "a", "left").join(ends[1], "b", "left")
-    return rooted.where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b")
-
-
 def classes(docs: DataFrame, similarity: float = SIMILARITY, components_: int = COMPONENTS, kept: int = KEPT) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, tie, same) and classes of their words (same, root, class_id, class_size, n_links)."""
-    if components_ + SHORT_COMPONENTS > 128:
-        raise ValueError("a sketch has at most 128 components, those of short texts included")
+    if 2 * components_ + SHORT_COMPONENTS > len(_SEEDS):
+        raise ValueError(f"a sketch has at most {len(_SEEDS)} components")
     rows = saved(sketched(docs, components_, kept), "dup-sketches")
     # one representative for the documents of the same words
-    reps = saved(rows.groupBy("same").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "dup-classes")
-    # two classes may share a doc_id that rows repeat, or have none; ids of representatives must not clash
-    clash = reps.groupBy("id").count().where("count > 1 or id is null").take(1)
-    reps = reps.withColumn("id", F.xxhash64("same")) if clash else reps
-    spread = reps.where("n > 0").select("id", F.col("n").cast("int").alias("n"), F.posexplode("sketch").alias("j", "value")).select("id", "n", "j", F.xxhash64("j", "value").alias("bucket"))
+    reps = rows.groupBy("same").agg(F.first("key").alias("id"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    reps = saved(reps, "dup-classes")
+    if reps.groupBy("id").count().where("count > 1").take(1):  # two hashes that begin alike: numbers of their own, fixed as they are written
+        reps = saved(reps.withColumn("id", F.monotonically_increasing_id()), "dup-classes")
+    spread = reps.where("n > 0").select("id", F.col("n").cast("int").alias("n"), F.posexplode("sketch").alias("j", "value")).select("id", "n", F.xxhash64("j", "value").alias("bucket"))
     buckets = saved(spread.groupBy("bucket").agg(F.count("*").alias("size"), F.min("id").alias("leader")).where("size > 1").drop("size"), "dup-buckets")
     led = buckets.join(reps.select(F.col("id").alias("leader"), F.col("n").cast("int").alias("leader_n")), "leader")
-    # the leaders that a text meets, and in which components
-    bits = [F.expr(f"bit_or(if(j div 64 = {k}, shiftleft(1L, j % 64), 0L))").alias(f"bits_{k}") for k in (0, 1)]
-    met = spread.join(led, "bucket").where(F.col("id") != F.col("leader")).groupBy("leader", "id", "n", "leader_n").agg(F.count("*").alias("shared"), *bits)
-    met = saved(met, "dup-met")
-    # texts whose lengths alone differ by too many edits are no pair
-    close = F.abs(F.col("n") - F.col("leader_n")) <= (1 - similarity) * F.greatest("n", "leader_n") + 1e-9
-    pairs = met.where(close).select(F.col("leader").alias("a"), F.col("id").alias("b"), "shared")
+    # the leaders that a text meets
+    met = saved(spread.join(led, "bucket").where(F.col("id") != F.col("leader")).groupBy("leader", "id", "n", "leader_n").agg(F.count("*").alias("shared")), "dup-met")
     tokens = _tokens(docs, rows, reps, met.select("id").unionByName(met.select(F.col("leader").alias("id"))).distinct())
-    # the leader that a text meets most often, then the leaders of other classes
-    best = saved(pairs.groupBy("b").agg(F.max(F.struct("shared", (-F.col("a")).alias("a"))).alias("x")).select((-F.col("x.a")).alias("a"), "b"), "dup-pairs")
-    links = saved(linked(best, tokens, similarity), "dup-links")
+    links = _stars(met, tokens, similarity)
     labels = components(links)
-    rest = _between(pairs.select("a", "b").join(best, ["a", "b"], "left_anti"), labels)
-    more = saved(linked(rest, tokens, similarity), "dup-links")
+    more = _apart(met, labels, reps.select("id", F.col("n").cast("int").alias("n")), tokens, similarity)
     labels = _extended(labels, more)
-    # what the leaders left apart
-    found, labels = _apart(met, labels, reps.select("id", "sketch"), tokens, similarity)
-    links = links.unionByName(more).unionByName(found)
+    links = links.unionByName(more)
     degree = links.select("a").unionByName(links.select(F.col("b").alias("a"))).groupBy("a").agg(F.count("*").alias("n_links")).withColumnRenamed("a", "id")
     classed = saved(reps.join(labels, "id", "left").join(degree, "id", "left").select("same", F.coalesce("root", "id").alias("root"), "copies", F.coalesce("n_links", F.lit(0)).alias("n_links")), "dup-roots")
     least = rows.groupBy("same").agg(F.min("doc_id").alias("least"))
     by_root = saved(classed.join(least, "same").groupBy("root").agg(F.min("least").alias("class_id"), F.sum("copies").alias("class_size")), "dup-by-root")
     named = saved(classed.join(by_root, "root").select("same", "root", "class_id", "class_size", "n_links"), "dup-named")
     own = saved(rows.select("doc_id", "tie", "same"), "dup-rows")
-    discard(rows, reps, buckets, met, best, tokens, classed, by_root)
+    discard(rows, reps, buckets, met, tokens, classed, by_root)
     return own, named
 
 
+def _stars(met: DataFrame, tokens: DataFrame, similarity: float) -> DataFrame:
+    """Links of texts with the leader that they meet in most buckets, if their lengths allow one; a leader goes once to each STAR texts or so."""
+    close = F.abs(F.col("n") - F.col("leader_n")) <= (1 - similarity) * F.greatest("n", "leader_n") + 1e-9
+    best = met.where(close).groupBy("id").agg(F.min_by("leader", F.struct(-F.col("shared"), F.col("leader"))).alias("g"))
+    best = saved(best, "dup-best")
+    chunks = best.groupBy("g").agg(F.expr(f"count(*) div {STAR} + 1").alias("chunks"))
+    texts = best.join(chunks, "g").select("g", F.expr("pmod(xxhash64(id, 7), chunks)").alias("a"), F.lit(1).cast("byte").alias("side"), "id")
+    leaders = chunks.select("g", F.explode(F.expr("sequence(0L, chunks - 1)")).alias("a"), F.lit(0).cast("byte").alias("side"), F.col("g").alias("id"))
+    rows = texts.unionByName(leaders).select("g", F.lit(0).cast("long").alias("win"), "a", F.lit(0).cast("long").alias("b"), "side", F.lit(0).cast("long").alias("cut"), "id", F.col("id").alias("root"))
+    links = met_in_cells(rows, tokens, similarity)
+    discard(best)
+    return links
+
+
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, components_: int = COMPONENTS, kept: int = KEPT) -> DataFrame:
     """doc_id, class_id, class_size, n_links of every row of ``docs``.
 
     class_id is the least doc_id of the row's class: documents joined by links,
     directly or through others; it is null where the whole class has no doc_id.
     n_links counts the links that alignment found for the row's words with other
-    words, on the way to the classes. Null texts count as empty; texts without
+    words on the way to the classes: each task gives no more than join the classes that it holds. Null texts count as empty; texts without
     words are alike only if they are equal. Rows that repeat a doc_id, or have
     none, fall in the classes of their texts. An empty table gives no rows.
     Other columns play no part.
@@ -396,7 +469,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, components_
 
 
 def _tokens(docs: DataFrame, rows: DataFrame, reps: DataFrame, wanted: DataFrame) -> DataFrame:
-    """id and words of the wanted representatives, from one document of each."""
+    """id and words (32 bits of each word's hash) of the wanted representatives, from one document of each."""
     keys = rows.join(reps.select("same", "id").join(wanted, "id"), "same").groupBy("id").agg(F.min(F.struct("doc_id", "tie")).alias("key"))
     keys = keys.select("id", F.col("key.doc_id").alias("k_id"), F.col("key.tie").alias("k_tie"))
 
@@ -407,7 +480,7 @@ def _tokens(docs: DataFrame, rows: DataFrame, reps: DataFrame, wanted: DataFrame
                 texts, data = part.column("text").to_pylist(), []
                 for a, b in slices(texts):
                     words, offsets = word_hashes(texts[a:b])
-                    data += [words[offsets[t] : offsets[t + 1]].tobytes() for t in range(b - a)]
+                    data += [(words[offsets[t] : offsets[t + 1]] >> np.uint64(32)).astype(np.uint32).tobytes() for t in range(b - a)]
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(data, pa.binary())], ["id", "words"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), "text")
@@ -415,15 +488,6 @@ def _tokens(docs: DataFrame, rows: DataFrame, reps: DataFrame, wanted: DataFrame
     return saved(texts.mapInArrow(run, "id long, words binary").dropDuplicates(["id"]), "dup-words")
 
 
-def _stacked(sketches: pa.ListArray, ids: np.ndarray) -> np.ndarray:
-    """Sketches as rows of one length; where a longer text has fewer components, its id stands, which no other text's row has there."""
-    flat, ends = sketches.flatten().to_numpy(), np.cumsum(sketches.value_lengths().to_numpy())
-    sizes = np.diff(ends, prepend=0)
-    out = np.repeat(ids[:, None], sizes.max(), 1)
-    out[np.repeat(np.arange(len(ids)), sizes), np.arange(len(flat)) - np.repeat(ends - sizes, sizes)] = flat
-    return out
-
-
 def _by_cell(batches: Iterator[pa.RecordBatch], cell: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
     """Rows sorted by ``cell`` in tables that hold its groups whole, each with the places where a group begins."""
     begins_of = lambda rows: np.flatnonzero((np.diff(np.stack([rows.column(c).to_numpy() for c in cell]), axis=1) != 0).any(0)) + 1
@@ -440,98 +504,45 @@ def _by_cell(batches: Iterator[pa.RecordBatch], cell: list[str]) -> Iterator[tup
         yield held, np.zeros(1, np.int64)
 
 
-def _apart(met: DataFrame, labels: DataFrame, sketches: DataFrame, tokens: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
-    """Links between texts that share a component and are in different classes, and the labels with them.
+def _apart(met: DataFrame, labels: DataFrame, sizes: DataFrame, tokens: DataFrame, similarity: float) -> DataFrame:
+    """Links between texts that share a component and are in different classes, enough to join these.
 
-    The texts of all buckets of a leader, which has been aligned with them, meet
-    as one group, so that a text counts once a leader however many components a
-    common passage gives it. A group is cut by length so that alike texts are in
-    the same or the next cut, and cuts are cut into blocks by hash. Blocks meet
-    two at a time and give, for a text and a class, the members of that class
-    that share enough words, if the first component that the two share is one
-    they share with the leader; the first of those members is aligned, and the
-    others only if the classes are still apart.
+    The texts that meet a leader of a class are one group, with those that meet
+    the leaders which that class's own leaders meet. In a group, texts of cut c by
+    length meet those of cuts c and c + 1, the window c, as alike texts are at
+    most a cut apart. Most texts of a group may be of one class already: those
+    are at home and meet only the others, which also meet each other. Either
+    kind is dealt to blocks by hash, and blocks meet two at a time.
     """
-    rooted = met.select("leader", "id", "bits_0", "bits_1").join(labels, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    mixed = rooted.groupBy("leader").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("leader")
-    apart = saved(rooted.join(mixed, "leader"), "dup-mixed")
-    empty = labels.sparkSession.createDataFrame([], "a long, b long")
-    if not apart.take(1):
-        return empty, labels
-
-    def binned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            words = [np.frombuffer(x, np.uint64) for x in batch.column("words").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([len(w) for w in words], pa.int64()), pa.array([histogram(w).tobytes() for w in words], pa.binary())], ["id", "n", "bins"])
-
-    held = saved(tokens.join(apart.select("id").distinct(), "id", "left_semi").mapInArrow(binned, "id long, n long, bins binary"), "dup-bins")
+    root_of = lambda x, name: labels.select(F.col("id").alias(x), F.col("root").alias(name))
+    rooted = met.select("leader", "id").join(root_of("id", "root"), "id", "left").join(root_of("leader", "leader_root"), "leader", "left")
+    rooted = saved(rooted.select("leader", "id", F.coalesce("root", "id").alias("root"), F.coalesce("leader_root", "leader").alias("top")), "dup-rooted")
+    leaders = rooted.select(F.col("leader").alias("id"), F.col("top").alias("own")).distinct()
+    above = rooted.join(leaders, "id").groupBy("own").agg(F.min("top").alias("above")).withColumnRenamed("own", "top")
+    groups = leaders.select("id", F.col("own").alias("root"), F.col("own").alias("top")).unionByName(rooted.select("id", "root", "top")).distinct()
+    groups = groups.join(above, "top", "left").select(F.least("top", F.coalesce("above", "top")).alias("g"), "id", "root").distinct()
+    held = groups.groupBy("g", "root").agg(F.count("*").alias("texts"))
+    mixed = held.groupBy("g").agg(F.count("*").alias("classes"), F.max_by("root", F.struct("texts", "root")).alias("home")).where("classes > 1").drop("classes")
+    # a cut's ratio of lengths is that of alike texts, and a little more
     cut = F.floor(F.log(F.col("n").cast("double")) / float(np.log(1.01 / similarity))).cast("long")
-    # half of each component's bits tell whether two texts share it
-    short = sketches.select("id", F.expr("transform(sketch, x -> cast(x % 2147483647 as int))").alias("sketch"))
-    own = apart.join(held, "id").withColumn("cut", cut)
-    cuts = own.groupBy("leader", "cut").agg(F.expr(f"(count(*) + {BLOCK - 1}) div {BLOCK}").alias("blocks"), F.min("root").alias("lo"), F.max("root").alias("hi"))
-    cuts = saved(cuts.groupBy("leader").agg(F.map_from_entries(F.collect_list(F.struct("cut", F.struct("blocks", "lo", "hi")))).alias("cuts")), "dup-cuts")
-    # the cuts that a text's cut meets: itself and its neighbours, if the two hold more than one class
-    neighbours = F.expr("filter(array(cut - 1, cut, cut + 1), c -> map_contains_key(cuts, c) and not (cuts[c].lo = cuts[c].hi and cuts[cut].lo = cuts[cut].hi and cuts[c].lo = cuts[cut].lo))")
-    targets = F.expr("flatten(transform(met, c -> transform(sequence(0L, cuts[c].blocks - 1), b -> struct(c as cut, b as block))))")
-    near = own.join(cuts, "leader").join(short, "id").withColumn("met", neighbours).where("size(met) > 0").withColumn("block", F.expr("pmod(xxhash64(id, 7), cuts[cut].blocks)"))
-    near = near.withColumn("to", F.explode(targets)).drop("cuts", "met")
-    # the lesser (cut, block) of two is the first
-    at, to = F.struct("cut", "block"), F.col("to")
-    x, y = F.least(at, to), F.greatest(at, to)
-    corners = [x["cut"].alias("x_cut"), x["block"].alias("x_block"), y["cut"].alias("y_cut"), y["block"].alias("y_block")]
-    cells = near.select("leader", *corners, (at <= to).cast("byte").alias("first"), (at >= to).cast("byte").alias("second"), "id", "root", "n", "bins", "sketch", "bits_0", "bits_1")
-    cell = ["leader", "x_cut", "x_block", "y_cut", "y_block"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, begins in _by_cell(batches, cell):
-            rows = rows.combine_chunks()
-            ids, roots, sizes, first, second = (rows.column(c).to_numpy() for c in ("id", "root", "n", "first", "second"))
-            sketched_ = _stacked(rows.column("sketch").chunk(0), ids)
-            bits = np.stack([rows.column(c).to_numpy() for c in ("bits_0", "bits_1")])
-            bins = np.frombuffer(b"".join(rows.column("bins").to_pylist()), np.uint8).reshape(-1, BINS)
-            found = []
-            for group, (start, end) in enumerate(zip(begins, np.append(begins[1:], len(ids)), strict=True)):
-                if (roots[start:end] == roots[start]).all():
-                    continue
-                alone = bool(first[start] and second[start])  # a block by itself
-                a, b = (start + np.flatnonzero(side[start:end]) for side in (first, second))
-                for k in range(0, len(a), TILE):
-                    for m in range(0, len(b), TILE):
-                        x, y = a[k : k + TILE], b[m : m + TILE]
-                        asked = roots[x][:, None] != roots[y][None, :]
-                        if alone:
-                            asked &= ids[x][:, None] < ids[y][None, :]
-                        i, j = may_be_alike(bins[x], sizes[x], bins[y], sizes[y], similarity, asked)
-                        for p in range(0, len(i), 8192):
-                            u, v = x[i[p : p + 8192]], y[j[p : p + 8192]]
-                            same = sketched_[u] == sketched_[v]
-                            at = same.argmax(1)
-                            first_here = same.any(1) & ((bits[at // 64, u] >> (at % 64)) & 1 == 1)
-                            u, v = u[first_here], v[first_here]
-                            found.append(np.stack([np.full(len(u), group), ids[u], roots[v], ids[v]], 1))
-            if found:
-                pairs = np.concatenate(found)
-                pairs = pairs[np.lexsort(pairs.T[::-1])]
-                starts = np.flatnonzero((np.diff(pairs[:, :3], axis=0, prepend=pairs[:1, :3] - 1) != 0).any(1))
-                others = pa.ListArray.from_arrays(pa.array(np.append(starts, len(pairs)), pa.int32()), pa.array(pairs[:, 3]))
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[starts, 1]), others], ["id", "others"])
-
-    cells = cells.repartition(apart.count() // 1024 + 1, *cell).sortWithinPartitions(*cell)  # small rows, but much work for each
-    candidates = saved(cells.mapInArrow(run, "id long, others array<long>"), "dup-candidates")
-    pair = lambda rows, other: rows.select(F.least("id", other).alias("a"), F.greatest("id", other).alias("b")).distinct()
-    first = saved(linked(pair(candidates, F.col("others")[0]), tokens, similarity), "dup-links")
-    labels = _extended(labels, first)
-    # the others of a row are of one class: the row is done if that has become the text's own
-    left = candidates.where("size(others) > 1").withColumn("other", F.col("others")[0])
-    for x in ("id", "other"):
-        left = left.join(labels.select(F.col("id").alias(x), F.col("root").alias(f"{x}_root")), x, "left").withColumn(f"{x}_root", F.coalesce(f"{x}_root", x))
-    left = saved(left.where("id_root <> other_root").select("id", "others").distinct(), "dup-left")
-    rest = _between(pair(left.select("id", F.explode(F.expr("slice(others, 2, size(others) - 1)")).alias("other")), F.col("other")), labels)
-    second = saved(linked(rest, tokens, similarity), "dup-links")
-    labels = _extended(labels, second)
-    discard(apart, held, cuts, candidates, left)
-    return first.unionByName(second), labels
+    own = groups.join(mixed, "g").join(sizes, "id").select("g", "id", "root", "n", cut.alias("cut"), (F.col("root") == F.col("home")).alias("at_home"))
+    own = saved(own, "dup-apart")
+    of = lambda home, what: F.coalesce(F.sum(F.when(F.col("at_home") == home, what)), F.lit(0))
+    cuts = own.groupBy("g", "cut").agg(*[of(h, w).alias(name) for h, w, name in ((True, F.lit(1), "homes"), (False, F.lit(1), "aways"), (True, F.col("n"), "home_words"), (False, F.col("n"), "away_words"))], F.min("root").alias("lo"), F.max("root").alias("hi"))
+    # a window holds its cut and the next
+    after = cuts.select("g", (F.col("cut") - 1).alias("cut"), *[F.col(c).alias(f"next_{c}") for c in cuts.columns[2:]])
+    both = lambda c: F.col(c) + F.coalesce(f"next_{c}", F.lit(0))
+    blocks = lambda texts, words: F.greatest(F.ceil(both(texts) / BLOCK), F.ceil(both(words) / BLOCK_WORDS)).cast("long")
+    windows = cuts.join(after, ["g", "cut"], "left").where((both("aways") > 0) & (F.least("lo", F.coalesce("next_lo", "lo")) != F.greatest("hi", F.coalesce("next_hi", "hi"))))
+    windows = saved(windows.select("g", F.col("cut").alias("win"), blocks("aways", "away_words").alias("na"), blocks("homes", "home_words").alias("nh")), "dup-windows")
+    entered = own.withColumn("win", F.explode(F.array(F.col("cut") - 1, F.col("cut")))).join(windows, ["g", "win"]).withColumn("k", F.expr("pmod(xxhash64(id, 7), if(at_home, nh, na))"))
+    aways = "transform(sequence(0L, na - 1), m -> struct(least(k, m) as a, greatest(k, m) as b, cast(if(k = m, 2, if(k < m, 0, 1)) as byte) as side))"
+    to_homes = "if(nh > 0, transform(sequence(0L, greatest(nh, 1L) - 1), m -> struct(k as a, na + m as b, cast(0 as byte) as side)), array())"
+    homes = "transform(sequence(0L, na - 1), m -> struct(m as a, na + k as b, cast(1 as byte) as side))"
+    cells = entered.withColumn("to", F.explode(F.expr(f"if(at_home, {homes}, concat({aways}, {to_homes}))")))
+    links = met_in_cells(cells.select("g", "win", "to.a", "to.b", "to.side", "cut", "id", "root"), tokens, similarity)
+    discard(rooted, own, windows)
+    return links
 
 
 def deduplicated(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
