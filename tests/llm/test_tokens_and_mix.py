@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.compare import against_sql
-from tracewell.llm import files, mixing, neardup, oracles, queries, sepscan, tokenfiles
+from tracewell.llm import common, files, mixing, neardup, oracles, queries, sepscan, tokenfiles
 from tracewell.llm.encoding import Encoder
 
 PATH = queries.tokenizer_path()
@@ -62,7 +62,7 @@ def test_token_output(spark, docs, edge_docs, no_docs, tokenizer, tmp_path):
     # many files, several a partition: the same documents at the same places
     out = f"file://{tmp_path}/tokens"
     written = tokenfiles.write_files(docs, PATH, out, file_tokens=2000, partition_bytes=100_000)
-    assert written.count() > 10 and len(files.sizes(out)) == written.count()
+    assert written.count() > 10 and all(files.exists(r.path) for r in written.collect())
     assert sorted(map(tuple, tokenfiles.read_files(written).collect())) == sorted(map(tuple, tokenfiles.token_output(docs, PATH).collect()))
 
 
@@ -73,10 +73,50 @@ def test_separator_scan(spark, tmp_path, block):
     for k, part in enumerate(np.split(stream, [100, 100, 103, 700])):
         files.write(f"file://{tmp_path}/part-{k}.bin", [part.tobytes()])
     at = np.flatnonzero(stream == 3)
-    got = sepscan.scan(spark, f"file://{tmp_path}", 3, block_tokens=block if block > 1 else 50).orderBy("doc").collect()
+    got = sepscan.scan(sepscan.listed(spark, f"file://{tmp_path}"), 3, block_tokens=block if block > 1 else 50).orderBy("doc").collect()
     assert [(r.doc, r.n_tokens) for r in got] == list(enumerate(np.diff(at, prepend=-1)))
 
 
+def test_files_are_rows_of_their_writers(spark, docs, tokenizer, tmp_path, monkeypatch):
+    """The stream's files come from the tasks that wrote them, in order of part and number, and a range of parts at a time is carried."""
+    monkeypatch.setattr(common, "KEYS", 2)
+    out = f"file://{tmp_path}/flat"
+    both = sepscan.write_flat(docs.repartition(7), PATH, out, queries.SCAN_END_ID, file_tokens=3000)
+    listed = both.where("path is not null").select("part", "k", "path", "n")
+    stream = np.concatenate([np.frombuffer(files.read(r.path), "<u2") for r in listed.orderBy("part", "k").collect()])
+    at = np.flatnonzero(stream == queries.SCAN_END_ID)
+    got = sepscan.scan(listed, queries.SCAN_END_ID, block_tokens=1000).orderBy("doc").collect()
+    assert [(r.doc, r.n_tokens) for r in got] == list(enumerate(np.diff(at, prepend=-1))) and len(got) == docs.count()
+    again = sepscan.listed(spark, out).orderBy("part", "k").collect()
+    assert [r.path.rsplit("/", 1)[1] for r in again] == [r.path.rsplit("/", 1)[1] for r in listed.orderBy("part", "k").collect()]
+
+
+def test_carried_sums(spark, monkeypatch):
+    monkeypatch.setattr(common, "KEYS", 3)
+    rows = [(k, k * k % 7, None if k % 4 else k) for k in range(20)]
+    got = common.carried(spark.createDataFrame(rows, "key long, n long, last long"), "key", {"upto": "n"}, {"seen": "last"}).orderBy("key").collect()
+    for r in got:
+        assert r.upto == sum(n for k, n, _ in rows if k < r.key) and r.seen == max((x for k, _, x in rows if k < r.key and x is not None), default=None)
+
+
+def test_files_are_written_once(tmp_path, monkeypatch):
+    """A store that doesn't rename onto a file keeps the first attempt's."""
+    path = f"file://{tmp_path}/a/one.bin"
+    files.write(path, [b"first"])
+    store = type("Store", (), {})()
+    real, at = files._of(path)
+    for name in ("create_dir", "open_output_stream", "get_file_info", "delete_file"):
+        setattr(store, name, getattr(real, name))
+
+    def move(a, b):
+        raise OSError("exists")
+
+    store.move = move
+    monkeypatch.setattr(files, "_of", lambda p: (store, at))
+    files.write(path, [b"second"])
+    assert (tmp_path / "a/one.bin").read_bytes() == b"first" and len(list((tmp_path / "a").iterdir())) == 1
+
+
 def test_token_counts(spark, docs, edge_docs, no_docs, tokenizer):
     for df in (docs, edge_docs):
         rows = [tuple(r) for r in df.select("doc_id", "text").collect()]

@@ -9,8 +9,12 @@ import weakref
 
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+#: keys that carried() takes as one range
+KEYS = 1024
+
 _own_dirs: dict[str, str] = {}
 _paths: dict[int, tuple[weakref.ref, str]] = {}
 
@@ -60,6 +64,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def carried(df: DataFrame, key: str, sums: dict[str, str] | None = None, maxima: dict[str, str] | None = None) -> DataFrame:
+    """``df``, one row for each ``key`` (long, from 0), with a column for each name: the sum (0 at first) or maximum (null at
+    first) of its column over all lesser keys. Ranges of KEYS keys are carried first, so no task orders all rows."""
+    made = {name: (F.sum, F.lit(0), c) for name, c in (sums or {}).items()} | {name: (F.max, F.lit(None), c) for name, c in (maxima or {}).items()}
+    ranged = df.withColumn("_range", F.expr(f"{key} div {KEYS}"))
+    before = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    tops = ranged.groupBy("_range").agg(*[fn(c).alias(f"_{name}") for name, (fn, _, c) in made.items()])
+    tops = tops.select("_range", *[F.coalesce(fn(f"_{name}").over(before), start).alias(f"_{name}") for name, (fn, start, _) in made.items()])
+    within = W.partitionBy("_range").orderBy(key).rowsBetween(W.unboundedPreceding, -1)
+    own = ranged.select("*", *[fn(c).over(within).alias(f"_own_{name}") for name, (fn, _, c) in made.items()]).join(tops, "_range")
+    total = lambda fn, name: F.coalesce(F.col(f"_own_{name}"), F.lit(0)) + F.col(f"_{name}") if fn is F.sum else F.greatest(f"_own_{name}", f"_{name}")
+    return own.select(*df.columns, *[total(fn, name).alias(name) for name, (fn, _, _) in made.items()])
+
+
 def held_out(mod: int, rem: int):
     """Whether crc32 of the doc_id's text leaves ``rem``; false for a null doc_id."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % mod == rem, F.lit(False))
@@ -69,13 +87,15 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, mod: int, re
     """At most ``per_class`` texts of each label, none held out, for fitting on the driver.
 
     The sample is fixed by a hash of doc_id. A doc_id with several label rows
-    takes the highest; texts over ``max_chars`` are left out of the sample, so it
-    holds at most 2 * per_class * max_chars characters whatever the input's size.
+    takes the highest; texts over ``max_chars`` are left out before the sample is
+    drawn, so it holds at most 2 * per_class * max_chars characters whatever the
+    input's size, and that many texts where there are so many.
     """
+    texts = docs.select("doc_id", "text").where(F.length("text") <= max_chars)
     known = labels.select("doc_id", F.col(label).cast("int").alias("y")).where("doc_id is not null and y in (0, 1)")
     known = known.groupBy("doc_id").agg(F.max("y").alias("y")).where(~held_out(mod, rem)).withColumn("h", F.xxhash64("doc_id"))
+    known = known.join(texts.select("doc_id"), "doc_id", "left_semi")
     chosen = [known.where(F.col("y") == y).orderBy("h", "doc_id").limit(per_class) for y in (0, 1)]
     ids = chosen[0].unionByName(chosen[1])
-    texts = docs.select("doc_id", "text").where(F.length("text") <= max_chars)
     rows = texts.join(F.broadcast(ids), "doc_id").orderBy("h", "doc_id", "text").limit(2 * per_class).select("text", "y").collect()
     return [r.text for r in rows], [r.y for r in rows]

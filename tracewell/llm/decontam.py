@@ -6,8 +6,8 @@ divided by the sum over all its terms, so one threshold serves all items. The
 passages of a batch go through WAND's bounds together: terms' maxima over all
 items discard passages, terms' maxima over blocks of items discard blocks, and
 only the items of the blocks that remain are scored. All items at or above the
-threshold are retrieved; a pair counts as a leak if the passage then holds
-enough of the word shingles of both the item's question and its answer.
+threshold are retrieved; a pair counts as a leak if the item then aligns with
+some run of the passage's words, and enough of its question and of its answer do.
 
 An item's answer is its last sentence and its question the rest; an item of one
 sentence is both.
@@ -25,12 +25,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import saved
-from .words import mix64, slices, word_hashes
+from .words import slices, word_hashes
 
-SHINGLE = 5
 K1, B = 1.2, 0.75
 THRESHOLD = 0.6
-#: least shares of shingles found: of the whole item, and of question and answer each
+#: least edit similarities to the best run of the passage: of the whole item, and of question and answer each
 WHOLE, PART = 0.8, 0.5
 BLOCK_ITEMS = 8
 STRIDE = 64
@@ -38,15 +37,17 @@ STRIDE = 64
 INDEX_BYTES = 16 << 20
 
 
-def shingles(words: np.ndarray) -> np.ndarray:
-    """Hashes of the runs of five words; of fewer words, the one of all."""
-    n = min(SHINGLE, len(words))
-    if not n:
-        return np.zeros(0, np.uint64)
-    h = np.full(len(words) - n + 1, n, np.uint64)
-    for j in range(n):
-        h = mix64(h * np.uint64(0x9E3779B97F4A7C15) + words[j : len(words) - n + 1 + j])
-    return h
+def share_within(part: np.ndarray, window: np.ndarray) -> float:
+    """1 - (the edits that turn the part into the best run of the window) / words of the part; 1 for an empty part."""
+    if not len(part):
+        return 1.0
+    ramp = np.arange(len(window) + 1)
+    cost = np.zeros(len(window) + 1, np.int64)  # a run may begin anywhere
+    for word in part:
+        step = cost + 1  # the word is left out
+        step[1:] = np.minimum(step[1:], cost[:-1] + (window != word))
+        cost = np.minimum.accumulate(step - ramp) + ramp
+    return 1 - int(cost.min()) / len(part)
 
 
 def parts(text: str) -> tuple[str, str]:
@@ -73,8 +74,8 @@ class Index:
         found = [(i, t, word_hashes([t])[0]) for i, t in sorted(items, key=lambda x: (x[0] is None, x[0] or 0, x[1] or ""))]
         found = [x for x in found if len(x[2])]
         self.ids = [i for i, _, _ in found]
-        self.pieces = [tuple(np.unique(shingles(word_hashes([p])[0])) for p in parts(t)) for _, t, _ in found]
-        self.whole = [np.unique(shingles(w)) for _, _, w in found]
+        self.pieces = [tuple(word_hashes([p])[0] for p in parts(t)) for _, t, _ in found]
+        self.whole = [w for _, _, w in found]
         self.lengths = np.array([len(w) for _, _, w in found], np.int64)
         counted = [np.unique(w, return_counts=True) for _, _, w in found]
         self.terms = np.unique(np.concatenate([t for t, _ in counted])) if found else np.zeros(0, np.uint64)
@@ -166,34 +167,20 @@ class Index:
         return out
 
     def leaks(self, texts: list[str | None], threshold: float = THRESHOLD) -> list[tuple[int, int, float, float, float]]:
-        """text, item, score, share of the question's and of the answer's shingles; the best passage of each pair, in order."""
+        """text, item, score, and how much of the question and of the answer aligns; the best passage of each pair, in order."""
         out: dict[tuple[int, int], tuple[float, float, float]] = {}
         for a, b in slices(texts):
             words, offsets = word_hashes(texts[a:b])
-            found = self.retrieve(words, offsets, threshold)
-            held: tuple[int, int, np.ndarray] | None = None
-            for t, begin, end, item, score in sorted(found, key=lambda x: x[1:4]):
-                if held is None or held[:2] != (begin, end):
-                    window = words[begin:end]
-                    runs = np.concatenate([shingles(window)] + [_runs(window, n) for n in range(1, SHINGLE)])
-                    held = (begin, end, np.unique(runs))
-                share = lambda s, runs=held[2]: float(np.isin(s, runs).mean()) if len(s) else 1.0
-                whole, (question, answer) = share(self.whole[item]), map(share, self.pieces[item])
-                if whole >= WHOLE and min(question, answer) >= PART:
+            for t, begin, end, item, score in sorted(self.retrieve(words, offsets, threshold), key=lambda x: x[1:4]):
+                window = words[begin:end]
+                if share_within(self.whole[item], window) < WHOLE - 1e-9:
+                    continue
+                question, answer = (share_within(p, window) for p in self.pieces[item])
+                if min(question, answer) >= PART - 1e-9:
                     out[a + t, item] = max(out.get((a + t, item), (0.0, 0.0, 0.0)), (score, question, answer))
         return [(*k, *v) for k, v in sorted(out.items())]
 
 
-def _runs(words: np.ndarray, n: int) -> np.ndarray:
-    """Hashes, as shingles() makes them of a short part, of all runs of n words."""
-    if len(words) < n:
-        return np.zeros(0, np.uint64)
-    h = np.full(len(words) - n + 1, n, np.uint64)
-    for j in range(n):
-        h = mix64(h * np.uint64(0x9E3779B97F4A7C15) + words[j : len(words) - n + 1 + j])
-    return h
-
-
 def indexes(items: DataFrame) -> Iterator[Index]:
     """Indexes of the items, each of a part whose texts fit INDEX_BYTES or so, whatever their number. Scores follow from
     statistics of all items, so the cut into parts changes none."""

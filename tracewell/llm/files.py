@@ -13,14 +13,27 @@ def _of(path: str):
 
 
 def write(path: str, data) -> None:
-    """Write under a name of this attempt, then rename: a task that is run again, or twice, leaves one whole file."""
+    """Write under a name of this attempt, then rename: a task that is run again, or twice, leaves one whole file.
+
+    Where a store doesn't rename onto a file that is there, that file is an earlier attempt's, whole, and stays.
+    """
     store, at = _of(path)
     store.create_dir(at.rsplit("/", 1)[0], recursive=True)
     own = f"{at}.{uuid.uuid4().hex}"
     with store.open_output_stream(own) as out:
         for part in data:
             out.write(part)
-    store.move(own, at)
+    try:
+        store.move(own, at)
+    except OSError:
+        if store.get_file_info(at).type != fs.FileType.File:
+            raise
+        store.delete_file(own)
+
+
+def exists(path: str) -> bool:
+    store, at = _of(path)
+    return store.get_file_info(at).type == fs.FileType.File
 
 
 def read(path: str) -> memoryview:
@@ -35,9 +48,3 @@ def read_ids(path: str, first: int, count: int, dtype: str) -> np.ndarray:
     width = np.dtype(dtype).itemsize
     with store.open_input_file(at) as f:
         return np.frombuffer(f.read_at(count * width, first * width), dtype)
-
-
-def sizes(path: str) -> list[tuple[str, int]]:
-    """Names and bytes of the files of a folder."""
-    store, at = _of(path)
-    return sorted((x.base_name, x.size) for x in store.get_file_info(fs.FileSelector(at)) if x.is_file)

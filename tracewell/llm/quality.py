@@ -140,7 +140,11 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3, mod: int = 5, r
 
 
 def kept(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
-    """The rows of ``docs``, with their columns, that the model doesn't reject."""
+    """The rows of ``docs``, with their columns, that the model doesn't reject: those that score ``threshold`` or more.
+
+    Null and empty texts are judged as one passage without characters, rows that
+    repeat stay or go together, and an empty table gives no rows.
+    """
     shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.mean, model.spread))
     at = docs.columns.index("text")
 
@@ -160,4 +164,11 @@ def fitted(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, max_c
 
 
 def quality(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, max_chars: int = MAX_CHARS) -> DataFrame:
+    """score() of every row of ``docs`` by a model fitted on a bounded sample of the labelled rows that are not held out.
+
+    Labels other than 0 and 1, null ones, and those of a null doc_id or of no row
+    teach nothing; a doc_id labelled twice takes the higher. With labels of one
+    kind, or none, all rows get one score. Null and empty texts and repeated rows
+    are as score() says; an empty table gives no rows.
+    """
     return score(docs, fitted(docs, labels, per_class, max_chars))

@@ -15,28 +15,40 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import files
-from .common import new_path, saved
+from .common import carried, new_path, saved
 from .tokenfiles import encoded
 
 DTYPE = "<u2"
 BLOCK_TOKENS = 1 << 20
 FILE_TOKENS = 1 << 21
+#: tasks that blocks are dealt to at most
+MOST_TASKS = 20_000
 
 
 def write_flat(docs: DataFrame, tokenizer: str, out: str, end: int, file_tokens: int = FILE_TOKENS) -> DataFrame:
-    """Flat files of 16-bit ids, each text followed by ``end``, cut anywhere, written in the partitions of ``docs``; returns
-    doc_id, part and k (its number within the part) of every document. The stream is the files in order of name.
-    An id of 65,536 or more is an error."""
+    """Flat files of 16-bit ids, each text followed by ``end``, cut anywhere, written in the partitions of ``docs``.
+
+    Returns doc_id, part and k (its number within the part) of every document, and
+    part, k, path and n (ids) of every file, told apart by the path. The stream is the files in order of part and k. An id
+    of 65,536 or more is an error.
+    """
 
     def run(record_batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, k, n_file = TaskContext.get().partitionId(), 0, 0
         held: list[np.ndarray] = []
 
-        def flush(whole: bool):
+        def rows_of(doc_ids, numbers, paths, counts) -> pa.RecordBatch:
+            n = len(numbers)
+            columns = [doc_ids, pa.array(np.full(n, part)), pa.array(numbers, pa.int64()), pa.array(paths, pa.string()), pa.array(counts, pa.int64())]
+            return pa.RecordBatch.from_arrays(columns, ["doc_id", "part", "k", "path", "n"])
+
+        def flush(whole: bool) -> Iterator[pa.RecordBatch]:
             nonlocal held, n_file
             ids = np.concatenate(held) if held else np.zeros(0, DTYPE)
             while len(ids) >= file_tokens or whole and len(ids):
-                files.write(f"{out}/part-{part:06d}-{n_file:06d}.bin", [ids[:file_tokens].tobytes()])
+                path, own = f"{out}/part-{part:06d}-{n_file:06d}.bin", ids[:file_tokens]
+                files.write(path, [own.tobytes()])
+                yield rows_of(pa.nulls(1, pa.int64()), [n_file], [path], [len(own)])
                 ids, n_file = ids[file_tokens:], n_file + 1
             held = [ids]
 
@@ -46,48 +58,52 @@ def write_flat(docs: DataFrame, tokenizer: str, out: str, end: int, file_tokens:
                     raise ValueError(f"id {int(ids.max())} does not fit files of {DTYPE}")
                 held.append(ids.astype(DTYPE))
                 if sum(map(len, held)) >= file_tokens:
-                    flush(False)
+                    yield from flush(False)
                 n = len(rows)
-                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(np.full(n, part)), pa.array(np.arange(k, k + n))], ["doc_id", "part", "k"])
+                yield rows_of(rows.column("doc_id"), np.arange(k, k + n), [None] * n, [None] * n)
                 k += n
-        flush(True)
+        yield from flush(True)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return saved(rows.mapInArrow(run, "doc_id long, part long, k long"), "flat-docs")
+    return saved(rows.mapInArrow(run, "doc_id long, part long, k long, path string, n long"), "flat-docs")
+
+
+def listed(spark: SparkSession, folder: str, width: int = np.dtype(DTYPE).itemsize) -> DataFrame:
+    """part, k, path and n (ids of ``width`` bytes) of a folder's files in order of name, for flat files that no table lists."""
+    found = spark.read.format("binaryFile").load(folder).select("path", (F.col("length") / width).cast("long").alias("n"))
+    # a part is a range of the sorted names
+    return saved(found.orderBy("path").select(F.spark_partition_id().cast("long").alias("part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("k"), "path", "n"), "flat-names")
 
 
-def scan(spark: SparkSession, folder: str, end: int, dtype: str = DTYPE, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """doc (number in the stream, from 0) and n_tokens, with its separator, of every document in a folder's flat files.
+def scan(stream: DataFrame, end: int, dtype: str = DTYPE, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+    """doc (number in the stream, from 0) and n_tokens, with its separator, of every document in flat files.
 
-    The files, in order of name, are one stream; a document may span blocks and
-    files. Tokens after the last separator are no document. A folder without
-    tokens gives no rows. Only names and sizes of files reach the driver.
+    ``stream`` has part, k, path and n (ids) of each file; in order of part and k
+    they are one stream, and a document may span blocks and files. Tokens after
+    the last separator are no document. No files, or none with tokens, give no
+    rows. Nothing of a file reaches the driver, not its name either.
     """
-    width = np.dtype(dtype).itemsize
-    listed = [(k, f"{folder}/{name}", size // width) for k, (name, size) in enumerate(files.sizes(folder))]
-    if not listed:
-        return spark.createDataFrame([], "doc long, n_tokens long")
-    blocks = spark.createDataFrame(listed, "file long, path string, n long").where("n > 0")
-    blocks = blocks.select("file", "path", "n", F.explode(F.expr(f"sequence(0, (n - 1) div {block_tokens})")).alias("block"))
+    blocks = stream.where("n > 0").select("part", "k", "path", "n", F.explode(F.expr(f"sequence(0, (n - 1) div {block_tokens})")).alias("block"))
     blocks = blocks.withColumn("first", F.col("block") * block_tokens).withColumn("n", F.least(F.lit(block_tokens), F.col("n") - F.col("first")))
-    tasks = max(1, blocks.count())
-    blocks = blocks.repartition(tasks, "file", "block")
+    size = stream.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    tasks = min(MOST_TASKS, size[0] + size[1] // block_tokens + 1)
+    blocks = blocks.repartition(tasks, "part", "k", "block")
 
     def summarise(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             found = [np.flatnonzero(files.read_ids(p, f, n, dtype) == end) for p, f, n in zip(frame["path"], frame["first"], frame["n"], strict=True)]
             yield frame.assign(ends=[len(x) for x in found], last=pd.array([int(x[-1]) if len(x) else None for x in found], "Int64"))
 
-    summed = saved(blocks.mapInPandas(summarise, "file long, path string, n long, block long, first long, ends long, last long"), "scan-blocks")
-    # the prefix scan, first over the files, then within each: tokens and separators before a block, and where the last of them stands
-    by_file = summed.groupBy("file").agg(F.sum("n").alias("tokens"), F.sum("ends").alias("seps"), F.max(F.col("first") + F.col("last")).alias("file_last"))
-    over = W.orderBy("file")
-    before = over.rowsBetween(W.unboundedPreceding, -1)
-    by_file = by_file.withColumn("token0", F.coalesce(F.sum("tokens").over(before), F.lit(0))).withColumn("sep0", F.coalesce(F.sum("seps").over(before), F.lit(0)))
-    by_file = by_file.withColumn("open0", F.coalesce(F.max(F.col("token0") + F.col("file_last")).over(before), F.lit(-1))).select("file", "token0", "sep0", "open0")
-    within = W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
-    carried = summed.withColumn("seps", F.coalesce(F.sum("ends").over(within), F.lit(0))).withColumn("prior", F.max(F.col("first") + F.col("last")).over(within)).join(by_file, "file")
-    carried = carried.where("ends > 0").select("path", "first", "n", (F.col("token0") + F.col("first")).alias("base"), (F.col("sep0") + F.col("seps")).alias("doc0"), F.coalesce(F.col("token0") + F.col("prior"), F.col("open0")).alias("open"))
+    summed = saved(blocks.mapInPandas(summarise, "part long, k long, path string, n long, block long, first long, ends long, last long"), "scan-blocks")
+    # the prefix scan, first over the parts, then within each: tokens and separators before a block, and where the last of them stands
+    parts = carried(summed.groupBy("part").agg(F.sum("n").alias("tokens"), F.sum("ends").alias("seps")), "part", {"token0": "tokens", "sep0": "seps"}).select("part", "token0", "sep0")
+    within = W.partitionBy("part").orderBy("k", "block").rowsBetween(W.unboundedPreceding, -1)
+    placed = summed.withColumn("_n", F.coalesce(F.sum("n").over(within), F.lit(0))).withColumn("_ends", F.coalesce(F.sum("ends").over(within), F.lit(0))).join(parts, "part")
+    placed = placed.withColumn("base", F.col("token0") + F.col("_n")).withColumn("doc0", F.col("sep0") + F.col("_ends"))
+    ends = placed.groupBy("part").agg(F.max(F.col("base") + F.col("last")).alias("last_end"))
+    open_ = carried(ends, "part", maxima={"open0": "last_end"}).select("part", "open0")
+    placed = placed.withColumn("prior", F.max(F.col("base") + F.col("last")).over(within)).join(open_, "part").where("ends > 0")
+    placed = placed.select("path", "first", "n", "base", "doc0", F.coalesce("prior", "open0", F.lit(-1)).alias("open"))
 
     def emit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -95,7 +111,7 @@ def scan(spark: SparkSession, folder: str, end: int, dtype: str = DTYPE, block_t
                 at = row.base + np.flatnonzero(files.read_ids(row.path, row.first, row.n, dtype) == end)
                 yield pd.DataFrame({"doc": row.doc0 + np.arange(len(at)), "n_tokens": np.diff(at, prepend=row.open)})
 
-    return carried.repartition(tasks, "base").mapInPandas(emit, "doc long, n_tokens long")
+    return placed.repartition(tasks, "base").mapInPandas(emit, "doc long, n_tokens long")
 
 
 def token_counts(docs: DataFrame, tokenizer: str, end: int = 2) -> DataFrame:
@@ -107,10 +123,8 @@ def token_counts(docs: DataFrame, tokenizer: str, end: int = 2) -> DataFrame:
     """
     spark = docs.sparkSession
     out = new_path(spark, "flat")
-    written = write_flat(docs, tokenizer, out, end)
-    by_part = written.groupBy("part").agg(F.count("*").alias("n"))
-    by_part = by_part.withColumn("doc0", F.sum("n").over(W.orderBy("part")) - F.col("n")).select("part", "doc0")
-    numbered = written.join(by_part, "part").select("doc_id", (F.col("doc0") + F.col("k")).alias("doc"))
-    if not written.take(1):
-        return spark.createDataFrame([], "doc_id long, n_tokens long")
-    return numbered.join(scan(spark, out, end), "doc").select("doc_id", "n_tokens")
+    both = write_flat(docs, tokenizer, out, end)
+    written = both.where("path is null")
+    parts = carried(written.groupBy("part").agg(F.count("*").alias("docs")), "part", {"doc0": "docs"}).select("part", "doc0")
+    numbered = written.join(parts, "part").select("doc_id", (F.col("doc0") + F.col("k")).alias("doc"))
+    return numbered.join(scan(both.where("path is not null"), end), "doc").select("doc_id", "n_tokens")

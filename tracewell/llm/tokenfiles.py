@@ -27,7 +27,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import files
-from .common import discard, new_path, saved
+from .common import carried, discard, new_path, saved
 from .encoding import BATCH_CHARS, batches, encoder
 
 MAGIC = b"TWDAC001"
@@ -211,8 +211,9 @@ def write_files(docs: DataFrame, tokenizer: str, out: str, end: int = 2, file_to
 
 def read_files(written: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, read from the files that write_files() returned."""
-    order = W.orderBy("part", "file")
-    based = written.withColumn("base", F.sum("n_tokens").over(order) - F.col("n_tokens"))
+    parts = carried(written.groupBy("part").agg(F.sum("n_tokens").alias("tokens")), "part", {"token0": "tokens"}).select("part", "token0")
+    within = W.partitionBy("part").orderBy("file")
+    based = written.withColumn("_upto", F.sum("n_tokens").over(within)).join(parts, "part").withColumn("base", F.col("token0") + F.col("_upto") - F.col("n_tokens"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:

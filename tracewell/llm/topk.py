@@ -17,6 +17,8 @@ from .common import new_path, saved
 SHARD_ROWS = 4096
 TILE_QUERIES = 1024
 FAN_IN = 16
+#: bytes of vectors that a task holds, and tasks that shards are dealt to at most
+TASK_BYTES, MOST_TASKS = 32 << 20, 20_000
 EXACT = 2**53
 LONG = (-(2**63), 2**63 - 1)
 
@@ -54,21 +56,36 @@ def tile_top(query_rows: np.ndarray, queries: np.ndarray, rows: np.ndarray, ids:
     return np.array(counts, np.int64), np.array(out_ids, np.int64), np.array(out_scores, np.int64)
 
 
+def best(who: list[np.ndarray], ids: list[np.ndarray], scores: list[np.ndarray], queries: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """counts, ids and scores of the k best of several lists of each query."""
+    who_, ids_, scores_ = np.concatenate(who), np.concatenate(ids), np.concatenate(scores)
+    order = np.lexsort((ids_, ~scores_, who_))  # ~s falls as s rises, and stays within a long
+    who_, ids_, scores_ = who_[order], ids_[order], scores_[order]
+    kept = np.arange(len(who_)) - np.searchsorted(who_, who_) < k
+    return np.bincount(who_[kept], minlength=queries).astype(np.int64), ids_[kept], scores_[kept]
+
+
+def _name(out: str, by: str, dim: int, number: int) -> str:
+    return f"{out}/{by}-{dim}-{number:08d}.bin"
+
+
 def _packed(rows: DataFrame, by: str, out: str) -> DataFrame:
     """A file for each (dim, ``by``) with row keys, ids and vectors; returns dim, ``by``, its path and number of rows."""
 
     def pack(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["id", "row"])
         dim, number = int(frame["dim"].iloc[0]), int(frame[by].iloc[0])
-        path = f"{out}/{by}-{dim}-{number:08d}.bin"
+        path = _name(out, by, dim, number)
         files.write(path, [frame["row"].to_numpy(np.int64).tobytes(), frame["id"].to_numpy(np.int64).tobytes(), np.stack(frame["v"].to_numpy()).astype(np.float64).tobytes()])
         return pd.DataFrame({"dim": [dim], by: [number], f"{by}_path": [path], f"{by}_n": [len(frame)]})
 
     return saved(rows.groupBy("dim", by).applyInPandas(pack, f"dim long, {by} long, {by}_path string, {by}_n long"), f"topk-{by}s")
 
 
-def _unpacked(path: str, n: int, dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _unpacked(path: str, n: int | None, dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row keys, ids and vectors of a file of n rows, or as many as its size tells."""
     data = files.read(path)
+    n = len(data) // (16 + 8 * dim) if n is None else n
     return np.frombuffer(data, np.int64, n), np.frombuffer(data, np.int64, n, 8 * n), np.frombuffer(data, np.float64, n * dim, 16 * n).reshape(n, dim)
 
 
@@ -92,38 +109,36 @@ def top_k(vectors: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: st
     shards, tiles = -(-n // shard_rows), -(-n_queries // tile_queries)
     out = new_path(vectors.sparkSession, "topk-files")
     sharded = _packed(rows.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards))), "shard", out)
-    tiled = _packed(rows.where(F.col("id") % query_mod == 0).withColumn("tile", F.pmod(F.xxhash64("row"), F.lit(tiles))), "tile", out)
-    # each shard meets each tile of queries: only their names are shuffled, and a task reads the files of its pairs
-    met = sharded.join(tiled, "dim").repartition(shards * tiles, "dim", "shard", "tile").sortWithinPartitions("dim", "shard", "tile")
+    _packed(rows.where(F.col("id") % query_mod == 0).withColumn("tile", F.pmod(F.xxhash64("row"), F.lit(tiles))), "tile", out)
+    # a task takes a few shards, and every tile of queries in turn, whose names follow from their numbers
+    held_rows = max(1, TASK_BYTES // (8 * max(1, rows.agg(F.max("dim")).first()[0] or 1)))
+    share = max(1, min(held_rows // shard_rows, shards // 64))
+    dealt = sharded.withColumn("node", F.expr(f"shard div {share}")).repartition(min(MOST_TASKS, -(-shards // share)), "dim", "node").sortWithinPartitions("dim", "node", "shard")
 
     def multiply(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: tuple = ("", ())
-        for frame in frames:
-            for row in frame.itertuples():
-                if held[0] != row.shard_path:
-                    held = (row.shard_path, _unpacked(row.shard_path, row.shard_n, row.dim))
-                q_rows, q_ids, queries = _unpacked(row.tile_path, row.tile_n, row.dim)
-                counts, top, scores = tile_top(q_rows, queries, *held[1], k)
-                yield pd.DataFrame({"dim": [row.dim], "tile": [row.tile], "node": [row.shard], "queries": [q_ids.tobytes()], "counts": [counts.tobytes()], "ids": [top.tobytes()], "scores": [scores.tobytes()]})
+        names = list(frames)  # of the shards of one task
+        for (dim, node), own in pd.concat(names, ignore_index=True).groupby(["dim", "node"]) if names else ():
+            held = [_unpacked(path, n, dim) for path, n in zip(own["shard_path"], own["shard_n"], strict=True)]
+            for tile in range(tiles):
+                path = _name(out, "tile", dim, tile)
+                if not files.exists(path):
+                    continue
+                q_rows, q_ids, queries = _unpacked(path, None, dim)
+                found = [tile_top(q_rows, queries, *one, k) for one in held]
+                counts, ids, scores = best([np.repeat(np.arange(len(q_ids)), c) for c, _, _ in found], [i for _, i, _ in found], [s for _, _, s in found], len(q_ids), k)
+                yield pd.DataFrame({"dim": [dim], "tile": [tile], "node": [node], "queries": [q_ids.tobytes()], "counts": [counts.tobytes()], "ids": [ids.tobytes()], "scores": [scores.tobytes()]})
 
     lists = "dim long, tile long, node long, queries binary, counts binary, ids binary, scores binary"
-    # one tile and one shard at a time in a task: a batch holds a few megabytes
-    top = met.mapInPandas(multiply, lists)
+    top = dealt.mapInPandas(multiply, lists)
 
     def merge(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("node")
         queries = np.frombuffer(frame["queries"].iloc[0], np.int64)
-        counts = [np.frombuffer(x, np.int64) for x in frame["counts"]]
-        who = np.concatenate([np.repeat(np.arange(len(queries)), c) for c in counts])
-        ids = np.concatenate([np.frombuffer(x, np.int64) for x in frame["ids"]])
-        scores = np.concatenate([np.frombuffer(x, np.int64) for x in frame["scores"]])
-        order = np.lexsort((ids, ~scores, who))  # ~s falls as s rises, and stays within a long
-        who, ids, scores = who[order], ids[order], scores[order]
-        kept = np.arange(len(who)) - np.searchsorted(who, who) < k
-        counts = np.bincount(who[kept], minlength=len(queries)).astype(np.int64)
-        return pd.DataFrame({"dim": [frame["dim"].iloc[0]], "tile": [frame["tile"].iloc[0]], "node": [frame["node"].iloc[0] // FAN_IN], "queries": [queries.tobytes()], "counts": [counts.tobytes()], "ids": [ids[kept].tobytes()], "scores": [scores[kept].tobytes()]})
-
-    nodes = shards
+        column = lambda name: [np.frombuffer(x, np.int64) for x in frame[name]]
+        counts, ids, scores = best([np.repeat(np.arange(len(queries)), c) for c in column("counts")], column("ids"), column("scores"), len(queries), k)
+        return pd.DataFrame({"dim": [frame["dim"].iloc[0]], "tile": [frame["tile"].iloc[0]], "node": [frame["node"].iloc[0] // FAN_IN], "queries": [queries.tobytes()], "counts": [counts.tobytes()], "ids": [ids.tobytes()], "scores": [scores.tobytes()]})
+
+    nodes = -(-shards // share)
     while nodes > 1:
         top = top.groupBy("dim", "tile", F.expr(f"node div {FAN_IN}").alias("parent")).applyInPandas(lambda _, frame: merge(frame), lists)
         nodes = -(-nodes // FAN_IN)

@@ -23,11 +23,11 @@ from .words import WORD_BYTES, hashed, joined, slices
 GRAMS = (3, 4, 5, 6)
 BUCKET_BITS = 20
 DIMS = 8
-PASSAGE = 96
+PASSAGE = 24
 #: a passage of fewer n-grams than this is averaged as if blanks filled it up
-LEAST = 200
+LEAST = 40
 #: n-grams of fewer sample texts are not learned
-MIN_TEXTS = 5
+MIN_TEXTS = 3
 #: the strength of the pull of vectors to zero
 DECAY = 0.1
 #: the bound of the sample that fits the model: texts of each label, and characters of a text
@@ -186,6 +186,12 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3, mod: int = 4, r
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, max_chars: int = MAX_CHARS) -> DataFrame:
-    """Fit on a bounded sample of the labelled rows that are not held out, then score every row."""
+    """score() of every row of ``docs`` by a model fitted on a bounded sample of the labelled rows that are not held out.
+
+    Labels other than 0 and 1, null ones, and those of a null doc_id or of no row
+    teach nothing; a doc_id labelled twice counts as toxic if it is so once. With labels
+    of one kind, or none, all rows get one score. Null and empty texts and repeated
+    rows are as score() says; an empty table gives no rows.
+    """
     texts, y = labelled_sample(docs, labels, "toxic", 4, 2, per_class, max_chars)
     return score(docs, fit(texts, y))
