@@ -42,6 +42,16 @@ def lead_code(lead: Column) -> Column:
     return F.struct(F.when(code.isNotNull(), LEAD_SYSTEM).otherwise("urn:provisional").alias("system"), F.coalesce(code, F.concat(F.lit("lead-"), lead)).alias("code"), lead.alias("display"))
 
 
+def observation(lead: Column, signal: Column, fs: Column, doubted: Column) -> Column:
+    return F.struct(
+        F.lit("Observation").alias("resourceType"),
+        F.when(doubted, "preliminary").otherwise("final").alias("status"),
+        lead_code(lead).alias("code"),
+        sampled_data(signal, fs).alias("valueSampledData"),
+        F.when(doubted, "low confidence").alias("note"),
+    )
+
+
 def observations(records: DataFrame, low: str | None = None) -> DataFrame:
     """A row for each lead of each record; leads named in the array column ``low`` are preliminary, with a note."""
     extra = [low] if low else []
@@ -51,13 +61,7 @@ def observations(records: DataFrame, low: str | None = None) -> DataFrame:
         "record_id",
         "lead",
         C.stable_id("obs", F.col("record_id"), F.col("lead")).alias("full_url"),
-        F.struct(
-            F.lit("Observation").alias("resourceType"),
-            F.when(doubted, "preliminary").otherwise("final").alias("status"),
-            lead_code(F.col("lead")).alias("code"),
-            sampled_data(F.col("signal"), F.col("sampling_rate")).alias("valueSampledData"),
-            F.when(doubted, "low confidence").alias("note"),
-        ).alias("resource"),
+        observation(F.col("lead"), F.col("signal"), F.col("sampling_rate"), doubted).alias("resource"),
     )
 
 
@@ -68,23 +72,25 @@ def measured(reports: DataFrame, id_col: str, text: str) -> DataFrame:
 
 
 def bundles(records: DataFrame, stamp: Column, hr: str | None = None) -> DataFrame:
-    """A bundle for each record: report, patient, device, leads, heart rate, in that order; the report refers to its observations."""
+    """A bundle for each record: report, patient, device, leads, heart rate, in that order; the report refers to its observations. A record's bundle is made where the record is."""
     rid = F.col("record_id")
     order = F.create_map(*(F.lit(x) for k, lead in enumerate(LEAD_CODES) for x in (lead, k)))
-    entry = lambda n, url, body: F.struct(F.lit(n).alias("n") if isinstance(n, int) else n.alias("n"), url.alias("fullUrl"), F.to_json(body, {"ignoreNullFields": "true"}).alias("resource"))
-    obs = observations(records).select("record_id", entry(F.lit(10) + order[F.col("lead")], F.col("full_url"), F.col("resource")).alias("e"))
-    refs = observations(records).groupBy("record_id").agg(F.array_sort(F.collect_list("full_url")).alias("refs"))
-    heads = records.join(refs, "record_id", "left")
-    report = F.struct(F.lit("DiagnosticReport").alias("resourceType"), F.lit("final").alias("status"), stamp.alias("issued"), F.transform(F.coalesce("refs", F.array().cast("array<string>")), lambda r: F.struct(r.alias("reference"))).alias("result"))
+    entry = lambda n, url, body: F.struct(n.alias("n"), url.alias("fullUrl"), F.to_json(body, {"ignoreNullFields": "true"}).alias("resource"))
+    url_of = lambda lead: C.stable_id("obs", rid, lead)
+    of_lead = lambda e: entry(F.lit(10) + F.try_element_at(order, e["key"]), url_of(e["key"]), observation(e["key"], e["value"], F.col("sampling_rate"), F.lit(False)))
+    none = F.array().cast("array<string>")
+    refs = F.array_sort(F.coalesce(F.transform(F.map_keys("leads"), url_of), none))
+    report = F.struct(F.lit("DiagnosticReport").alias("resourceType"), F.lit("final").alias("status"), stamp.alias("issued"), F.transform(refs, lambda r: F.struct(r.alias("reference"))).alias("result"))
     patient = F.struct(F.lit("Patient").alias("resourceType"), C.or_unknown(F.col("patient_id")).alias("id"))
     device = F.struct(F.lit("Device").alias("resourceType"), C.or_unknown(F.col("device_vendor")).alias("manufacturer"))
-    rows = [entry(0, C.stable_id("rep", rid), report), entry(1, C.stable_id("pat", rid), patient), entry(2, C.stable_id("dev", rid), device)]
+    rows = [entry(F.lit(0), C.stable_id("rep", rid), report), entry(F.lit(1), C.stable_id("pat", rid), patient), entry(F.lit(2), C.stable_id("dev", rid), device)]
     if hr:
         rate = F.struct(F.lit("Observation").alias("resourceType"), F.lit("final").alias("status"), F.lit("8867-4").alias("code"), F.col(hr).alias("value"))
-        rows.append(F.when(F.col(hr).isNotNull(), entry(90, C.stable_id("hr", rid), rate)))
-    top = heads.select("record_id", F.explode(F.array_compact(F.array(*rows))).alias("e"))
-    entries = F.transform(F.array_sort(F.collect_list("e")), lambda e: F.struct(e["fullUrl"], e["resource"]))
-    return top.unionByName(obs).groupBy("record_id").agg(entries.alias("entry")).select("record_id", F.lit("Bundle").alias("resourceType"), F.lit("transaction").alias("type"), "entry")
+        rows.append(F.when(F.col(hr).isNotNull(), entry(F.lit(90), C.stable_id("hr", rid), rate)))
+    heads = F.array_compact(F.array(*rows))
+    every = F.concat(heads, F.coalesce(F.transform(F.map_entries("leads"), of_lead), F.slice(heads, 1, 0)))
+    entries = F.transform(F.array_sort(every), lambda e: F.struct(e["fullUrl"], e["resource"]))
+    return records.select("record_id", F.lit("Bundle").alias("resourceType"), F.lit("transaction").alias("type"), entries.alias("entry"))
 
 
 def analysis(df: DataFrame, printed: str, digital: str, diagnosis: str) -> DataFrame:

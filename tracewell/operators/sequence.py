@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 Cols = Sequence[str]
 #: a series whose threshold is under this has no beats
 FLAT = 1e-6
+#: rows of an island that is folded as one array
+FOLD = 256
 
 
 def _by(keys: Cols, order: Cols):
@@ -109,23 +111,33 @@ def local_peaks(df: DataFrame, keys: Cols, order: Cols, value: str, height: floa
     return df.where(top if height is None else top & (F.col(value) >= height)).drop("_p", "_n")
 
 
-def _islands(df: DataFrame, keys: Cols, at: str, gap: float) -> DataFrame:
-    """keys, ``at`` and _opens, in order within partitions that hold whole islands: runs in which neighbours are under ``gap`` apart. _opens is true for the first row of each."""
+def _folded(df: DataFrame, keys: Cols, at: str, gap: float, fold: Column, stream) -> DataFrame:
+    """keys and ``at``: what is left of each island, a run of values in which neighbours are under ``gap`` apart.
+
+    Islands of up to FOLD rows are folded as arrays by ``fold``, of _island, where
+    their series are; longer ones go to tasks of their own, in order, and stream
+    through ``stream``, which gets keys, ``at`` and _opens, true for the first row of each.
+    """
     w = _by(keys, [at])
     opens = F.coalesce(F.col(at) - F.lag(at).over(w) >= gap, F.lit(True))
-    marked = df.select(*keys, at).where(F.col(at).isNotNull()).withColumn("_opens", opens).withColumn("_island", F.sum(F.col("_opens").cast("long")).over(w.rowsBetween(W.unboundedPreceding, 0)))
-    dealt = marked.repartition(*keys, "_island").sortWithinPartitions(*keys, "_island", at)
-    return dealt.select(*keys, at, "_opens")
+    marked = df.select(*keys, at).where(F.col(at).isNotNull()).withColumn("_opens", opens).withColumn("_no", F.sum(F.col("_opens").cast("long")).over(w.rowsBetween(W.unboundedPreceding, 0)))
+    marked = marked.withColumn("_size", F.count("*").over(W.partitionBy(*keys, "_no")))
+    small = marked.where(F.col("_size") <= FOLD).groupBy(*keys, "_no").agg(F.array_sort(F.collect_list(at)).alias("_island"))
+    long = marked.where(F.col("_size") > FOLD).repartition(*keys, "_no").sortWithinPartitions(*keys, "_no", at).select(*keys, at, "_opens")
+    return small.select(*keys, F.explode(fold).alias(at)).unionByName(long.mapInArrow(stream, long.drop("_opens").schema))
 
 
 def spaced_rows(candidates: DataFrame, keys: Cols, index: str, distance: int) -> DataFrame:
     """keys and index (long) of the candidates kept from left to right, each at least ``distance`` after the last one kept.
 
     A candidate that far after the one before is kept whatever came earlier, so
-    islands between such candidates stand alone; within one, rows stream by with
-    the last one kept as the only state.
+    islands between such candidates stand alone; within one, the last one kept is
+    the only state.
     """
-    islands = _islands(candidates.withColumn(index, F.col(index).cast("long")), keys, index, distance)
+    whole = candidates.withColumn(index, F.col(index).cast("long"))
+    start = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast("array<long>").alias("kept"))
+    keep = lambda acc, x: F.when(acc["last"].isNull() | (x - acc["last"] >= distance), F.struct(x.alias("last"), F.array_append(acc["kept"], x).alias("kept"))).otherwise(acc)
+    fold = F.aggregate("_island", start, keep)["kept"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = 0
@@ -136,7 +148,7 @@ def spaced_rows(candidates: DataFrame, keys: Cols, index: str, distance: int) ->
                 last = x if keep[-1] else last
             yield batch.filter(pa.array(keep, pa.bool_())).select([*keys, index])
 
-    return islands.mapInArrow(run, islands.drop("_opens").schema)
+    return _folded(whole, keys, index, distance, fold, run)
 
 
 def spaced(candidates: DataFrame, keys: Cols, index: str, distance: int) -> DataFrame:
@@ -199,7 +211,11 @@ def merged_close_rows(df: DataFrame, keys: Cols, value: str, gap: float) -> Data
     A mean is never above the last value in it, so a value at least ``gap`` after
     the one before begins anew: islands between such values stand alone.
     """
-    islands = _islands(df.withColumn(value, F.col(value).cast("double")), keys, value, gap)
+    whole = df.withColumn(value, F.col(value).cast("double"))
+    start = F.struct(F.lit(None).cast("double").alias("mean"), F.array().cast("array<double>").alias("done"))
+    closed = lambda acc: F.when(acc["mean"].isNull(), acc["done"]).otherwise(F.array_append(acc["done"], acc["mean"]))
+    merge = lambda acc, x: F.when(acc["mean"].isNull() | (x - acc["mean"] >= gap), F.struct(x.alias("mean"), closed(acc).alias("done"))).otherwise(F.struct(((acc["mean"] + x) / 2).alias("mean"), acc["done"].alias("done")))
+    fold = F.aggregate("_island", start, merge, closed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, mean = None, 0.0  # the keys of the open mean, as one row
@@ -221,7 +237,7 @@ def merged_close_rows(df: DataFrame, keys: Cols, value: str, gap: float) -> Data
         if held is not None:
             yield pa.RecordBatch.from_arrays([*held.columns, pa.array([mean], pa.float64())], names=[*keys, value])
 
-    return islands.mapInArrow(run, islands.drop("_opens").schema)
+    return _folded(whole, keys, value, gap, fold, run)
 
 
 def merged_close(df: DataFrame, keys: Cols, value: str, gap: float) -> DataFrame:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import tempfile
-import zlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -73,17 +72,58 @@ def cheapest_track(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kernels.tracked(e, ["track"], "x", "v")
 
 
+def _shared(spark: SparkSession) -> str:
+    """The folder that driver and executors share; a local run without one takes the machine's."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return (base or tempfile.gettempdir()).rstrip("/")
+
+
+def _stream(spark: SparkSession, source: str) -> DataFrame:
+    """A table, one file or a folder of them, as a stream of its files."""
+    reader = spark.readStream.schema(spark.read.parquet(source).schema)
+    folder, name = source.rsplit("/", 1)
+    path = spark._jvm.org.apache.hadoop.fs.Path(source)
+    if path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isFile():
+        return reader.option("pathGlobFilter", name).parquet(folder)
+    return reader.parquet(source)
+
+
 @query("SELECT user_id, count(*) AS n, round(sum(value), 4) AS total FROM events WHERE value IS NOT NULL GROUP BY user_id")
 def stream_drain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as a stream, drained once through a stateful aggregation into a table of the session."""
-    source = f"{sf_dir}/events.parquet"
-    schema = spark.read.parquet(source).schema
-    name = f"drained_{zlib.crc32(sf_dir.encode())}"
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    totals = stream.where("value is not null").groupBy("user_id").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+    """Events as a stream, drained once through a stateful aggregation; a batch's totals replace those before it, as Parquet in the shared folder."""
+    from uuid import uuid4
+
+    out = f"{_shared(spark)}/drained-{uuid4().hex}"
+    totals = _stream(spark, f"{sf_dir}/events.parquet").where("value is not null").groupBy("user_id").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+    def batch(df: DataFrame, n: int) -> None:
+        df.write.mode("overwrite").parquet(f"{out}/batch={n:06d}")
+        done.append(n)
+
+    done: list[int] = []
+    totals.writeStream.outputMode("complete").foreachBatch(batch).option("checkpointLocation", f"{out}-checkpoint").trigger(availableNow=True).start().awaitTermination()
+    schema = "user_id long, n long, total double"
+    return spark.read.schema(schema).parquet(f"{out}/batch={done[-1]:06d}") if done else spark.createDataFrame([], schema)
+
+
+@query("""
+WITH e AS (SELECT user_id, event_id, CAST(floor(value / 30) AS BIGINT) AS size, ts FROM events),
+f AS (SELECT *, CASE WHEN size = lag(size) OVER w THEN 0 ELSE 1 END AS opens FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ts, size)),
+g AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts, size) AS run FROM f),
+h AS (SELECT *, min(ts) OVER (PARTITION BY user_id, run) AS since FROM g)
+SELECT CAST(user_id AS VARCHAR) AS path, size, CAST(strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS VARCHAR) AS ready_at FROM h WHERE epoch_us(ts) - epoch_us(since) >= 36000000000 GROUP BY user_id, run, size""")
+def settled_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user stands for a file, the events' values for the sizes that listings saw; files that stood still for ten hours."""
     from uuid import uuid4
 
-    q = totals.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{base}/drain-{uuid4().hex}").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name)
+    from ..streaming import ingest
+
+    base = _shared(spark)
+    source = f"{sf_dir}/events.parquet"
+    stream = _stream(spark, source)
+    out = f"{base}/settled-{uuid4().hex}"
+    found = ingest.settled(stream.withColumn("size", F.floor(F.col("value") / 30)), "user_id", "size", "ts", 36_000)
+    found.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-checkpoint").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("path string, size long, ready_at timestamp").parquet(out).withColumn("ready_at", F.date_format("ready_at", "yyyy-MM-dd HH:mm:ss.SSSSSS"))

@@ -54,12 +54,12 @@ def signal_stats_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = d.withColumn("x", F.col("value") - F.col("mu"))
     d = d.withColumn("crossing", F.when(F.col("x") * (F.col("prev") - F.col("mu")) < 0, 1).otherwise(0))
     m = lambda k: F.avg(F.expr("*".join(["x"] * k)))
-    q = lambda p: F.percentile("value", F.lit(p))
+    both = F.percentile("value", F.array(F.lit(0.25), F.lit(0.75)))  # one buffer of values for both
     return d.groupBy(*KEYS).agg(
         F.count("*").alias("n"),
-        F.round(q(0.25), 6).alias("p25"),
-        F.round(q(0.75), 6).alias("p75"),
-        F.round(q(0.75) - q(0.25), 6).alias("iqr"),
+        F.round(both[0], 6).alias("p25"),
+        F.round(both[1], 6).alias("p75"),
+        F.round(both[1] - both[0], 6).alias("iqr"),
         F.round(F.sqrt(F.avg(F.col("value") * F.col("value"))), 6).alias("rms"),
         F.round(F.sum("crossing") / F.count("*"), 6).alias("zero_crossing_rate"),
         F.round(F.when(m(2) > 1e-12, m(3) / F.pow(m(2), F.lit(1.5))), 5).alias("skewness"),
