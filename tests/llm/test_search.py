@@ -329,7 +329,7 @@ def test_near_duplicates_grow_with_the_group(spark, monkeypatch):
     r = random.Random(22)
     base = words(r, 200).split()
     counts = []
-    for n in (300, 900):
+    for n in (120, 360):
         seen.clear()
         rows = [(k, " ".join(w if r.random() > 0.105 else words(r, 1) for w in base)) for k in range(n)]
         got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()

@@ -19,7 +19,7 @@ group meets in one task, and no link between classes is lost.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Generator, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -274,13 +274,19 @@ def sketched(docs: DataFrame, components: int, kept: int) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, tie long, same binary, key long, n long, sketch array<long>")
 
 
-def forest(roots: np.ndarray, words: list[np.ndarray], bins: np.ndarray, sizes: np.ndarray, x: np.ndarray, y: np.ndarray, asked, similarity: float) -> list[tuple[int, int]]:
+Pairs = list[tuple[np.ndarray, np.ndarray]]
+
+
+def forest(roots: np.ndarray, words: list[np.ndarray], x: np.ndarray, y: np.ndarray, asked, similarity: float) -> Generator[Pairs, np.ndarray, list[tuple[int, int]]]:
     """Links between the texts x and y (places) that join their classes, a forest over the classes given by ``roots``.
 
-    ``asked`` says of a matrix of places in x and y which pairs are to be looked
+    A generator: it gives pairs of texts and is sent which of them are alike, so
+    that pairs of many cells are aligned at once; the links are what it returns. ``asked`` says of a matrix of places in x and y which pairs are to be looked
     at. Of two classes one pair is aligned, then two more, then four, until one is
     alike or all are through; pairs whose classes have met meanwhile are left out.
     """
+    sizes = np.array([len(w) for w in words])
+    bins = np.stack([histogram(w) for w in words])
     names, top = np.unique(roots, return_inverse=True)
     parent = np.arange(len(names))
 
@@ -311,7 +317,7 @@ def forest(roots: np.ndarray, words: list[np.ndarray], bins: np.ndarray, sizes:
                 place = np.empty(len(key), np.int64)
                 place[order] = np.arange(len(key)) - np.repeat(first, np.diff(np.append(first, len(key))))
                 now = place < most
-                ok = alike([(words[a], words[b]) for a, b in zip(i[now], j[now], strict=True)], similarity)
+                ok = yield [(words[a], words[b]) for a, b in zip(i[now], j[now], strict=True)]
                 for a, b in zip(i[now][ok].tolist(), j[now][ok].tolist(), strict=True):
                     p, q = (int(found(top[[c]])[0]) for c in (a, b))
                     if p != q:
@@ -321,6 +327,22 @@ def forest(roots: np.ndarray, words: list[np.ndarray], bins: np.ndarray, sizes:
     return out
 
 
+def side_by_side(forests: list[Generator[Pairs, np.ndarray, list[tuple[int, int]]]], similarity: float) -> list[list[tuple[int, int]]]:
+    """What each of the forests returns: in a round the pairs that all of them ask for are aligned together."""
+    out: list[list[tuple[int, int]]] = [[] for _ in forests]
+    open_: list[tuple[int, np.ndarray | None]] = [(k, None) for k in range(len(forests))]
+    while open_:
+        asked = []
+        for k, ok in open_:
+            try:
+                asked.append((k, forests[k].send(ok)))
+            except StopIteration as e:
+                out[k] = e.value
+        answers = np.split(alike([p for _, pairs in asked for p in pairs], similarity), np.cumsum([len(pairs) for _, pairs in asked])[:-1]) if asked else []
+        open_ = [(k, ok) for (k, _), ok in zip(asked, answers, strict=True)]
+    return out
+
+
 #: of a row of a cell: g, win, a, b name the cell; side 0 meets side 1, side 2 its own kind
 CELL = ["g", "win", "a", "b"]
 
@@ -334,22 +356,20 @@ def met_in_cells(rows: DataFrame, tokens: DataFrame, similarity: float) -> DataF
             table = table.combine_chunks()
             win, side, cut, ids, roots = (table.column(c).to_numpy() for c in ("win", "side", "cut", "id", "root"))
             words = [np.frombuffer(w, np.uint32) for w in table.column("words").to_pylist()]
-            out: list[tuple[int, int]] = []
+            forests, starts = [], []
             for start, end in zip(begins, np.append(begins[1:], len(ids)), strict=True):
                 if (roots[start:end] == roots[start]).all():
                     continue
-                own, whole = words[start:end], side[start:end]
-                x, y = np.flatnonzero(whole != 1), np.flatnonzero(whole != 0)
-                later = cut[start:end] > win[start]
+                whole, later = side[start:end], cut[start:end] > win[start]
                 alone = bool((whole == 2).all())
-                sizes = np.array([len(w) for w in own])
-                bins = np.stack([histogram(w) for w in own])
 
                 def asked(u: np.ndarray, v: np.ndarray, later=later, alone=alone) -> np.ndarray:
                     ok = ~(later[u][:, None] & later[v][None, :])
                     return ok & (u[:, None] < v[None, :]) if alone else ok
 
-                out += [(ids[start + a], ids[start + b]) for a, b in forest(roots[start:end], own, bins, sizes, x, y, asked, similarity)]
+                forests.append(forest(roots[start:end], words[start:end], np.flatnonzero(whole != 1), np.flatnonzero(whole != 0), asked, similarity))
+                starts.append(start)
+            out = [(ids[start + a], ids[start + b]) for start, links in zip(starts, side_by_side(forests, similarity), strict=True) for a, b in links]
             if out:
                 a, b = np.array(out, np.int64).T
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
