@@ -32,6 +32,25 @@ def processed(records: DataFrame) -> DataFrame:
     )
 
 
+def processed_v1(records: DataFrame, low: str, digital: str, printed: str) -> DataFrame:
+    """record_id and document, the first version of a processed record: leads with their confidence, and the measured heart rate beside the printed one.
+
+    ``low`` is an array of the leads of low confidence, ``digital`` and ``printed`` are rates, null where unknown.
+    """
+    sure = lambda lead: F.when(F.array_contains(low, lead), "low").otherwise("high")
+    leads = F.transform_values("leads", lambda k, s: F.struct(F.lit("mV").alias("units"), sure(k).alias("confidence"), F.transform(s, lambda v: F.bround(v, 4)).alias("signal")))
+    expected = F.when(F.col("num_leads") == 12, F.array(*map(F.lit, LEAD_CODES))).otherwise(F.array(*map(F.lit, LIMB)))
+    apart = F.bround(F.abs(F.col(digital) - F.col(printed)), 1)
+    recording = F.struct("sampling_rate", "duration_sec", F.size(F.element_at(F.map_values("leads"), 1)).alias("n_samples"), F.size("leads").alias("lead_count"), F.lit("mV").alias("units"))
+    quality = F.struct(
+        F.array_sort(low).alias("low_confidence_leads"),
+        F.array_except(expected, F.map_keys("leads")).alias("missing_leads"),
+        F.struct(F.col(digital).alias("digital_bpm"), F.col(printed).alias("printed_bpm"), apart.alias("abs_diff_bpm")).alias("hr_crosscheck"),
+    )
+    document = F.struct(F.lit("processed-ecg/v1").alias("schema"), F.struct(F.col("patient_id").alias("id")).alias("patient"), recording.alias("recording"), leads.alias("leads"), quality.alias("quality"))
+    return records.select("record_id", document.alias("document"))
+
+
 def sampled_data(signal: Column, fs: Column) -> Column:
     return F.struct(F.lit(0.0).alias("origin"), (F.lit(1000.0) / fs).alias("period"), F.lit(1).alias("dimensions"), S.joined(signal).alias("data"))
 

@@ -1,6 +1,6 @@
 """Every query of the library by name, with its SQL where SQL can say it."""
 
-from . import arrays, documents, signals, tables, traces, validation  # noqa: F401
+from . import arrays, documents, reports, signals, tables, traces, validation  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
