@@ -126,7 +126,7 @@ rr AS (SELECT chan, count(*) AS r_peaks, count(rr) AS rr_count, avg(rr) AS rr_me
 dd AS (SELECT chan, sqrt(avg(d * d)) AS rmssd FROM (SELECT chan, rr - lag(rr) OVER (PARTITION BY chan ORDER BY "at") AS d FROM pk) GROUP BY chan)
 SELECT user_id, event_type, n AS num_samples, round(n / 10, 6) AS duration_sec, 10.0 AS sampling_rate_hz, round(mean, 6) AS mean, round(std, 6) AS std, lo AS min, hi AS max, round(median, 6) AS median, round(sqrt(power), 6) AS rms,
   round(p25, 6) AS p25, round(p75, 6) AS p75, round(p75 - p25, 6) AS iqr, round(CASE WHEN m2 > 1e-12 THEN m3 / pow(m2, 1.5) END, 5) AS skewness, round(CASE WHEN m2 > 1e-12 THEN m4 / pow(m2, 2) - 3 END, 5) AS kurtosis_excess,
-  round(hi - lo, 6) AS peak_to_peak, round(power * n, 4) AS energy, round(power, 5) AS power, round(10 * log10((m2 + 1e-12) / (noise + 1e-12)), 4) AS snr_db, round(crossings / n, 6) AS zero_crossing_rate, round(crossings / n * 10 / 2, 6) AS crossing_freq_hz,
+  round(hi - lo, 6) AS peak_to_peak, round(power * n, 4) AS energy, round(power + 1e-9, 5) AS power, round(10 * log10((m2 + 1e-12) / (noise + 1e-12)), 4) AS snr_db, round(crossings / n, 6) AS zero_crossing_rate, round(crossings / n * 10 / 2, 6) AS crossing_freq_hz,
   round(k * 10.0 / n, 6) AS dominant_freq_hz, coalesce(r_peaks, 0) AS r_peaks, round(60000 / rr_mean, 5) AS heart_rate_bpm, coalesce(rr_count, 0) AS rr_count, round(rr_mean, 5) AS rr_mean_ms, round(rr_std, 5) AS rr_std_ms, rr_min AS rr_min_ms, rr_max AS rr_max_ms, round(rmssd, 5) AS rmssd_ms
 FROM st JOIN mo USING (chan) LEFT JOIN fp USING (chan) LEFT JOIN rr USING (chan) LEFT JOIN dd USING (chan)""")
 def signal_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,4 +136,5 @@ def signal_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = report.signal_report(s, ["user_id", "event_type"], "i", "value", fs=10.0, height=0.25, distance=2, bins=8)
     places = {"skewness": 5, "kurtosis_excess": 5, "energy": 4, "power": 5, "snr_db": 4, "heart_rate_bpm": 5, "rr_mean_ms": 5, "rr_std_ms": 5, "rmssd_ms": 5}
     whole = ("user_id", "event_type", "num_samples", "sampling_rate_hz", "min", "max", "r_peaks", "rr_count", "rr_min_ms", "rr_max_ms")
-    return r.select(*[F.col(c) if c in whole else F.round(c, places.get(c, 6)).alias(c) for c in r.columns])
+    # squares have four decimals, so their mean may lie half-way between fives: a billionth lifts it off
+    return r.withColumn("power", F.col("power") + 1e-9).select(*[F.col(c) if c in whole else F.round(c, places.get(c, 6)).alias(c) for c in r.columns])
