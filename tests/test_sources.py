@@ -116,3 +116,29 @@ def test_kernel_columns(spark):
     assert [r.p for r in df.select(kernels.find_peaks(F.col("x")).alias("p")).collect()] == [[1, 3], None]
     c = spark.createDataFrame([("a", 0, 0.0), ("a", 1, 6.0), ("a", 1, 1.0)], "k string, c int, v double")
     assert [r.y for r in kernels.tracked(c, ["k"], "c", "v").orderBy("c").collect()] == [0.0, 1.0]
+
+
+def test_standard_waveforms(spark, tmp_path):
+    rng = np.random.default_rng(0)
+    t = np.arange(250) / 250
+    wave = np.round(2000 * np.sin(2 * np.pi * 3 * t)).astype("<i2")
+    full = rng.integers(-900, 900, (500, 12)).astype("<i2")
+    line = lambda name, lead: f"{name}.dat 200.0/mV 200/mV 16 0 0 0 0 {lead}"
+    (tmp_path / "a.hea").write_text("a 2 250 250\n" + "\n".join(line("a", x) for x in ("I", "AVR")) + "\n")
+    (tmp_path / "a.dat").write_bytes(np.stack([wave, np.full(250, -32768, "<i2")], 1).tobytes())
+    (tmp_path / "b.hea").write_text("b 12 500 500\n" + "\n".join(line("b", x) for x in records.LEADS) + "\n")
+    (tmp_path / "b.dat").write_bytes(full.tobytes())
+    for name, text, data in (("c", "c two 500\n", b""), ("d", "d 2 500\nd.dat 16 200 x I\n", b"1234"), ("e", "e 2 500 1\n" + line("e", "I") + "\n" + line("e", "II") + "\n", b"12"), ("f", "f 1 500 0\n" + line("f", "I") + "\n", b"")):
+        (tmp_path / f"{name}.hea").write_text(text)
+        (tmp_path / f"{name}.dat").write_bytes(data)
+    got = {r.record_id: r for r in records.read_standard_waveforms(spark, str(tmp_path)).collect()}
+    a, b = got["a"], got["b"]
+    assert set(a.leads) == set(records.LEADS[:6]) and a.num_leads == 6 and a.sampling_rate == 500 and a.duration_sec == 1.0
+    assert len(a.leads["I"]) == 500 and not any(a.leads["aVR"]) and not any(a.leads["II"])
+    want = 10 * np.sin(2 * np.pi * 3 * np.arange(500) / 500)
+    assert np.abs(np.array(a.leads["I"]) - want).max() < 0.01 and (a.y_min, a.y_max) == (-5.0, 5.0)
+    assert b.num_leads == 12 and b.leads["V6"][:2] == [round(x / 200, 4) for x in full[:2, 11].tolist()]
+    assert records.read_standard_waveforms(spark, str(tmp_path), six=True).where("record_id = 'b'").first().num_leads == 6
+    assert all(got[k].error and got[k].leads is None for k in "cdef")
+    plain = {r.record_id: r.error for r in records.read_waveforms(spark, str(tmp_path)).collect()}
+    assert plain["a"] is None and all(plain[k] for k in "cde")

@@ -148,14 +148,38 @@ def read_any(spark: SparkSession, folder: str) -> DataFrame:
     return out.unionByName(failed, allowMissingColumns=True)
 
 
-def read_waveforms(spark: SparkSession, path: str, to_rate: int = TARGET_RATE) -> DataFrame:
-    """One record for each pair of a header and 16-bit sample file of one stem; a header without samples gives an error row."""
-    import numpy as np
-    import pandas as pd
-
+def _pairs(spark: SparkSession, path: str) -> DataFrame:
+    """base, head and data of each pair of a header and a sample file of one stem; null where one is missing."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", GLOBS["wfdb"]).load(path).select("path", "content")
     both = found.withColumn("kind", C.extension(F.col("path"))).withColumn("base", F.regexp_replace("path", r"\.[^.]*$", ""))
-    pairs = both.groupBy("base").agg(F.max(F.when(F.col("kind") == "hea", F.col("content"))).alias("head"), F.max(F.when(F.col("kind") == "dat", F.col("content"))).alias("data"))
+    return both.groupBy("base").agg(F.max(F.when(F.col("kind") == "hea", F.col("content"))).alias("head"), F.max(F.when(F.col("kind") == "dat", F.col("content"))).alias("data"))
+
+
+def _samples(head: bytes, data: bytes):
+    """Names, rate and millivolts (a row for each time, NaN where missing) that a header and its 16-bit samples hold; ValueError if they don't fit."""
+    import numpy as np
+
+    lines = [line.split() for line in bytes(head).decode("latin-1").splitlines() if line.strip() and line[0] != "#"]
+    try:
+        n, fs = int(lines[0][1]), float(lines[0][2].split("/")[0])
+        own = lines[1 : n + 1]
+        gain = np.array([float(x[2].split("/")[0].split("(")[0]) or 200.0 for x in own])
+        names = [x[-1] for x in own]
+    except (IndexError, ValueError) as e:
+        raise ValueError(f"header: {e}") from e
+    if len(own) != n or n < 1 or not fs > 0:
+        raise ValueError("header: signals are missing")
+    raw = np.frombuffer(data, "<i2")
+    if len(raw) % n:
+        raise ValueError("samples: not a whole number of rows")
+    values = raw.reshape(-1, n).astype(float)
+    values[values == -32768] = np.nan  # the format's mark of a missing sample
+    return names, fs, values / gain
+
+
+def read_waveforms(spark: SparkSession, path: str, to_rate: int = TARGET_RATE) -> DataFrame:
+    """One record for each pair of a header and 16-bit sample file of one stem; a header without samples, or one that doesn't fit them, gives an error row."""
+    import pandas as pd
 
     def run(frames):
         for frame in frames:
@@ -163,20 +187,64 @@ def read_waveforms(spark: SparkSession, path: str, to_rate: int = TARGET_RATE) -
             for base, head, data in zip(frame["base"], frame["head"], frame["data"], strict=True):
                 leads, fs = None, float(to_rate)
                 if head is not None and data is not None:
-                    lines = [line.split() for line in bytes(head).decode("latin-1").splitlines() if line.strip() and line[0] != "#"]
-                    n, fs = int(lines[0][1]), float(lines[0][2].split("/")[0])
-                    values = np.frombuffer(data, "<i2").reshape(-1, n).astype(float)
-                    values[values == -32768] = np.nan  # the format's mark of a missing sample
-                    gain = [float(x[2].split("/")[0].split("(")[0]) or 200.0 for x in lines[1 : n + 1]]
-                    leads = {x[-1]: (values[:, k] / gain[k]).tolist() for k, x in enumerate(lines[1 : n + 1])}
+                    try:
+                        names, fs, values = _samples(head, data)
+                        leads = {name: values[:, k].tolist() for k, name in enumerate(names)}
+                    except ValueError:
+                        pass
                 rows.append((f"{base}.hea", leads, fs))
             yield pd.DataFrame(rows, columns=["path", "raw", "fs"])
 
-    df = pairs.mapInPandas(run, f"path string, raw {_ARRAYS}, fs double")
+    df = _pairs(spark, path).mapInPandas(run, f"path string, raw {_ARRAYS}, fs double")
     df = df.select("path", named(F.col("raw")).alias("leads"), "fs", F.lit(None).cast("string").alias("vendor"), F.lit(None).cast("string").alias("patient"), F.lit("wfdb").alias("format"))
     return finished(resampled(df, to_rate))
 
 
+def read_standard_waveforms(spark: SparkSession, path: str, six: bool = False, to_rate: int = TARGET_RATE) -> DataFrame:
+    """Records of waveform pairs in the standard form: 12 leads if all are there (and ``six`` isn't asked for), else the six
+    of the limbs; leads that are missing are zeros, and so are missing samples.
+
+    Other rates are resampled band-limited (FFT) to ``to_rate``. y_min and y_max are
+    1.2 times the least and largest value, within -5 and 5. A pair that can't be read gives a row with its error.
+    """
+    import numpy as np
+    import pandas as pd
+
+    from ..operators.kernels import fft_resampled
+
+    spelled = {a: lead for lead in LEADS for a in (*ALIASES[lead], lead.lower())}
+
+    def record(base: str, head, data) -> tuple:
+        stem = base.rsplit("/", 1)[-1]
+        failed = lambda why: (stem, None, None, None, None, None, None, "wfdb", "unknown", None, why)
+        if head is None or data is None:
+            return failed("header or samples missing")
+        try:
+            names, fs, values = _samples(head, data)
+        except ValueError as e:
+            return failed(str(e))
+        if not len(values):
+            return failed("samples: none")
+        have = {}
+        for k, name in enumerate(names):
+            have.setdefault(spelled.get(name, name), np.nan_to_num(values[:, k]))
+        wanted = LEADS if not six and set(LEADS) <= set(have) else LEADS[:6]
+        n = len(values) if fs == to_rate else int(len(values) * to_rate / fs)
+        leads = {}
+        for lead in wanted:
+            x = have.get(lead, np.zeros(len(values)))
+            leads[lead] = np.round(x if fs == to_rate else fft_resampled(x, n), 4).tolist()
+        lo, hi = min(map(min, leads.values())), max(map(max, leads.values()))
+        return (stem, leads, to_rate, len(values) / fs, len(wanted), max(-5.0, 1.2 * lo), min(5.0, 1.2 * hi), "wfdb", "unknown", None, None)
+
+    def run(frames):
+        for frame in frames:
+            rows = [record(*x) for x in zip(frame["base"], frame["head"], frame["data"], strict=True)]
+            yield pd.DataFrame(rows, columns=[c.strip().split(" ")[0] for c in SCHEMA.replace("map<string, array<double>>", "map").split(",")]).astype({"sampling_rate": "Int32", "num_leads": "Int32"})
+
+    return _pairs(spark, path).mapInPandas(run, SCHEMA)
+
+
 def to_long(records: DataFrame) -> DataFrame:
     """record_id, lead, lead_idx, i, t_sec, mv: a row for each sample."""
     index = F.create_map(*(x for k, lead in enumerate(LEADS) for x in (F.lit(lead), F.lit(k))))
