@@ -16,10 +16,9 @@ Cols = Sequence[str]
 
 def periods(df: DataFrame, keys: Cols, index: str, value: str, low: int = 4, high: int = 80, prominence: float = 0.05, distance: int = 3) -> DataFrame:
     """keys and period: the least lag in [low, high) at which a series' autocorrelation, as a share of that at lag 0, peaks; null if it nowhere does, or the series is flat."""
-    spread = df.groupBy(*keys).agg(F.stddev_pop(value).alias("_sd"), F.var_pop(value).alias("_var"), F.count(value).alias("_n"))
-    lagged = seq.autocorrelation(df, keys, index, value, high - 1).where(F.col("lag") >= low)
-    listed = lagged.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("lag", "acf"))).alias("_acf"))
-    both = spread.join(listed, list(keys), "left").withColumn("_share", F.transform("_acf", lambda a: a["acf"] / (F.col("_var") * F.col("_n") + 1e-9)))
+    both = seq.lag_sums(df, keys, index, value, high - 1, F.stddev_pop(value).alias("_sd"), F.var_pop(value).alias("_var"), F.count(value).alias("_n"))
+    found = F.filter(F.slice("sums", low, high - low), lambda a: a.isNotNull())
+    both = both.withColumn("_share", F.transform(found, lambda a: a / (F.col("_var") * F.col("_n") + 1e-9)))
     first = F.get(kernels.find_peaks(F.col("_share"), None, distance, prominence), F.lit(0)) + low
     return both.withColumn("_first", first).select(*keys, F.when(F.col("_sd") >= 1e-6, F.col("_first")).alias("period"))
 

@@ -258,11 +258,26 @@ def momentum_track(arrays: DataFrame, array: str, keep: float = 0.6, clip: float
     return arrays.withColumn(name, F.aggregate(array, start, step, lambda acc: acc["out"]))
 
 
+def lag_sums(df: DataFrame, keys: Cols, index: str, value: str, lags: int, *more: Column) -> DataFrame:
+    """keys, sums and the aggregates ``more`` of each series: sums[k] is that of the centered products x[i] * x[i + k + 1], null without such a pair.
+
+    A sample meets the next ones within its series, by their index, in one window, so nothing is joined or multiplied.
+    """
+    line = W.partitionBy(*keys).orderBy("_i")
+    known = F.col("_i").isNotNull()
+    for k in keys:
+        known = known & F.col(k).isNotNull()
+    mean = F.avg(value).over(line.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+    c = df.withColumn("_i", F.col(index).cast("long")).withColumn("_x", F.col(value) - mean)
+    ahead = [F.sum("_x").over(line.rangeBetween(k, k)).alias(f"_x{k}") for k in range(1, lags + 1)]
+    sums = F.array(*[F.sum(F.when(known, F.col("_x") * F.col(f"_x{k}"))) for k in range(1, lags + 1)])
+    return c.select("*", *ahead).groupBy(*keys).agg(sums.alias("sums"), *more)
+
+
 def autocorrelation(df: DataFrame, keys: Cols, index: str, value: str, lags: int) -> DataFrame:
-    """lag and the sum of centered products x[i] * x[i + lag] for lags 1 to ``lags``."""
-    c = df.select(*keys, F.col(index).alias("i"), (F.col(value) - F.avg(value).over(W.partitionBy(*keys))).alias("x"))
-    ahead = c.select(*keys, F.explode(F.sequence(F.lit(1), F.lit(lags))).alias("lag"), F.col("i").alias("j"), F.col("x").alias("x2")).withColumn("i", F.col("j") - F.col("lag"))
-    return c.join(ahead, [*keys, "i"]).groupBy(*keys, "lag").agg(F.sum(F.col("x") * F.col("x2")).alias("acf"))
+    """lag and the sum of centered products x[i] * x[i + lag] for lags 1 to ``lags``, where there are any."""
+    sums = lag_sums(df, keys, index, value, lags).select(*keys, F.posexplode("sums").alias("lag", "acf"))
+    return sums.where(F.col("acf").isNotNull()).withColumn("lag", F.col("lag") + 1)
 
 
 def decayed(df: DataFrame, keys: Cols, order: Cols, top: int, value: str, position: str) -> DataFrame:
