@@ -160,7 +160,7 @@ def scale_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
     hours = e.withColumn("i", F.row_number().over(W.partitionBy("user_id").orderBy(F.desc("ts"), "event_id")) - 1).withColumn("hour", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1e6) % 86400 / 3600.0)
     v = calibration.periods(hours, keys, "i", "hour", low=4, high=20).withColumnRenamed("period", "v")
     strips = e.groupBy("user_id", "event_type").agg(F.lit(0.0).alias("lo"), F.max("value").alias("hi"), F.count("*").alias("n"))
-    profile = seq.numbered(e, ["user_id", "event_type"], ORDER).join(strips.select("user_id", "event_type", "hi"), ["user_id", "event_type"])
+    profile = seq.numbered(e, ["user_id", "event_type"], ORDER).withColumn("hi", F.max("value").over(W.partitionBy("user_id", "event_type")))
     heights = calibration.plateaus(profile, ["user_id", "event_type"], "i", "value", "hi", half=1, least=0.62)
     records = strips.groupBy("user_id").agg(F.sum("n").cast("double").alias("width"))
     c = calibration.calibrated(records, heights, h.join(v, keys, "full"), strips, keys)
