@@ -177,6 +177,52 @@ def offset_match(labels: np.ndarray, traces: np.ndarray, tolerance: float = 45.0
     return best[2], best[3]
 
 
+#: hypotheses times labels or traces that best_offset() holds at once
+MATCHED = 1 << 20
+
+
+def best_offset(y: np.ndarray, traces: np.ndarray, tolerance: float, part: int = 0, parts: int = 1) -> tuple[int, float, int, int, np.ndarray] | None:
+    """The best offset that one of ``parts`` shares of the labels proposes: minus its matches, its error, the label and trace that
+    propose it first, and for each label the trace it takes (or -1); None if none matches anything.
+
+    ``y`` and ``traces`` ascend, all traces differ. Under an offset the labels
+    choose in order, each the nearest trace (ties: the lower) that is within
+    ``tolerance`` and not taken. All offsets of a block go through the labels
+    together. Of labels at one place the first proposes for all.
+    """
+    best, own = None, np.unique(y, return_index=True)[1][part::parts]
+    step = max(1, MATCHED // (len(traces) * max(len(y), len(traces)) or 1))
+    for a in range(0, len(own), step):
+        block = own[a : a + step]
+        offsets, first = np.unique(traces[None, :] - y[block, None], return_index=True)
+        lines = np.arange(len(offsets))
+        free, error, taken = np.ones((len(offsets), len(traces)), bool), np.zeros(len(offsets)), np.full((len(offsets), len(y)), -1, np.int32)
+        for k, at in enumerate(y):
+            aim = at + offsets
+            # one more place to either side, as the difference may round to the tolerance
+            lo = np.maximum(np.searchsorted(traces, aim - tolerance) - 1, 0)
+            hi = np.minimum(np.searchsorted(traces, aim + tolerance, "right") + 1, len(traces))
+            place = lo[:, None] + np.arange((hi - lo).max())
+            inside = np.minimum(place, len(traces) - 1)
+            d = np.abs(traces[inside] - aim[:, None])
+            d = np.where((place < hi[:, None]) & (d <= tolerance) & free[lines[:, None], inside], d, np.inf)
+            nearest = d.argmin(1)
+            least = d[lines, nearest]
+            hits = np.flatnonzero(least < np.inf)
+            chosen = inside[hits, nearest[hits]]
+            free[hits, chosen] = False
+            error[hits] += least[hits]
+            taken[hits, k] = chosen
+            if not free.any():
+                break
+        matches = (taken >= 0).sum(1)
+        k = np.lexsort((first, error, -matches))[0]
+        found = (-int(matches[k]), float(error[k]), int(block[first[k] // len(traces)]), int(first[k] % len(traces)), taken[k])
+        if matches[k] and (best is None or found[:4] < best[:4]):
+            best = found
+    return best
+
+
 def _over_arrays(fn, returns: str):
     @F.pandas_udf(returns)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -186,6 +232,18 @@ def _over_arrays(fn, returns: str):
     return run
 
 
+def best_offsets(y: Column, traces: Column, part: Column, parts: Column, tolerance: float) -> Column:
+    """best_offset() of each row, its places counted from 0; null where nothing matches."""
+
+    @F.pandas_udf("rank int, error double, label int, trace int, taken array<int>")
+    def run(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            found = [best_offset(np.asarray(a, float), np.asarray(b, float), tolerance, *ks) for a, b, *ks in zip(*rows, strict=True)]
+            yield pd.DataFrame([f or (None,) * 5 for f in found], columns=["rank", "error", "label", "trace", "taken"], dtype=object)
+
+    return run(y, traces, part, parts)
+
+
 def high_passed(x: Column, fs: float, hz: float = 0.5) -> Column:
     return _over_arrays(lambda v: zero_phase_high(v, fs, hz), "array<double>")(x)
 

@@ -15,6 +15,8 @@ from . import kernels
 from . import sequence as seq
 
 Cols = Sequence[str]
+#: steps of matching labels to traces that one task takes for a record, and tasks that share a record at most
+SHARE, PARTS = 1 << 24, 32
 
 
 def offset_matches(labels: DataFrame, traces: DataFrame, keys: Cols, name: str, at: str, tolerance: float = 45.0) -> DataFrame:
@@ -23,29 +25,26 @@ def offset_matches(labels: DataFrame, traces: DataFrame, keys: Cols, name: str,
 
     Every label and trace propose the offset between them. Under an offset the
     labels choose in order of position, each the nearest trace (ties: the lower)
-    that is within ``tolerance`` and not taken. A hypothesis meets the traces of
-    its own and the two neighbouring bins of that width, not all of them.
+    that is within ``tolerance`` and not taken. Labels and traces of a record meet
+    once, as two arrays, and its offsets are tried where these are; of a large
+    record, up to PARTS tasks try a share of them each. Places that are null or
+    not finite match nothing.
     """
-    numbered = labels.select(*keys, F.col(name).alias("_name"), F.col(at).cast("double").alias("_y"))
-    numbered = numbered.withColumn("_label", F.row_number().over(W.partitionBy(*keys).orderBy("_y", "_name")))
-    own = traces.select(*keys, F.col(at).cast("double").alias("_trace")).where(F.col("_trace").isNotNull()).distinct()
-    proposed = numbered.join(own, list(keys)).groupBy(*keys, (F.col("_trace") - F.col("_y")).alias("offset")).agg(F.min(F.struct("_label", "_trace")).alias("_first"))
-    aimed = proposed.join(numbered, list(keys)).withColumn("_aim", F.col("_y") + F.col("offset"))
-    aimed = aimed.withColumn("_bin", F.explode(F.array(*[F.floor(F.col("_aim") / tolerance) + k for k in (-1, 0, 1)])))
-    near = aimed.join(own.withColumn("_bin", F.floor(F.col("_trace") / tolerance)), [*keys, "_bin"]).withColumn("_d", F.abs(F.col("_trace") - F.col("_aim")))
-    near = near.where(F.col("_d") <= tolerance)
-    wishes = near.groupBy(*keys, "offset", "_first").agg(F.array_sort(F.collect_list(F.struct("_label", "_d", "_trace", "_name"))).alias("_wishes"))
-    pair = F.struct(F.lit(None).cast(labels.schema[name].dataType).alias("name"), F.lit(0.0).alias("trace"))
-    start = F.struct(F.lit(0).alias("last"), F.lit(0.0).alias("error"), F.slice(F.array(pair), 1, 0).alias("pairs"))
-
-    def choose(acc: Column, wish: Column) -> Column:
-        free = (wish["_label"] != acc["last"]) & ~F.exists(acc["pairs"], lambda p: p["trace"] == wish["_trace"])
-        taken = F.struct(wish["_label"].alias("last"), (acc["error"] + wish["_d"]).alias("error"), F.array_append(acc["pairs"], F.struct(wish["_name"].alias("name"), wish["_trace"].alias("trace"))).alias("pairs"))
-        return F.when(free, taken).otherwise(acc)
-
-    matched = wishes.withColumn("_m", F.aggregate("_wishes", start, choose)).select(*keys, "offset", "_first", F.size("_m.pairs").alias("matches"), "_m.error", "_m.pairs")
-    best = F.min_by(F.struct("offset", "matches", "error", "pairs"), F.struct(-F.col("matches"), F.col("error"), F.col("_first")))
-    return matched.groupBy(*keys).agg(best.alias("_b")).select(*keys, "_b.*")
+    finite = lambda c: ~F.isnan(c) & (F.abs(c) < float("inf"))
+    place = F.col(at).cast("double")
+    label, none = F.struct(place.alias("y"), F.col(name).alias("name")), F.lit(None)
+    own = labels.where(finite(place)).select(*keys, label.alias("_label"), none.cast("double").alias("_trace"))
+    both = own.unionByName(traces.where(finite(place)).select(*keys, none.cast(own.schema["_label"].dataType).alias("_label"), place.alias("_trace")))
+    gathered = both.dropna(subset=list(keys)).groupBy(*keys).agg(F.array_sort(F.collect_list("_label")).alias("_labels"), F.array_sort(F.collect_set("_trace")).alias("_traces"))
+    n, m = F.size("_labels").cast("long"), F.size("_traces")
+    parts = F.least(F.lit(PARTS), F.ceil(n * n * m / SHARE)).cast("int")
+    shares = gathered.where((n > 0) & (m > 0)).withColumn("_parts", parts).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+    tried = shares.repartition(*keys, "_part").withColumn("_m", kernels.best_offsets(F.col("_labels.y"), F.col("_traces"), F.col("_part"), F.col("_parts"), tolerance)).where(F.col("_m.rank").isNotNull())
+    trace = F.get("_traces", F.col("_m.trace"))
+    taken = F.filter(F.zip_with("_labels", "_m.taken", lambda x, t: F.struct(x["name"].alias("name"), F.get("_traces", F.when(t >= 0, t)).alias("trace"))), lambda p: p["trace"].isNotNull())
+    found = F.struct((trace - F.get("_labels.y", F.col("_m.label"))).alias("offset"), (-F.col("_m.rank")).alias("matches"), F.col("_m.error").alias("error"), taken.alias("pairs"))
+    best = F.min_by(found, F.struct("_m.rank", "_m.error", "_m.label", "_m.trace"))
+    return tried.groupBy(*keys).agg(best.alias("_b")).select(*keys, "_b.*")
 
 
 def followed(points: DataFrame, keys: Cols, x: str, y: str, base: Column, gap: float = 3, most: float = 40.0) -> DataFrame:
