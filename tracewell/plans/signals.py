@@ -49,8 +49,10 @@ FROM d GROUP BY user_id, event_type""")
 def signal_stats_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window as W
 
-    w = W.partitionBy(*KEYS)
-    d = _events(spark, sf_dir).withColumn("mu", F.avg("value").over(w)).withColumn("prev", F.lag("value").over(w.orderBy(*ORDER)))
+    # summed in order: a value at the mean crosses it or not by the sum's last bit
+    w = W.partitionBy(*KEYS).orderBy(*ORDER)
+    mu = F.avg("value").over(w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+    d = _events(spark, sf_dir).withColumn("mu", mu).withColumn("prev", F.lag("value").over(w))
     d = d.withColumn("x", F.col("value") - F.col("mu"))
     d = d.withColumn("crossing", F.when(F.col("x") * (F.col("prev") - F.col("mu")) < 0, 1).otherwise(0))
     m = lambda k: F.avg(F.expr("*".join(["x"] * k)))
