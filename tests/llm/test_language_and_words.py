@@ -231,3 +231,41 @@ def test_models_of_bounded_size(spark, more_docs, monkeypatch):
     rows = [(r.text, r.lang) for r in more_docs.where(held_out(4, 2)).select("text", "lang").collect()]
     bits, _, _ = model.entropies([t for t, _ in rows])
     assert sum(model.languages[b.argmin()] == lang for b, (_, lang) in zip(bits, rows)) > 0.9 * len(rows)
+
+
+def test_runs_beyond_the_bound_by_brute_force(spark, edge_docs, more_docs, monkeypatch):
+    """Of more runs than a worker may hold none is dropped: the bits are the textbook's, however many it holds."""
+    docs = more_docs.limit(60).unionByName(edge_docs.where("doc_id is null or doc_id <> 5").withColumn("doc_id", F.col("doc_id") + 10**7).select(more_docs.columns))
+    judge = lambda: sorted((tuple(r) for r in language.languages(docs).collect()), key=repr)
+    whole, rows = judge(), docs.withColumn("held", held_out(4, 2)).collect()
+    texts = {}
+    for r in rows:
+        if r.lang is not None and not r.held:
+            texts.setdefault(r.lang, []).append(r.text)
+    naive = {k: _kneser_ney(v) for k, v in texts.items()}
+    distinct = len(set().union(*[seen for _, seen in naive.values()])) + 1
+    monkeypatch.setattr(language, "GRAMS", 50)
+    model, calibration = language.fitted(docs)
+    got = sorted((tuple(r) for r in language.identified(docs, model, calibration).collect()), key=repr)
+    assert isinstance(model, language.Tables) and 0 < len(model.often.hashes) <= 50 * len(naive)
+    assert [x[:3] + x[5:] for x in got] == [x[:3] + x[5:] for x in whole] and len(got) == len(rows)
+    assert all(abs(a[3] - b[3]) < 1e-3 and abs((a[4] or 0) - (b[4] or 0)) < 1e-5 for a, b in zip(got, whole))
+    bits = {x[0]: x[4] for x in got}
+    for r in [r for r in rows if len(r.text or "") < 3000][-25:]:
+        s = [" "] * 3 + _symbols(r.text)
+        if any(c != " " for c in s):
+            want = min(-sum(math.log2(p(tuple(s[k - 4 : k]), distinct)) for k in range(4, len(s) + 1)) for p, _ in naive.values())
+            assert abs(bits[r.doc_id] * (len(s) - 3) - want) < 1e-4 * len(s)
+        else:
+            assert bits[r.doc_id] is None
+    monkeypatch.setattr(language, "GRAMS", 0)  # every run is joined
+    assert judge() == got
+
+
+def test_many_languages(spark):
+    """More languages than a worker can hold the runs of are no error."""
+    r = random.Random(2)
+    of = {k: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(5)) for k in range(300)}
+    docs = spark.createDataFrame([(j * 300 + k, " ".join([of[k]] * 4), f"l{k:03}") for j in range(6) for k in of], "doc_id long, text string, lang string")
+    got = language.languages(docs).join(docs.select("doc_id", "lang"), "doc_id").collect()
+    assert len(got) == 1800 and sum(x.lang == x.lang_pred for x in got) >= 1780
