@@ -256,9 +256,14 @@ def find_peaks(x: Column, height: float | None = None, distance: int = 1, promin
     return _over_arrays(lambda v: peaks(v, height, distance, prominence).tolist(), "array<long>")(x)
 
 
-def find_peaks_by_share(x: Column, height: float, distance: int, prominence: float) -> Column:
-    """find_peaks() with height and prominence as shares of the array's largest value."""
-    return _over_arrays(lambda v: peaks(v, height * v.max(), distance, prominence * v.max()).tolist() if len(v) else [], "array<long>")(x)
+def find_peaks_by_share(x: Column, height: float, distance: int, prominence: float | None = None) -> Column:
+    """find_peaks() with height and prominence as shares of the array's largest value; nulls are none, and no peaks."""
+
+    def run(v: np.ndarray) -> list[int]:
+        top = np.nanmax(v) if not np.isnan(v).all() else 0.0
+        return peaks(v, height * top, distance, None if prominence is None else prominence * top).tolist()
+
+    return _over_arrays(run, "array<long>")(x)
 
 
 def heart_rate(x: Column, fs: float, lo: float = 0.3, hi: float = 2.0) -> Column:
