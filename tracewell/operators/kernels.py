@@ -3,6 +3,7 @@ functions: Spark deals and orders the series, numpy works within one."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -59,29 +60,65 @@ def fft_resampled(x: np.ndarray, n: int) -> np.ndarray:
 
 
 def peaks(x: np.ndarray, height: float | None = None, distance: int = 1, prominence: float | None = None) -> np.ndarray:
-    """Strict local maxima (middle of a plateau), then height, then least distance with the highest first, then prominence."""
-    x, found, i = np.asarray(x, float), [], 1
-    while i < len(x) - 1:
-        j = i
-        while j < len(x) - 1 and x[j + 1] == x[i]:
-            j += 1
-        if x[i - 1] < x[i] and j < len(x) - 1 and x[j + 1] < x[i]:
-            found.append((i + j) // 2)
-        i = j + 1
-    at = np.array(found, int)
+    """Strict local maxima (middle of a plateau), then height, then least distance with the highest first, then prominence.
+
+    Every maximum is weighed, and only one of these three rules takes it out:
+    of two under ``distance`` apart the lower goes (of equals the first), if
+    the other one stands.
+    """
+    x = np.asarray(x, float)
+    starts = np.concatenate([[0], np.flatnonzero(x[1:] != x[:-1]) + 1])
+    ends = np.concatenate([starts[1:], [len(x)]]) - 1
+    a, b = starts[1:-1], ends[1:-1]
+    top = (x[a - 1] < x[a]) & (x[b + 1] < x[a])
+    at = (a[top] + b[top]) // 2
     if height is not None:
         at = at[x[at] >= height]
+    lo, hi = np.searchsorted(at, at - distance, "right"), np.searchsorted(at, at + distance)
     keep = np.ones(len(at), bool)
     for k in np.argsort(x[at], kind="stable")[::-1]:
         if keep[k]:
-            near = (np.abs(at - at[k]) < distance) & (np.arange(len(at)) != k)
-            keep &= ~near
+            keep[lo[k] : k] = keep[k + 1 : hi[k]] = False
     at = at[keep]
     if prominence is not None:
         at = np.array([p for p in at if _prominence(x, p) >= prominence], int)
     return at
 
 
+#: bins as strong as the strongest, times samples, that strongest_bin() sums one by one
+TIED = 1 << 20
+
+
+def strongest_bin(x: np.ndarray, bins: int | None = None) -> int | None:
+    """The number of turns over the length, from 1 to half of it (and ``bins`` at most), at which the mean-free samples have most
+    power; None under two samples, and a null one counts as the mean.
+
+    All bins come from one transform. Those that its rounding leaves open, as in
+    a flat series, are summed sample by sample, as SQL would, and the first of
+    the strongest counts; too many of them are taken to be equal at twelve digits.
+    """
+    n = len(x)
+    most = n // 2 if bins is None else min(n // 2, bins)
+    if most < 1:
+        return None
+    at = np.flatnonzero(~np.isnan(x))
+    c = x[at] - (np.cumsum(x[at])[-1] / len(at) if len(at) else 0.0)
+    whole = np.zeros(n)
+    whole[at] = c
+    size = np.abs(np.fft.rfft(whole)[1 : most + 1])
+    near = np.flatnonzero(size >= size.max() - 4 * n * np.finfo(float).eps * np.abs(c).sum()) + 1
+    if not c.any() or not len(near):  # flat, or not finite
+        return 1
+    if len(near) * n > TIED:
+        near = near[size[near - 1] >= size.max() * (1 - 1e-12)][:1]
+
+    def power(k: int) -> float:
+        turns = (2 * math.pi * k * at / n).tolist()
+        return sum(float(np.cumsum(c * np.array([f(t) for t in turns]))[-1]) ** 2 for f in (math.cos, math.sin))
+
+    return int(near[0] if len(near) == 1 else min(near, key=lambda k: (-power(k), k)))
+
+
 def _prominence(x: np.ndarray, p: int) -> float:
     left, right = np.flatnonzero(x[:p] > x[p]), np.flatnonzero(x[p + 1 :] > x[p])
     lo = x[(left[-1] if len(left) else 0) : p + 1].min()
@@ -266,6 +303,10 @@ def find_peaks_by_share(x: Column, height: float, distance: int, prominence: flo
     return _over_arrays(run, "array<long>")(x)
 
 
+def strongest_bins(x: Column, bins: int | None = None) -> Column:
+    return _over_arrays(lambda v: strongest_bin(v, bins), "double")(x)
+
+
 def heart_rate(x: Column, fs: float, lo: float = 0.3, hi: float = 2.0) -> Column:
     """60 / median gap, in seconds, of the peaks above mean + std; null under two gaps in (lo, hi)."""
 
